@@ -77,3 +77,22 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def runs(keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal neighbours."""
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
+def scaled_partitions(df: DataFrame, mb: int = 16) -> int:
+    """How many partitions hold ``mb`` MB of df's files each; the session's own number where that is larger."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 60 else 0  # Catalyst's "unknown" is the largest long
+    return max(shuffle_partitions(df.sparkSession), known // (mb << 20) + 1)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of unsigned 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(32))
+
+
+def bucket_of(ids: np.ndarray, n: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int64)

@@ -27,8 +27,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.substrings import removed_words, without_repeats
+
+    return without_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", removed_words().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op9_bpe": op9_bpe}
+    return {"op3_simhash": op3_simhash, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
