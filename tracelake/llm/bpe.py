@@ -299,14 +299,15 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return texts(docs, id_col, text_col).mapInArrow(lambda batches: _encode(batches, path), "doc_id long, ids array<int>, ends array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of what ``encoded`` returns, hashed where the tokens are made."""
+def coded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256): the ids that ``encoded`` returns, with digests made where the tokens are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _encode(batches, path):
             starts, ids = b.column("ids").offsets.to_numpy(), b.column("ids").values.to_numpy().astype("<u4")
             of_ids = [hashlib.sha256(ids[i:j].tobytes()).hexdigest() for i, j in zip(starts, starts[1:])]
             back = [hashlib.sha256(x).hexdigest() for x in b.column("decoded").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(starts).astype(np.int64)), pa.array(of_ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [b.column("doc_id"), pa.array(np.diff(starts).astype(np.int64)), b.column("ids"), pa.array(of_ids, pa.string()), pa.array(back, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")

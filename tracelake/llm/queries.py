@@ -15,6 +15,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.quality import quality
+
+    return quality(_documents(spark, sf_dir)).drop("grp", "d2")
+
+
+def op4_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.templates import leaks
+
+    return leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.simhash import hex16, near_duplicates
 
@@ -22,9 +34,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracelake.llm.bpe import digests
+    from tracelake.llm.bpe import coded
 
-    return digests(_documents(spark, sf_dir), public_tokenizers.path(RANKS))
+    return coded(_documents(spark, sf_dir), public_tokenizers.path(RANKS)).drop("ids")
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +46,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_simhash": op3_simhash, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
+    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -321,7 +321,7 @@ def covered_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
 KEPT = "doc_id long, n_words long, starts array<long>, ends array<long>, kept binary"
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], layout: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         n_words, starts, ends, kept = [], [], [], []
         for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist()):
@@ -333,15 +333,25 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_words.append(len(words))
             starts.append(s)
             ends.append(e)
-            kept.append(b" ".join(w for i, j in zip(cuts[::2], cuts[1::2]) for w in words[i:j]))
+            kept.append(body if layout and not len(s) else b" ".join(w for i, j in zip(cuts[::2], cuts[1::2]) for w in words[i:j]))
         longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(starts, longs), pa.array(ends, longs), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "starts", "ends", "kept"])
+        columns = {"doc_id": b.column("doc_id"), "n_words": pa.array(n_words, pa.int64()), "starts": pa.array(starts, longs), "ends": pa.array(ends, longs), "kept": pa.array(kept, pa.binary())}
+        if "carried" in b.schema.names:
+            columns["carried"] = b.column("carried")
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, starts, ends, kept): for each row its words, the spans of words removed, and the kept words with one space between."""
+def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), layout: bool = False) -> DataFrame:
+    """(doc_id, n_words, starts, ends, kept): for each row its words, the spans of words removed, and the kept words with one space between.
+
+    ``layout`` leaves texts that lose nothing as they are; the columns of ``carry`` come along in a struct, carried.
+    """
     spans = covered_spans(docs, window, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
-    return texts(docs, id_col, text_col).join(spans, "doc_id", "left").mapInArrow(_kept, KEPT)
+    if not carry:
+        return texts(docs, id_col, text_col).join(spans, "doc_id", "left").mapInArrow(lambda b: _kept(b, layout), KEPT)
+    rows = docs.select(F.struct(*carry).alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    kind = rows.schema["carried"].dataType.simpleString()
+    return rows.join(spans, "doc_id", "left").mapInArrow(lambda b: _kept(b, layout), f"{KEPT}, carried {kind}")
 
 
 def removed_words() -> F.Column:
