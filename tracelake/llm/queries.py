@@ -33,6 +33,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.substrings import removed_words
+    from tracelake.llm.suffixes import without_repeated_bytes
+
+    return without_repeated_bytes(_documents(spark, sf_dir)).select("doc_id", "n_bytes", removed_words().alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.bpe import coded
 
@@ -46,7 +53,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
+    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op7_suffixes": op7_suffixes, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
