@@ -286,7 +286,8 @@ def first_starts(texts_: list[bytes], order_key: np.ndarray, least: int) -> list
     del names, words, raw
     suffixes = doubled(dictionary, least, np.repeat(offsets + lengths, lengths + 1))
     # 3. the parse: rank of each phrase, then of each suffix of the parse
-    phrase_rank = _ranks(suffixes[-1][offsets])[ids]
+    # (phrases that share their first ``least`` bytes are told apart in any order: strings that begin in them are equal)
+    phrase_rank = _ranks(suffixes[-1][offsets] * np.int64(len(offsets) + 1) + np.arange(len(offsets)))[ids]
     parse_levels = doubled(np.r_[phrase_rank + 1, 0], least)
     rank = np.r_[parse_levels[-1], 0]
     # 4. all suffixes: (rank of the rest of the phrase, rank of the next phrase's suffix)
