@@ -33,6 +33,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.toxicity import scored, train
+
+    docs = _documents(spark, sf_dir)
+    return scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.substrings import removed_words
     from tracelake.llm.suffixes import without_repeated_bytes
@@ -53,7 +60,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op7_suffixes": op7_suffixes, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
+    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op7_suffixes": op7_suffixes, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
