@@ -40,6 +40,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op6_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.pages import main_text
+
+    return main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.substrings import removed_words
     from tracelake.llm.suffixes import without_repeated_bytes
@@ -60,7 +66,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op7_suffixes": op7_suffixes, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
+    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_pages": op6_pages, "op7_suffixes": op7_suffixes, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
