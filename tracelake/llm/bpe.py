@@ -39,7 +39,7 @@ SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 BLOCK = 256
 NEVER = np.iinfo(np.int32).max
 #: Slices kept in a worker's cache; a full cache is emptied, so its memory is bounded.
-CACHE = 600_000
+CACHE = 250_000
 #: Longest slice that is merged with others in one matrix; longer ones are merged by a heap.
 MATRIX = 64
 

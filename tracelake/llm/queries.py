@@ -15,6 +15,14 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token over a line end goes to the line that holds most of it."""
+    from tracelake.llm.attribution import attributed
+
+    out = attributed(_documents(spark, sf_dir), public_tokenizers.path(RANKS))
+    return out.withColumn("outside", F.col("outside").cast("long")).withColumn("section_tokens", F.col("section_tokens").cast("array<long>"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.quality import quality
 
@@ -53,6 +61,14 @@ def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_bytes(_documents(spark, sf_dir)).select("doc_id", "n_bytes", removed_words().alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of documents, as files of the tree source/language/id."""
+    from tracelake.llm.licences import scan, templates
+
+    files = _documents(spark, sf_dir).withColumn("path", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    return scan(files, templates(spark))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelake.llm.bpe import coded
 
@@ -66,7 +82,7 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_pages": op6_pages, "op7_suffixes": op7_suffixes, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
+    return {"op1_tokens": op1_tokens, "op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_pages": op6_pages, "op7_suffixes": op7_suffixes, "op8_licences": op8_licences, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:

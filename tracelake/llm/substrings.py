@@ -37,7 +37,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of reference in a shard, and bytes of documents that one task streams past it.
 SHARD_WORDS, TASK_BYTES = 100_000, 8 << 20
 #: Text of one block of window hashes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 5 << 20
 ENTRY = ("doc", "pos", "owner", "at")
 PACKED = "bucket long, kind int, " + ", ".join(f"{x} binary" for x in ENTRY)
 PACKED_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in ENTRY)])
@@ -302,7 +302,7 @@ def covered_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     """(doc_id, starts, ends): packed spans of words to remove; a document may have several rows."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    n = scaled_partitions(docs.select(text_col))
+    n = scaled_partitions(docs.select(text_col), 4)
     packed = rows.mapInArrow(lambda batches: _windows(batches, window, n), PACKED)
     owners = packed.groupBy("bucket").applyInArrow(lambda t: _owners(t, n), PACKED)
     needs = materialize(owners.groupBy("bucket").applyInArrow(lambda t: _needs(t, window), NEED), "needs")

@@ -345,11 +345,11 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     """(doc_id, starts, ends): packed spans of bytes to remove; a document may have several rows."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    n = scaled_partitions(docs.select(text_col))
+    n = scaled_partitions(docs.select(text_col), 4)
     counted = rows.mapInArrow(lambda b: _phrases(b, least, n), PHRASES).groupBy("bucket").applyInArrow(lambda t: _repeated(t, n), PHRASES)
     again = materialize(counted.groupBy("bucket").applyInArrow(_per_document, "doc_id long, again binary"), "again")
     release_shuffles(spark)
-    pieces = rows.join(again, "doc_id").mapInArrow(lambda b: _pieces(b, least, 4 * n), PIECE)
+    pieces = rows.join(again, "doc_id").mapInArrow(lambda b: _pieces(b, least, 8 * n), PIECE)
     spread = pieces.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(0))
     spans = materialize(spread.groupBy("bucket", "part").applyInArrow(lambda t: _marked(t, least), COVER), "byte-spans")
     release_shuffles(spark)
