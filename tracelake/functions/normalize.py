@@ -48,7 +48,7 @@ def windows_path(path: Column, volumes: dict[str, str] = VOLUMES) -> Column:
     drive = F.coalesce(F.create_map(*(F.lit(x) for pair in volumes.items() for x in pair))[volume], F.lit("C:\\"))
     p = F.when(volume != "", F.concat(drive, F.regexp_replace(p, r"(?i)^\\Device\\HarddiskVolume\d+\\", ""))).otherwise(p)
     p = F.when(p.startswith("\\") & ~F.lower(p).startswith("\\device\\"), F.concat(F.lit("C:"), p)).otherwise(p)
-    return F.regexp_replace(p, r"\\{2,}", r"\\\\")
+    return F.regexp_replace(p, r"\\{2,}", r"\\")
 
 
 def file_id(host: Column, path: Column) -> Column:
