@@ -11,7 +11,7 @@ The benchmark's windows are broadcast only if they are fewer than ``BROADCAST_RO
 shuffle. Windows of nearly nothing but slots say nothing about a text and are left out.
 
 Defined cases: null text is an empty text; texts and items under ``window`` words have no window and so no hit; null ids of documents stay null, items without an id are left out; repeated
-rows are found each; empty tables give no hits; other columns are ignored. A text that itself holds the marker
+rows (same id) share their hits; empty tables give no hits; other columns are ignored. A text that itself holds the marker
 characters U+0001..U+0003 is read as if its words were marked.
 """
 
