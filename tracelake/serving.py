@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable
 from pathlib import Path
 
+from py4j.java_gateway import is_instance_of
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,37 +66,32 @@ def _seq(s) -> list:
 
 def reject_plan(spark: SparkSession, text: str, tables: set[str]) -> str | None:
     """Why the parsed plan is refused, or None."""
+    plan = "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"
+    node = "org.apache.spark.sql.catalyst.trees.TreeNode"
+    is_a = lambda x, kind: hasattr(x, "getClass") and is_instance_of(spark.sparkContext._gateway, x, kind)
     todo, names, relations = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)], set(), set()
     while todo:
         x = todo.pop()
         kind = x.getClass().getSimpleName().rstrip("$")
-        is_plan = "plans.logical" in x.getClass().getName() or hasattr(x, "innerChildren") and ".expressions." not in x.getClass().getName()
-        if kind == "UnresolvedRelation":
-            relations.add(".".join(_seq(x.multipartIdentifier())))
+        if is_a(x, plan):
+            if kind not in NODES:
+                return f"{kind} is not permitted"
+            todo += _seq(x.expressions())
+            if kind == "UnresolvedRelation":
+                relations.add(".".join(_seq(x.multipartIdentifier())))
+            elif kind == "SubqueryAlias":
+                names.add(x.alias())
+            elif kind == "UnresolvedWith":
+                for named in _seq(x.cteRelations()):
+                    names.add(named.productElement(0))
+                    todo.append(named.productElement(1))
         elif kind == "UnresolvedFunction":
             name = ".".join(_seq(x.nameParts())).lower()
             if name not in FUNCTIONS:
                 return f"function {name} is not permitted"
-        elif kind == "SubqueryAlias":
-            names.add(x.alias())
-        if "Subquery" in kind or kind in ("Exists", "ListQuery", "LateralSubquery", "InSubquery"):
-            try:
-                todo.append(x.plan())
-            except Exception:  # noqa: BLE001  an expression without a plan of its own
-                pass
-        if ".expressions." in x.getClass().getName() or kind.startswith("Unresolved") and not is_plan:
-            todo += _seq(x.children())
-            continue
-        if kind not in NODES and is_plan:
-            return f"{kind} is not permitted"
-        todo += _seq(x.children())
-        if is_plan:
-            todo += [c for c in _seq(x.innerChildren()) if hasattr(c, "children")]
-            todo += _seq(x.expressions())
-            if kind == "UnresolvedWith":
-                for pair in _seq(x.cteRelations()):
-                    names.add(pair.productElement(0))
-                    todo.append(pair.productElement(1))
+        if is_a(x, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+            todo.append(x.plan())
+        todo += [c for c in (*_seq(x.children()), *_seq(x.innerChildren())) if is_a(c, node)]
     unknown = {r for r in relations if r not in tables and r not in names}
     return f"unknown table {sorted(unknown)[0]}" if unknown else None
 
