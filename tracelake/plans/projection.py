@@ -64,7 +64,7 @@ VIEWS = {
           CASE WHEN event_id % 17 = 0 THEN NULL ELSE cast(ts AS string) END AS create_time
         FROM events""",
     "v_exec": """
-        SELECT n_name AS hostname, CASE WHEN l_returnflag = 'A' THEN 'shimcache' ELSE 'prefetch' END AS source,
+        SELECT CASE WHEN p_partkey % 40 IN (6, 8) THEN 'H' || cast(s_suppkey % 7 AS string) ELSE n_name END AS hostname, CASE WHEN l_returnflag = 'A' THEN 'shimcache' ELSE 'prefetch' END AS source,
           CASE p_partkey % 3 WHEN 0 THEN 'C:/Users/x/' WHEN 1 THEN 'C:/Windows/' ELSE 'D:/Research/' END ||
           CASE p_partkey % 40 WHEN 0 THEN 'psexec.exe' WHEN 1 THEN 'Mimikatz.exe' WHEN 2 THEN 'hydrakatz.exe' WHEN 3 THEN 'net.exe' WHEN 4 THEN 'svchost.exe' WHEN 5 THEN 'mcfoo.exe'
             WHEN 6 THEN 'tool.exe' WHEN 8 THEN 'powershell.exe' WHEN 7 THEN 'notes.dll' ELSE replace(p_name, ' ', '_') || '.exe' END AS path,

@@ -88,8 +88,7 @@ class Projected:
             case "executed":
                 return self.runs
             case "describes":
-                names = self.view("v_exec").select(F.lit("H1").alias("hostname"), "path", "source", "timestamp", "shim_order", "run_count")
-                return g.describes(e, g.executed(names).unionByName(g.executed(self.view("v_exec"))))
+                return g.describes(e, g.executed(self.view("v_exec")))
             case "media":
                 return g.media(self.view("v_media"))
             case "usb":
