@@ -85,5 +85,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_tokens": op1_tokens, "op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_pages": op6_pages, "op7_suffixes": op7_suffixes, "op8_licences": op8_licences, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
 
 
+#: The words a text keeps, by the smallest document of every window of 13 words.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d)),
+o AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT w.doc_id, w.i FROM w JOIN o USING (s) WHERE o.first < w.doc_id), range(13) AS r(k)),
+kept AS (SELECT t.doc_id, string_agg(t.x, ' ' ORDER BY t.i) AS text FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM d) t ANTI JOIN gone g ON g.doc_id = t.doc_id AND g.i = t.i GROUP BY t.doc_id)
+SELECT d.doc_id, len(ws) :: bigint AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_substrings": OP10_SQL}
