@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.operators import graph as g
 from tracelake.plans.catalog import HUNTS
 from tracelake.plans.projection import dialect, view
+from tracelake.sources.files import write_table
 
 #: What the example case looks for in paths.
 CASE = {"sensitive": ["*/en/*9*"], "extensions": ["7"], "keywords": ["research", "blog"], "aliases": {"pills": ["cheap-pills"]}, "roots": ["www.*"], "excluded": ["adult"]}
@@ -34,6 +35,21 @@ class GraphStore:
         return self.spark.sql(sql, **{t: self[t] for t in set(re.findall(r"\{(\w+)\}", sql))})
 
 
+    def save(self, folder: str, names: tuple[str, ...]) -> None:
+        """Each table as Parquet, by host where it has one; a host's new rows replace its old ones."""
+        for name in names:
+            df = self[name]
+            write_table(df, f"{folder}/{name}", *(["hostname"] if "hostname" in df.columns and len(df.columns) > 1 else []))
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> GraphStore:
+        return cls(spark, lambda name: spark.read.parquet(f"{folder}/{name}"))
+
+
+#: Tables of the graph.
+NAMES = ("event", "host", "process", "module", "connected", "spawned", "sysmon_spawned", "modified", "file_event", "logged_in", "dns", "registry", "service", "script", "wmi", "created", "file", "executed", "describes", "media", "usb", "feature", "same_domain", "finding")
+
+
 class Projected:
     """Tables of a graph over the driver's tables."""
 
