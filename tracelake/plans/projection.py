@@ -72,7 +72,7 @@ VIEWS = {
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
         GROUP BY 1, 2, 3""",
     "v_catalog": """
-        SELECT 'H' || cast(page_id % 5 AS string) AS hostname, page_id AS seq, substring(url, strpos(url, '://') + 3) AS path, length(html) AS size,
+        SELECT 'H' || cast(page_id % 5 AS string) AS hostname, page_id AS seq, substring(url, strpos(url, '://') + 3) AS path, cast(length(html) AS bigint) AS size,
           CASE WHEN page_id % 4 = 0 THEN 'mft' ELSE 'filestat' END AS source
         FROM pages""",
     "v_media": """
