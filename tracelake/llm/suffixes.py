@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import bucket_of, materialize, merged, mix, pack, release_shuffles, scaled_partitions, texts, unpack
-from tracelake.llm.substrings import COVER, COVER_SCHEMA, blocks
+from tracelake.llm.substrings import blocks
 
 LEAST = 100
 #: Bytes of a trigger, and of the triggers inside a task.
 GRAM, INNER = 12, 4
+#: Bytes of pieces whose suffixes are sorted at once; those of one phrase stay together.
+AT_ONCE = 1 << 60
 #: One place in so many (a power of two) triggers inside a task.
 EVERY = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -170,8 +172,8 @@ def _per_document(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([int(doc[a]) for a in cut[:-1]], pa.int64()), pa.array([pack(nth[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "again"])
 
 
-PIECE = "bucket long, doc_id long, at long, body binary"
-PIECE_SCHEMA = pa.schema([("bucket", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("body", pa.binary())])
+PIECE = "bucket long, key long, doc_id long, at long, body binary"
+PIECE_SCHEMA = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("body", pa.binary())])
 
 
 def pieces_of(body: bytes, again: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +205,7 @@ def pieces_of(body: bytes, again: np.ndarray, least: int) -> tuple[np.ndarray, n
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], least: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Bucket -1: spans already known to be removed (a piece that equals an earlier one of the block); else pieces."""
+    """Bucket -1: spans already known to be removed (a piece that equals an earlier one of the block; key: its bytes); else pieces."""
     for b in batches:
         rows, seen = [], {}
         order = np.argsort(b.column("doc_id").to_numpy(zero_copy_only=False), kind="stable").tolist()
@@ -214,9 +216,9 @@ def _pieces(batches: Iterator[pa.RecordBatch], least: int, n: int) -> Iterator[p
                 text = body[a : z + least - 1]
                 if (first := seen.setdefault(text, (doc, a))) != (doc, a):
                     if first[0] < doc or first[1] < a:
-                        rows.append((-1, doc, a, (z - a + least - 1).to_bytes(8, "little")))
+                        rows.append((-1, z - a + least - 1, doc, a, b""))
                     continue
-                rows.append((key % n, doc, a, text))
+                rows.append((key % n, key - (1 << 63), doc, a, text))
         yield _table(rows, PIECE_SCHEMA)
 
 
@@ -324,25 +326,56 @@ def first_starts(texts_: list[bytes], order_key: np.ndarray, least: int) -> list
     return [later[s:e] - base[i] for i, (s, e) in enumerate(zip(bounds, bounds[1:]))]
 
 
+def _periodic(body: bytes, least: int) -> bool:
+    n = len(body) - least + 1
+    return len({body[i : i + least] for i in range(n)}) < n
+
+
 def _marked(table: pa.Table, least: int) -> pa.Table:
-    rows = []
+    """(doc_id, start, end) of spans to remove, of one bucket."""
     known = table.filter(pc.equal(table["bucket"], -1))
-    for doc, at, n in zip(known["doc_id"].to_pylist(), known["at"].to_pylist(), known["body"].to_pylist()):
-        rows.append((doc, pack(np.array([at])), pack(np.array([at + int.from_bytes(n, "little")]))))
-    asked = table.filter(pc.not_equal(table["bucket"], -1))
-    if asked.num_rows:
-        doc, at = asked["doc_id"].to_numpy(), asked["at"].to_numpy()
-        key = _ranks(doc) * (int(at.max()) + (1 << 32)) + at
-        found = first_starts(asked["body"].to_pylist(), key, least)
-        for d, a, f in zip(doc.tolist(), at.tolist(), found):
+    docs, starts = [known["doc_id"].to_numpy()], [known["at"].to_numpy()]
+    ends = [starts[0] + known["key"].to_numpy()]
+    asked = table.filter(pc.not_equal(table["bucket"], -1)).sort_by([("key", "ascending"), ("doc_id", "ascending"), ("at", "ascending")])
+    apart: list[tuple[int, int, bytes]] = []
+    copies: list[tuple[int, int, int]] = []
+    now, bodies = None, {}
+
+    def sort() -> None:
+        doc, at = np.array([x[0] for x in apart]), np.array([x[1] for x in apart])
+        order = _ranks(doc) * (int(at.max()) + (1 << 32)) + at
+        for d, a, f in zip(doc.tolist(), at.tolist(), first_starts([x[2] for x in apart], order, least)):
             if len(f):
                 s, e = merged(f + a, f + a + least)
-                rows.append((d, pack(s), pack(e)))
-    return pa.Table.from_batches([_table(rows, COVER_SCHEMA)])
+                docs.append(np.full(len(s), d))
+                starts.append(s)
+                ends.append(e)
+        apart.clear()
+
+    def compare(last: bool = False) -> None:
+        """Only the different pieces of a phrase need their suffixes sorted, or one in which a string comes twice."""
+        if len(bodies) > 1 or any(_periodic(body, least) for body in bodies):
+            apart.extend((d, a, body) for body, (d, a) in bodies.items())
+        if apart and (last or sum(len(x[2]) for x in apart) >= AT_ONCE):
+            sort()
+
+    for key, doc, at, body in zip(*(asked[c].to_pylist() for c in ("key", "doc_id", "at", "body"))):
+        if key != now:
+            compare()
+            now, bodies = key, {}
+        if bodies.setdefault(body, (doc, at)) < (doc, at):
+            copies.append((doc, at, at + len(body)))
+    compare(last=True)
+    if copies:
+        d, a, z = np.array(copies).T
+        docs.append(d)
+        starts.append(a)
+        ends.append(z)
+    return pa.table({"doc_id": np.concatenate(docs), "start": np.concatenate(starts), "end": np.concatenate(ends)})
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, starts, ends): packed spans of bytes to remove; a document may have several rows."""
+    """(doc_id, start, end): spans of bytes to remove, which may overlap."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
     n = scaled_partitions(docs.select(text_col), 4)
@@ -351,21 +384,22 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     release_shuffles(spark)
     pieces = rows.join(again, "doc_id").mapInArrow(lambda b: _pieces(b, least, 8 * n), PIECE)
     spread = pieces.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(0))
-    spans = materialize(spread.groupBy("bucket", "part").applyInArrow(lambda t: _marked(t, least), COVER), "byte-spans")
+    spans = materialize(spread.groupBy("bucket", "part").applyInArrow(lambda t: _marked(t, least), SPAN), "byte-spans")
     release_shuffles(spark)
     return spans
 
 
+SPAN = "doc_id long, start long, end long"
 KEPT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept binary"
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         size, starts, ends, kept = [], [], [], []
-        for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist()):
+        for body, first, last in zip(b.column("body").to_pylist(), b.column("starts"), b.column("ends")):
             s = e = np.zeros(0, np.int64)
-            if spans:
-                s, e = merged(np.concatenate([unpack(x["starts"]) for x in spans]), np.concatenate([unpack(x["ends"]) for x in spans]))
+            if first.is_valid:
+                s, e = merged(first.values.to_numpy(), last.values.to_numpy())
             cuts = [0, *(x for pair in zip(s.tolist(), e.tolist()) for x in pair), len(body)]
             size.append(len(body))
             starts.append(s)
@@ -377,5 +411,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeated_bytes(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): for each row its bytes, the maximal runs removed, and the bytes left."""
-    spans = repeated_spans(docs, least, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
+    spans = repeated_spans(docs, least, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
     return texts(docs, id_col, text_col).join(spans, "doc_id", "left").mapInArrow(_kept, KEPT)
