@@ -36,7 +36,7 @@ LEAST = 100
 #: Bytes of a trigger, and of the triggers inside a task.
 GRAM, INNER = 12, 4
 #: Bytes of pieces whose suffixes are sorted at once; those of one phrase stay together.
-AT_ONCE = 1 << 60
+AT_ONCE = 1 << 19
 #: One place in so many (a power of two) triggers inside a task.
 EVERY = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -172,6 +172,17 @@ def _per_document(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array([int(doc[a]) for a in cut[:-1]], pa.int64()), pa.array([pack(nth[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "again"])
 
 
+def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes of text: what a worker holds at once as objects."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column("body")).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 PIECE = "bucket long, key long, doc_id long, at long, body binary"
 PIECE_SCHEMA = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("body", pa.binary())])
 
@@ -206,7 +217,7 @@ def pieces_of(body: bytes, again: np.ndarray, least: int) -> tuple[np.ndarray, n
 
 def _pieces(batches: Iterator[pa.RecordBatch], least: int, n: int) -> Iterator[pa.RecordBatch]:
     """Bucket -1: spans already known to be removed (a piece that equals an earlier one of the block; key: its bytes); else pieces."""
-    for b in batches:
+    for b in _slices(batches, 8 << 20):
         rows, seen = [], {}
         order = np.argsort(b.column("doc_id").to_numpy(zero_copy_only=False), kind="stable").tolist()
         docs, bodies, again = b.column("doc_id"), b.column("body"), b.column("again")
@@ -394,7 +405,7 @@ KEPT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept bi
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in _slices(batches):
         size, starts, ends, kept = [], [], [], []
         for body, first, last in zip(b.column("body").to_pylist(), b.column("starts"), b.column("ends")):
             s = e = np.zeros(0, np.int64)
