@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.bpe import coded
 from tracelake.llm.common import materialize
 from tracelake.llm.quality import quality
-from tracelake.llm.simhash import near_duplicates
+from tracelake.llm.similar import similar
 from tracelake.llm.substrings import without_repeats
 from tracelake.llm.templates import leaks
 
@@ -26,8 +26,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    copies = materialize(near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "copies")
+    """Of each component of texts that share 0.8 or more of their shingles of five words the smallest id stays."""
+    copies = materialize(similar(docs).where("doc_id <> component_id").select("doc_id"), "copies")
     return docs.select(COLUMNS).join(copies, "doc_id", "left_anti")
 
 
