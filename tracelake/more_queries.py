@@ -70,6 +70,19 @@ def n07_timestamp(spark, sf_dir):
     return rows.select("o_orderkey", n.timestamp(as_text).alias("from_text"), n.timestamp(F.col("s")).alias("from_seconds"), n.timestamp(F.col("s") * 1000 + 7).alias("from_ms"), n.timestamp((F.col("s") + 11_644_473_600) * 10_000_000).alias("from_filetime"))
 
 
+@_query("""SELECT o_orderkey, t AS from_text, CASE WHEN s > 1000000000 THEN t ELSE '' END AS from_seconds, CASE WHEN s > 1000000000 THEN t ELSE '' END AS from_ms, t AS from_filetime,
+ strftime(o_orderdate + INTERVAL 3650 DAY, '%Y-%m-%dT%H:%M:%SZ') AS later_seconds, strftime(o_orderdate + INTERVAL 3650 DAY, '%Y-%m-%dT%H:%M:%SZ') AS later_ms
+ FROM (SELECT *, epoch(o_orderdate) AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS t FROM orders)""")
+def n07_timestamp_orders(spark, sf_dir):
+    # all orders: those before 2001-09-09 give '' from seconds and milliseconds, 3650 days later all of them are timestamps
+    rows = _read(spark, sf_dir, "orders").withColumn("s", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
+    as_text, later = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.col("s") + 3650 * 86_400
+    return rows.select(
+        "o_orderkey", n.timestamp(as_text).alias("from_text"), n.timestamp(F.col("s")).alias("from_seconds"), n.timestamp(F.col("s") * 1000 + 7).alias("from_ms"), n.timestamp((F.col("s") + 11_644_473_600) * 10_000_000).alias("from_filetime"),
+        n.timestamp(later).alias("later_seconds"), n.timestamp(later * 1000 + 7).alias("later_ms"),
+    )
+
+
 @_query(f"SELECT page_id, {BASE.format('url')} AS base FROM pages")
 def n08_basename(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", n.basename(F.col("url")).alias("base"))
