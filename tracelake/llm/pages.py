@@ -1,12 +1,13 @@
 """Operator 6: main text of HTML pages by equivalence classes of template tokens.
 
 1. Every page is cut into tokens: tags with their path of open elements, and whole text blocks with theirs. For each
-   host, a token's occurrence vector (how often it is on each page) is folded into a signature, an exclusive or of
-   hash(page, count), and a support. Both are aggregated map-side, so a host with a third of all pages is no hot spot.
+   host, a token's occurrence vector (how often it is on each page) is folded into a signature, a sum of
+   hash(page, count), and a support, for which equal pages of a host count once. Both are aggregated map-side, so a host with a third of all pages is no hot spot.
 2. Tokens of one host with one signature form an equivalence class. A class is valid if it is large (two tokens or
    more) and frequent (half of the host's pages, of three pages at least). Tokens carry their path, so that classes
    nest as their paths do; together they are the host's template.
-3. What is not template is a slot. Of a page's slots the article stays: those inside <article> or <main> where the
+   The order of a class's tokens is not checked.
+3. A block that is not template is a slot, inside articles as well. Of a page's slots the article stays: those inside <article> or <main> where the
    page has one, else all slots; without what tags, roles or class names declare to be menu, header, footer, sidebar,
    notice, advert, form or comments, and without lists of links.
 
@@ -137,20 +138,21 @@ def _hash(path: str, text: str = "") -> int:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, token, n): tags by path and blocks outside articles; token 0 is the page itself."""
+    """(host, page, w, token, n): tags by path and blocks; token 0 is the page itself, w its share of equal pages of the host."""
     for b in batches:
-        hosts, pages, tokens, counts = [], [], [], []
-        for page, host, html in zip(*(c.to_pylist() for c in b.columns)):
+        hosts, pages, shares, tokens, counts = [], [], [], [], []
+        for host, html, w in zip(*(c.to_pylist() for c in b.columns)):
             tags, blocks = parse(html)
             found = Counter(map(_hash, tags))
-            found.update(_hash(path, text) for path, text, _, inside, _ in blocks if not inside)
+            found.update(_hash(path, text) for path, text, _, _, _ in blocks)
             found[0] = 1
-            name = xxhash.xxh64_intdigest(f"{page}\0{html}") - (1 << 63)
+            name = xxhash.xxh64_intdigest(html) - (1 << 63)
             hosts += [host] * len(found)
             pages += [name] * len(found)
+            shares += [w] * len(found)
             tokens += found.keys()
             counts += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], names=["host", "page", "token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(shares, pa.float64()), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], names=["host", "page", "w", "token", "n"])
 
 
 def host_of(url: Column) -> Column:
@@ -159,9 +161,11 @@ def host_of(url: Column) -> Column:
 
 def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, token, class): tokens of valid equivalence classes."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    seen = rows.mapInArrow(_tokens, "host string, page long, token long, n long")
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("class"))
+    rows = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("key", F.xxhash64("html"))
+    copies = rows.groupBy("host", "key").agg(F.count("*").alias("copies")).where("copies > 1")
+    rows = rows.join(copies, ["host", "key"], "left").select("host", "html", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"))
+    seen = rows.mapInArrow(_tokens, "host string, page long, w double, token long, n long")
+    vectors = seen.groupBy("host", "token").agg(F.round(F.sum("w"), 6).alias("support"), F.sum(F.shiftright(F.xxhash64("page", "n"), 31)).alias("class"))
     vectors = materialize(vectors.where(F.col("support") >= LEAST_PAGES), "vectors")
     sizes = vectors.where("token = 0").select("host", F.col("support").alias("pages"))
     frequent = vectors.where("token <> 0").join(sizes, "host").where(F.col("support") >= SUPPORT * F.col("pages"))
@@ -172,9 +176,8 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def article(html: str, template: set[int]) -> str:
     _, blocks = parse(html)
     kept = [b for b in blocks if not b[2]]
-    if any(b[3] for b in kept):
-        return "\n".join(b[1] for b in kept if b[3])
-    return "\n".join(b[1] for b in kept if not b[4] and _hash(b[0], b[1]) not in template)
+    bounded = any(b[3] for b in kept)
+    return "\n".join(b[1] for b in kept if _hash(b[0], b[1]) not in template and (b[3] if bounded else not b[4]))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
