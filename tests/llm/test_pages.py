@@ -17,3 +17,18 @@ def test_repeats_inside_articles_go(spark):
 def test_equal_pages_are_no_template(spark):
     page = "<body><article><h1>Story</h1><p>told once</p></article></body>"
     assert extracted(spark, [(i, f"http://h.example/{i}", page) for i in range(5)]) == [(i, "Story\ntold once") for i in range(5)]
+
+
+def test_names_drop_whole_tokens_only(spark):
+    kept = ["<div class='has-sidebar'><p>text</p></div>", "<div class='no-sidebar'><article><p>text</p></article></div>", "<article class='post comments-open'><p>text</p></article>", "<p>a <a href=/x>text of a long link</a></p>"]
+    kept += [f"<article><h2 id='{x}'>text</h2></article>" for x in ("related-work", "search", "social-history", "notice-period")]
+    gone = [f"<p>kept</p><div class='{x}'>text</div>" for x in ("ad", "main-nav", "comment-list", "box sidebar", "siteFooter")] + ["<p>kept</p><article class='comment'>text</article>"]
+    got = dict(extracted(spark, [(i, f"http://h{i}.example/", f"<body>{html}</body>") for i, html in enumerate(kept + gone)]))
+    assert all("text" in got[i] for i in range(len(kept))), got
+    assert all(got[len(kept) + i] == "kept" for i in range(len(gone))), got
+
+
+def test_links_go_where_their_element_is_template(spark):
+    body = lambda i: f"<body><ul><li><a href=/{i}>Section {i} link</a></li></ul><div>" + "".join(f"<p>told {i} {k}</p>" for k in range(i + 1)) + "</div></body>"
+    got = extracted(spark, [(i, "http://h.example/", body(i)) for i in range(5)])
+    assert got == [(i, "\n".join(f"told {i} {k}" for k in range(i + 1))) for i in range(5)]

@@ -8,8 +8,9 @@
    nest as their paths do; together they are the host's template.
    The order of a class's tokens is not checked.
 3. A block that is not template is a slot, inside articles as well. Of a page's slots the article stays: those inside <article> or <main> where the
-   page has one, else all slots; without what tags, roles or class names declare to be menu, header, footer, sidebar,
-   notice, advert, form or comments, and without lists of links.
+   page has one, else all slots; without what tags, roles or whole class names declare to be menu, header, footer,
+   sidebar, notice, advert, form or comments (never a heading or paragraph by its name), and without blocks of links
+   whose element is template.
 
 Templates are broadcast only below ``BROADCAST_ROWS`` tokens; else pages are joined with them by host.
 
@@ -44,6 +45,10 @@ APART = set("nav footer aside form script style noscript template iframe button
 ROLES = set("navigation banner complementary contentinfo search form dialog alert alertdialog menu menubar toolbar".split())
 CLASSES = set("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin search share sharing social related recommended recommendations widget pagination pager toolbar copyright hidden".split())
 SITE_CLASSES = set("header masthead topbar".split())
+#: Words that may stand beside those of CLASSES in one class name (main-nav, comment-list); with any other it means something else (has-sidebar).
+PLACES = set("site page main global top bottom left right primary secondary user list box block section area wrapper wrap container inner outer item bar link links text form".split())
+#: Elements that no name drops.
+TEXTUAL = set("html body main p h1 h2 h3 h4 h5 h6".split())
 #: An open element of the key is closed by the start of one of the value.
 CLOSES = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[^<]*|[^<]+", re.S)
@@ -53,19 +58,25 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]
 def _apart(tag: str, attributes: str, inside: bool) -> bool:
     if tag in APART or tag == "header" and not inside:
         return True
-    if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes:
+    if not attributes:
         return False
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if hidden or name == "style" and "display:none" in value.replace(" ", "") or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
-            words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", a or b or c).lower()))
-            if words & CLASSES or not inside and words & SITE_CLASSES:
+        if name in ("class", "id") and tag not in TEXTUAL:
+            known = {"comment"} if tag == "article" and name == "class" else set() if tag == "article" else CLASSES if inside else CLASSES | SITE_CLASSES
+            if any(_named(x, known) for x in (a or b or c).split()):
                 return True
     return False
 
 
+def _named(token: str, known: set[str]) -> bool:
+    """A whole class name or id that says one of the known words, and nothing that could turn it."""
+    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+    return bool(words & known) and (len(words) == 1 or words <= known | PLACES)
+
+
 def parse(html: str) -> tuple[list[str], list[tuple[str, str, bool, bool, bool]]]:
     """(tag tokens with their paths, blocks: (path, text, set apart, inside an article, mostly links))."""
     tags: list[str] = []
@@ -177,7 +188,7 @@ def article(html: str, template: set[int]) -> str:
     _, blocks = parse(html)
     kept = [b for b in blocks if not b[2]]
     bounded = any(b[3] for b in kept)
-    return "\n".join(b[1] for b in kept if _hash(b[0], b[1]) not in template and (b[3] if bounded else not b[4]))
+    return "\n".join(b[1] for b in kept if _hash(b[0], b[1]) not in template and (b[3] or not bounded and not (b[4] and _hash(b[0]) in template)))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
