@@ -1,6 +1,8 @@
 """Operator 8: licence scans, in DataFrame operations only.
 
-Lines that speak of a licence become sparse TF-IDF vectors; their cosine to templates of notices names the licence. A
+Lines that speak of a licence become sparse TF-IDF vectors; their cosine to templates of notices names the licence, or
+the share of a template's weight that such a line and its neighbours hold (one before, two after): names, years, other
+sentences of the line and wrapping take nothing from that. A
 file whose words are mostly such lines, or whose name says so, is a licence file: files below its directory that name no
 licence themselves inherit it from the nearest ancestor directory, by joining ancestors' paths.
 
@@ -22,6 +24,8 @@ from tracelake.llm.common import materialize
 
 #: Least cosine of a line and a template, and least share of a file's words in such lines to be a licence file.
 LEAST_COSINE, FILE_SHARE = 0.6, 0.5
+#: Least share of a template's weight in a window of lines.
+LEAST_HELD = 0.9
 BROADCAST_ROWS = 100_000
 CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution|rights reserved|public domain|creative commons|cc[ -](?:by|0)|warrant"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|copyright|unlicense|notice)[^/]*$"
@@ -57,7 +61,8 @@ def templates(spark: SparkSession, notices: list[tuple[str, str]] | None = None)
 
 
 def _terms(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"), 0)
+    # "CC BY" is one term: a "by" elsewhere in a window says nothing
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"\bcc by\b", "cc-by"), F.lit(r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"), 0)
 
 
 def _counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -71,7 +76,10 @@ def scan(files: DataFrame, notices: DataFrame, id_col: str = "doc_id", path_col:
     """
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
     told = rows.where(F.col("body").rlike(CUE)).where("doc_id is not null").dropDuplicates(["doc_id"])
-    lines = told.select("doc_id", F.size(_terms(F.col("body"))).alias("words"), F.posexplode_outer(F.split("body", "\n")).alias("nth", "line")).where(F.col("line").rlike(CUE))
+    told = told.select("doc_id", F.size(_terms(F.col("body"))).alias("words"), F.split("body", "\n").alias("all"))
+    wide = lambda i: F.array_join(F.slice("all", F.greatest(i, F.lit(1)), F.when(i > 0, 4).otherwise(3)), " ")
+    windows = F.transform("all", lambda x, i: F.when(x.rlike(CUE), F.struct(i.alias("nth"), x.alias("line"), wide(i).alias("wide"))))
+    lines = told.select("doc_id", "words", F.explode_outer(windows).alias("l")).where("l is not null").select("doc_id", "words", "l.*")
     lines = materialize(lines, "licence-lines")
     total = lines.count()
     terms = _counts(lines, ["doc_id", "nth"], "line")
@@ -79,15 +87,20 @@ def scan(files: DataFrame, notices: DataFrame, id_col: str = "doc_id", path_col:
     unseen = F.log(F.lit(1.0 + total))
     known = _counts(notices, ["template", "licence"], "notice").join(idf, "term", "left").select("template", "licence", "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("tw"))
     known = known.withColumn("tnorm", F.sqrt(F.sum(F.col("tw") * F.col("tw")).over(Window.partitionBy("template"))))
-    known = materialize(known, "licence-templates")
+    known = materialize(known.withColumn("twords", F.count("*").over(Window.partitionBy("template"))), "licence-templates")
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
     weighted = materialize(terms.join(idf, "term").select("doc_id", "nth", "term", (F.col("tf") * F.col("idf")).alias("w")), "licence-terms")
     norms = weighted.groupBy("doc_id", "nth").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighted.join(known, "term").groupBy("doc_id", "nth", "template", "licence").agg((F.sum(F.col("w") * F.col("tw")) / F.first("tnorm")).alias("dot"))
     cosines = dots.join(norms, ["doc_id", "nth"]).select("doc_id", "nth", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= LEAST_COSINE)
-    best = cosines.groupBy("doc_id", "nth").agg(F.min(F.struct((-F.col("score")).alias("minus"), "licence")).alias("b"))
+    around = lines.select("doc_id", "nth", F.explode(F.array_distinct(_terms(F.col("wide")))).alias("term")).join(known, "term")
+    held = around.groupBy("doc_id", "nth", "template", "licence").agg(F.round(F.sum(F.col("tw") * F.col("tw")) / F.first(F.col("tnorm") * F.col("tnorm")), 9).alias("score"), F.first("twords").alias("twords"))
+    held = held.where(F.col("score") >= LEAST_HELD).select("doc_id", "nth", "licence", "score", "twords")
+    named = cosines.withColumn("twords", F.lit(None).cast("long")).unionByName(held)
+    # a line that is a notice counts whole; one that only holds a notice, or a part, counts as the notice's words
+    best = named.groupBy("doc_id", "nth").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("twords").isNotNull().alias("held"), "licence")).alias("b"), F.when(F.count_if(F.col("twords").isNull()) == 0, F.max("twords")).alias("most"))
     sizes = lines.select("doc_id", "nth", "words", F.size(_terms(F.col("line"))).alias("n"))
-    own = best.join(sizes, ["doc_id", "nth"]).groupBy("doc_id").agg(F.min("b").alias("b"), (F.sum("n") / F.max("words")).alias("share"))
+    own = best.join(sizes, ["doc_id", "nth"]).groupBy("doc_id").agg(F.min("b").alias("b"), (F.sum(F.least("n", "most")) / F.max("words")).alias("share"))
     own = materialize(own.select("doc_id", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), "share"), "licences")
 
     named = rows.select("doc_id", "path").join(own, "doc_id", "left")
