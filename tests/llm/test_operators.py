@@ -175,6 +175,18 @@ def test_suffix_arrays_equal_brute_force(spark, docs, with_oddities):
     assert suffixes.without_repeated_bytes(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("hot", "at_once"), [(2, 1 << 19), (20_000, 150)])
+def test_hot_phrases_and_large_groups_equal_brute_force(spark, docs, monkeypatch, hot, at_once):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "AT_ONCE", at_once)
+    line = "one line that many documents hold between other words, long enough for a string of a hundred bytes to lie within "
+    rnd = random.Random(8)
+    more = [(100 + i, f"{rnd.random()} " * rnd.randint(1, 9) + line * rnd.randint(1, 3) + f"{rnd.random()} " * rnd.randint(0, 9)) for i in range(30)]
+    data = [(r[0], r[1]) for r in rows()] + more
+    got = suffixes.without_repeated_bytes(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: (r.n_bytes, sum(r.ends) - sum(r.starts), len(r.starts), bytes(r.kept)) for r in got} == byte_truth(data)
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_suffix_order_equals_brute_force(seed):
     rnd = random.Random(seed)

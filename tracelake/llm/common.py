@@ -5,8 +5,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,17 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "body") -> Iterator[pa.RecordBatch]:
+    """Batches of about ``most`` bytes of text: what a worker holds at once as objects. A longer text stands alone, whole."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def pack(a: np.ndarray) -> bytes:
     """A whole-number array as zstd over its differences."""
     d = np.diff(a.astype(np.int64), prepend=np.int64(0))
@@ -86,6 +100,12 @@ def scaled_partitions(df: DataFrame, mb: int = 16) -> int:
     return max(shuffle_partitions(df.sparkSession), known // (mb << 20) + 1)
 
 
+def joined_by_id(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """rows with what was found for their doc_id (one row an id at most), dealt over n partitions; rows without an id stay where they are."""
+    with_id = rows.where("doc_id is not null").repartition(n, "doc_id").join(found, "doc_id", "left")
+    return with_id.unionByName(rows.where("doc_id is null"), allowMissingColumns=True)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scrambling of unsigned 64-bit numbers."""
     with np.errstate(over="ignore"):

@@ -8,12 +8,18 @@ or in the same one further left. Strings are judged on the input and never cross
    counted across the corpus by hash, packed in blocks: what repeats within a block sends one entry for it;
 2. a string with a phrase that occurs once cannot repeat, so only stretches between such phrases go on. A stretch is
    cut into pieces, one for each run of strings that share their smallest phrase, and goes where that phrase goes: all
-   copies of a string meet in one task, however the documents were dealt. Equal pieces of one block travel once;
+   copies of a string meet in one task, however the documents were dealt. Equal pieces of one block travel once, and so
+   do equal pieces of one phrase in a task: all their bytes repeat, and one of them is left to be sorted;
 3. in a task, the pieces are parsed again, by triggers that depend on four bytes alone. The suffix array of the
    dictionary's phrases and that of the parse give the order of all suffixes: first by the rest of the phrase, then by
    the rank of what follows. Neighbours whose common prefix reaches ``least`` bytes are one string; all but its first
    start in the corpus are marked.
 
+Skew: a phrase of more than ``HOT`` occurrences (a line of a third of all documents) is no one's to own. Its strings are
+dealt by their own 128-bit hash, each once a block, and compared by it; so are those of one phrase whose different pieces
+exceed ``AT_ONCE`` bytes in a task, where a suffix array would take some hundred times their size. Sent to all tasks: the
+hashes of hot phrases, at most (phrases / HOT) of them, where HOT grows with the corpus, so that they stay below 64 MB.
+
 Defined cases: null text is an empty text; texts under ``least`` bytes keep all; a row with a null id keeps all and
 counts for none; repeated rows (same id) are one document; an empty table gives an empty result; other columns are
 ignored. What is left of a document need not be valid UTF-8: it is binary.
@@ -26,17 +32,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bucket_of, materialize, merged, mix, pack, release_shuffles, scaled_partitions, texts, unpack
+from tracelake.llm.common import bucket_of, joined_by_id, materialize, merged, mix, pack, release_shuffles, runs, scaled_partitions, slices, texts, unpack
 from tracelake.llm.substrings import blocks
 
 LEAST = 100
 #: Bytes of a trigger, and of the triggers inside a task.
 GRAM, INNER = 12, 4
-#: Bytes of pieces whose suffixes are sorted at once; those of one phrase stay together.
+#: Bytes of pieces whose suffixes are sorted at once.
 AT_ONCE = 1 << 19
+#: Occurrences of a phrase beyond which its strings are dealt one by one.
+HOT = 20_000
 #: One place in so many (a power of two) triggers inside a task.
 EVERY = 16
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -94,19 +103,22 @@ def parse(body: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     if len(body) < least:
         return none.view(np.uint64), none
-    x = np.frombuffer(body, np.uint8).astype(np.uint64)
-    at = minima(gram_hashes(x, GRAM), _gap(least))
-    new = np.r_[True, at[1:] != at[:-1]]
-    number, at = np.cumsum(new) - 1, at[new]
-    start, end = at[:-1], at[1:] + GRAM
+    n = len(body)
+    up, down = powers(n), powers(n, "down")
+    total = np.zeros(n + 1, np.uint64)
     with np.errstate(over="ignore"):
-        total = np.r_[np.uint64(0), np.cumsum((x + np.uint64(1)) * powers(len(x)), dtype=np.uint64)]
-        h = (total[end] - total[start]) * powers(len(x), "down")[start]
+        # a difference of prefix sums, freed of its place, is the hash of what lies between
+        np.cumsum((np.frombuffer(body, np.uint8) + np.uint64(1)) * up, out=total[1:])
+        at = minima(mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1]), _gap(least))
+        new = np.r_[True, at[1:] != at[:-1]]
+        number, at = np.cumsum(new) - 1, at[new]
+        start, end = at[:-1], at[1:] + GRAM
+        h = (total[end] - total[start]) * down[start]
         return mix(mix(h) + (end - start).astype(np.uint64)), number
 
 
-PHRASES = "bucket long, kind int, doc binary, nth binary, hash binary"
-PHRASES_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("doc", pa.binary()), ("nth", pa.binary()), ("hash", pa.binary())])
+PHRASES = "bucket long, kind int, doc binary, nth binary, hash binary, times binary"
+PHRASES_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in ("doc", "nth", "hash", "times"))])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -114,18 +126,18 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def _by_bucket(bucket: np.ndarray, kind: int, doc: np.ndarray, nth: np.ndarray, h: np.ndarray | None) -> list[tuple]:
+def _by_bucket(bucket: np.ndarray, kind: int, doc: np.ndarray, nth: np.ndarray, h: np.ndarray | None = None, times: np.ndarray | None = None) -> list[tuple]:
     order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
+    cut = np.r_[runs(bucket[order]), len(order)]
     out = []
     for a, z in zip(cut, cut[1:]):
         at = order[a:z]
-        out.append((int(bucket[at[0]]), kind, pack(doc[at]), pack(nth[at]), b"" if h is None else h[at].tobytes()))
+        out.append((int(bucket[at[0]]), kind, pack(doc[at]), pack(nth[at]), b"" if h is None else h[at].tobytes(), b"" if times is None else pack(times[at])))
     return out
 
 
 def _phrases(batches: Iterator[pa.RecordBatch], least: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: phrases to count; kind 1: phrases known to repeat; kind 2: one entry for a repeated one, to tell the others."""
+    """Kind 0: phrases to count; kind 1: phrases known to repeat; kind 2: one entry for a repeated one, to tell the others, and how often it is."""
     for ids, bodies in blocks(batches):
         got = [parse(b, least)[0] for b in bodies]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
@@ -134,65 +146,66 @@ def _phrases(batches: Iterator[pa.RecordBatch], least: int, n: int) -> Iterator[
             continue
         nth = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         order = np.argsort(h, kind="stable")
-        first = np.r_[True, np.diff(h[order]) != 0]
-        lead = np.flatnonzero(first)
-        many = np.repeat(np.diff(np.r_[lead, len(h)]) > 1, np.diff(np.r_[lead, len(h)]))
-        alone, tell, one = np.sort(order[~many]), np.sort(order[many]), order[many & first]
+        lead = runs(h[order])
+        size = np.diff(np.r_[lead, len(h)])
+        many = np.repeat(size > 1, size)
+        alone, tell, one = np.sort(order[~many]), np.sort(order[many]), order[lead[size > 1]]
         rows = _by_bucket((h[alone] % np.uint64(n)).astype(np.int64), 0, doc[alone], nth[alone], h[alone])
-        rows += _by_bucket((h[one] % np.uint64(n)).astype(np.int64), 2, doc[one], nth[one], h[one])
-        rows += _by_bucket(bucket_of(doc[tell], n), 1, doc[tell], nth[tell], None)
+        rows += _by_bucket((h[one] % np.uint64(n)).astype(np.int64), 2, doc[one], nth[one], h[one], size[size > 1])
+        rows += _by_bucket(bucket_of(doc[tell], n), 1, doc[tell], nth[tell])
         yield _table(rows, PHRASES_SCHEMA)
 
 
-def _repeated(table: pa.Table, n: int) -> pa.Table:
-    """Of one range of hashes: the phrases that occur more than once, for their documents' buckets."""
+def _repeated(table: pa.Table, n: int, hot: int) -> pa.Table:
+    """Of one range of hashes: the phrases that occur more than once, for their documents' buckets; bucket -1: hashes of hot ones."""
     rows = [tuple(r.values()) for r in table.filter(pc.equal(table["kind"], 1)).to_pylist()]
     asked = table.filter(pc.not_equal(table["kind"], 1))
     if asked.num_rows:
         doc = np.concatenate([unpack(x) for x in asked["doc"].to_pylist()])
         nth = np.concatenate([unpack(x) for x in asked["nth"].to_pylist()])
         parts = [np.frombuffer(x, np.uint64) for x in asked["hash"].to_pylist()]
+        times = np.concatenate([unpack(t) if t else np.ones(len(p), np.int64) for t, p in zip(asked["times"].to_pylist(), parts)])
         h = np.concatenate(parts)
         known = np.repeat(asked["kind"].to_numpy() == 2, [len(p) for p in parts])
         order = np.argsort(h, kind="stable")
-        lead = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+        lead = runs(h[order])
         size = np.diff(np.r_[lead, len(h)])
         again = order[np.repeat(size > 1, size) & ~known[order]]
         again = again[np.lexsort((nth[again], doc[again]))]
-        rows += _by_bucket(bucket_of(doc[again], n), 1, doc[again], nth[again], None)
+        rows += _by_bucket(bucket_of(doc[again], n), 1, doc[again], nth[again])
+        often = lead[np.add.reduceat(times[order], lead) > hot] if len(lead) else lead
+        if len(often):
+            rows.append((-1, 3, b"", b"", h[order[often]].tobytes(), b""))
     return pa.Table.from_batches([_table(rows, PHRASES_SCHEMA)])
 
 
 def _per_document(table: pa.Table) -> pa.Table:
+    """(doc_id, again): which phrases of a document repeat; without an id, the hashes of hot phrases."""
+    schema = pa.schema([("doc_id", pa.int64()), ("again", pa.binary())])
+    if table["bucket"][0].as_py() < 0:
+        return pa.Table.from_batches([_table([(None, b"".join(table["hash"].to_pylist()))], schema)])
     doc = np.concatenate([unpack(x) for x in table["doc"].to_pylist()])
     nth = np.concatenate([unpack(x) for x in table["nth"].to_pylist()])
     order = np.lexsort((nth, doc))
     doc, nth = doc[order], nth[order]
-    cut = np.flatnonzero(np.r_[True, np.diff(doc) != 0, True]) if len(doc) else np.zeros(1, np.int64)
-    return pa.Table.from_arrays([pa.array([int(doc[a]) for a in cut[:-1]], pa.int64()), pa.array([pack(nth[a:z]) for a, z in zip(cut, cut[1:])], pa.binary())], names=["doc_id", "again"])
-
+    cut = np.r_[runs(doc), len(doc)]
+    return pa.Table.from_batches([_table([(int(doc[a]), pack(nth[a:z])) for a, z in zip(cut, cut[1:])], schema)])
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches of about ``most`` bytes of text: what a worker holds at once as objects."""
-    for b in batches:
-        ends = np.cumsum(pc.binary_length(b.column("body")).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < b.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
-            yield b.slice(start, stop - start)
-            start = stop
 
+PIECE = "bucket long, kind int, key long, doc_id long, at long, twice boolean, body binary, docs binary, places binary"
+PIECE_SCHEMA = pa.schema(
+    [("bucket", pa.int64()), ("kind", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("twice", pa.bool_()), ("body", pa.binary()), ("docs", pa.binary()), ("places", pa.binary())]
+)
 
-PIECE = "bucket long, key long, doc_id long, at long, body binary"
-PIECE_SCHEMA = pa.schema([("bucket", pa.int64()), ("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("body", pa.binary())])
 
-
-def pieces_of(body: bytes, again: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first string, one past the last string, phrase hash) of a text's pieces: strings all of whose phrases repeat, by their smallest phrase."""
+def pieces_of(body: bytes, again: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first string, one past the last string, phrase hash, whether that phrase comes twice) of a text's pieces: strings
+    all of whose phrases repeat, by their smallest phrase. A piece holds a string twice only if it holds its phrase twice."""
     h, number = parse(body, least)
     n = len(body) - least + 1
     if n <= 0 or not len(h):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, none, none.view(np.uint64), none.astype(bool)
     alone = np.ones(len(h), bool)
     alone[again[again < len(h)]] = False
     # the phrases that are sure in a string are lo..hi-1, and there is one at least
@@ -200,39 +213,91 @@ def pieces_of(body: bytes, again: np.ndarray, least: int) -> tuple[np.ndarray, n
     lo, hi = number[:n], number[last : last + n]
     bad = np.r_[0, np.cumsum(alone)]
     good = bad[hi] == bad[lo]
-    # the smallest phrase hash of lo..hi-1, by doubling
-    low, key = [h], np.zeros(n, np.uint64)
-    while 2 ** len(low) <= int((hi - lo).max(initial=1)):
+    # strings change phrases only where lo or hi does: the smallest hash of lo..hi-1 by doubling, once for each such run
+    edge = np.flatnonzero(np.r_[True, (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+    a, z, good = lo[edge], hi[edge], good[edge]
+    low, key = [h], np.zeros(len(edge), np.uint64)
+    while 2 ** len(low) <= int((z - a).max(initial=1)):
         half = 2 ** (len(low) - 1)
         low.append(np.minimum(low[-1][:-half], low[-1][half:]))
-    level = np.frexp(np.maximum(hi - lo, 1))[1] - 1
+    level = np.frexp(np.maximum(z - a, 1))[1] - 1
     for k in range(len(low)):
         m = good & (level == k)
-        key[m] = np.minimum(low[k][lo[m]], low[k][hi[m] - 2**k])
-    edge = np.flatnonzero(np.r_[True, (good[1:] != good[:-1]) | (key[1:] != key[:-1])])
-    stop = np.r_[edge[1:], n]
-    keep = good[edge]
-    return edge[keep], stop[keep], key[edge[keep]]
-
-
-def _pieces(batches: Iterator[pa.RecordBatch], least: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Bucket -1: spans already known to be removed (a piece that equals an earlier one of the block; key: its bytes); else pieces."""
-    for b in _slices(batches, 8 << 20):
-        rows, seen = [], {}
+        key[m] = np.minimum(low[k][a[m]], low[k][z[m] - 2**k])
+    new = np.flatnonzero(np.r_[True, (good[1:] != good[:-1]) | (key[1:] != key[:-1])])
+    begin, stop, key = edge[new], np.r_[edge[new[1:]], n], key[new]
+    keep = good[new]
+    begin, stop, key = begin[keep], stop[keep], key[keep]
+    # a phrase's place among all by (hash, place): how many of its hash lie in the piece
+    names, of = np.unique(h, return_inverse=True)
+    places = np.sort(of * np.int64(len(h) + 1) + np.arange(len(h)))
+    base = np.searchsorted(names, key) * np.int64(len(h) + 1)
+    twice = np.searchsorted(places, base + hi[stop - 1]) - np.searchsorted(places, base + lo[begin]) > 1
+    return begin, stop, key, twice
+
+
+def _digests(body: bytes, n: int, least: int) -> bytes:
+    return b"".join([xxhash.xxh3_128_digest(body[i : i + least]) for i in range(n)])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], least: int, n: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Kind 0: pieces; kind 1: spans already known to be removed (pieces that equal an earlier one of the block), their
+    sizes in places; kind 2: strings of hot phrases, dealt by hash."""
+    for b in slices(batches, 8 << 20):
+        rows, seen, known, strings = [], {}, [], {}
         order = np.argsort(b.column("doc_id").to_numpy(zero_copy_only=False), kind="stable").tolist()
         docs, bodies, again = b.column("doc_id"), b.column("body"), b.column("again")
         for i in order:
             doc, body = docs[i].as_py(), bodies[i].as_py()
-            for a, z, key in zip(*(x.tolist() for x in pieces_of(body, unpack(again[i].as_py()), least))):
+            begin, stop, key, twice = pieces_of(body, unpack(again[i].as_py()), least)
+            often = np.isin(key, hot).tolist() if len(hot) else [False] * len(key)
+            for a, z, k, t, o in zip(begin.tolist(), stop.tolist(), key.tolist(), twice.tolist(), often):
                 text = body[a : z + least - 1]
                 if (first := seen.setdefault(text, (doc, a))) != (doc, a):
                     if first[0] < doc or first[1] < a:
-                        rows.append((-1, z - a + least - 1, doc, a, b""))
-                    continue
-                rows.append((key % n, key - (1 << 63), doc, a, text))
+                        known.append((doc, a, len(text)))
+                elif o:
+                    digests = _digests(text, z - a, least)
+                    for j in range(z - a):
+                        at = strings.setdefault(digests[16 * j : 16 * j + 16], (doc, a + j))
+                        if at != (doc, a + j) and (at[0] < doc or at[1] < a + j):
+                            known.append((doc, a + j, least))
+                else:
+                    rows.append((k % n, 0, k - (1 << 63), doc, a, t, text, b"", b""))
+        if known:
+            d, a, size = np.array(known, np.int64).T
+            s, e, d = merged_by(d, a, a + size)
+            rows.append((int(d[0]) % n, 1, 0, 0, 0, False, pack(e - s), pack(d), pack(s)))
+        if strings:
+            digests = np.frombuffer(b"".join(strings), np.uint64).reshape(-1, 2)
+            of = np.array(list(strings.values()), np.int64)
+            bucket = (digests[:, 0] % np.uint64(n)).astype(np.int64)
+            by = np.lexsort((of[:, 1], of[:, 0], bucket))
+            cut = np.r_[runs(bucket[by]), len(by)]
+            for x, y in zip(cut, cut[1:]):
+                at = by[x:y]
+                rows.append((int(bucket[at[0]]), 2, 0, 0, 0, False, digests[at].tobytes(), pack(of[at, 0]), pack(of[at, 1])))
         yield _table(rows, PIECE_SCHEMA)
 
 
+def merged_by(doc: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, doc): the union of intervals of each document."""
+    if not len(doc):
+        return starts, ends, doc
+    names, rank = np.unique(doc, return_inverse=True)
+    wide = np.int64(ends.max() + 2)
+    s, e = merged(starts + rank * wide, ends + rank * wide)
+    rank = s // wide
+    return s - rank * wide, e - rank * wide, names[rank]
+
+
+def _later(digests: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the strings is not the first of its 128 bits."""
+    order = np.lexsort((at, doc, digests[:, 1], digests[:, 0]))
+    d = digests[order]
+    return order[np.r_[False, (d[1:] == d[:-1]).all(axis=1)]]
+
+
 def _ranks(keys: np.ndarray) -> np.ndarray:
     return np.unique(keys, return_inverse=True)[1].astype(np.int64)
 
@@ -337,52 +402,74 @@ def first_starts(texts_: list[bytes], order_key: np.ndarray, least: int) -> list
     return [later[s:e] - base[i] for i, (s, e) in enumerate(zip(bounds, bounds[1:]))]
 
 
-def _periodic(body: bytes, least: int) -> bool:
-    n = len(body) - least + 1
-    return len({body[i : i + least] for i in range(n)}) < n
-
-
-def _marked(table: pa.Table, least: int) -> pa.Table:
+def _marked(table: pa.Table, least: int, at_once: int) -> pa.Table:
     """(doc_id, start, end) of spans to remove, of one bucket."""
-    known = table.filter(pc.equal(table["bucket"], -1))
-    docs, starts = [known["doc_id"].to_numpy()], [known["at"].to_numpy()]
-    ends = [starts[0] + known["key"].to_numpy()]
-    asked = table.filter(pc.not_equal(table["bucket"], -1)).sort_by([("key", "ascending"), ("doc_id", "ascending"), ("at", "ascending")])
+    docs, starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def put(d: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        docs.append(d)
+        starts.append(s)
+        ends.append(e)
+
+    def strings(digests: list[bytes], doc: np.ndarray, at: np.ndarray) -> None:
+        later = _later(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), doc, at)
+        put(doc[later], at[later], at[later] + least)
+
+    for row in table.filter(pc.equal(table["kind"], 1)).select(["docs", "places", "body"]).to_pylist():
+        d, s, size = (unpack(x) for x in row.values())
+        put(d, s, s + size)
+    dealt = table.filter(pc.equal(table["kind"], 2))
+    if dealt.num_rows:
+        strings(dealt["body"].to_pylist(), *(np.concatenate([unpack(x) for x in dealt[c].to_pylist()]) for c in ("docs", "places")))
+    asked = table.filter(pc.equal(table["kind"], 0))
+    key, doc, at, twice = (asked[c].to_numpy() for c in ("key", "doc_id", "at", "twice"))
+    order = np.lexsort((at, doc, key))
+    cut = np.r_[runs(key[order]), len(order)]
+    # a piece that shares its phrase with none, and holds it once, repeats nothing
+    groups = np.flatnonzero((np.diff(cut) > 1) | np.logical_or.reduceat(twice[order], cut[:-1])) if len(order) else []
+    texts_ = asked["body"]
     apart: list[tuple[int, int, bytes]] = []
     copies: list[tuple[int, int, int]] = []
-    now, bodies = None, {}
+    size = 0
 
     def sort() -> None:
-        doc, at = np.array([x[0] for x in apart]), np.array([x[1] for x in apart])
-        order = _ranks(doc) * (int(at.max()) + (1 << 32)) + at
-        for d, a, f in zip(doc.tolist(), at.tolist(), first_starts([x[2] for x in apart], order, least)):
-            if len(f):
-                s, e = merged(f + a, f + a + least)
-                docs.append(np.full(len(s), d))
-                starts.append(s)
-                ends.append(e)
+        nonlocal size
+        d, a = np.array([x[0] for x in apart]), np.array([x[1] for x in apart])
+        rank = _ranks(d) * (int(a.max()) + (1 << 32)) + a
+        found = first_starts([x[2] for x in apart], rank, least)
+        of = np.repeat(np.arange(len(apart)), [len(f) for f in found])
+        first = np.concatenate(found) + a[of]
+        s, e, text = merged_by(of, first, first + least)
+        put(d[text], s, e)
         apart.clear()
-
-    def compare(last: bool = False) -> None:
-        """Only the different pieces of a phrase need their suffixes sorted, or one in which a string comes twice."""
-        if len(bodies) > 1 or any(_periodic(body, least) for body in bodies):
-            apart.extend((d, a, body) for body, (d, a) in bodies.items())
-        if apart and (last or sum(len(x[2]) for x in apart) >= AT_ONCE):
+        size = 0
+
+    for g in groups:
+        mine = order[cut[g] : cut[g + 1]]
+        bodies: dict[bytes, tuple[int, int]] = {}
+        for i in mine.tolist():
+            body, here = texts_[i].as_py(), (int(doc[i]), int(at[i]))
+            if bodies.setdefault(body, here) != here:
+                copies.append((*here, here[1] + len(body)))
+        if len(bodies) == 1 and not twice[mine[0]]:
+            continue
+        bytes_ = sum(map(len, bodies))
+        if bytes_ > at_once and len(bodies) > 1:
+            n = np.array([len(x) - least + 1 for x in bodies])
+            d, a = np.array(list(bodies.values()), np.int64).T
+            a = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            strings([_digests(x, len(x) - least + 1, least) for x in bodies], np.repeat(d, n), a)
+            continue
+        apart.extend((d, a, body) for body, (d, a) in bodies.items())
+        size += bytes_
+        if size >= at_once:
             sort()
-
-    for key, doc, at, body in zip(*(asked[c].to_pylist() for c in ("key", "doc_id", "at", "body"))):
-        if key != now:
-            compare()
-            now, bodies = key, {}
-        if bodies.setdefault(body, (doc, at)) < (doc, at):
-            copies.append((doc, at, at + len(body)))
-    compare(last=True)
+    if apart:
+        sort()
     if copies:
-        d, a, z = np.array(copies).T
-        docs.append(d)
-        starts.append(a)
-        ends.append(z)
-    return pa.table({"doc_id": np.concatenate(docs), "start": np.concatenate(starts), "end": np.concatenate(ends)})
+        put(*np.array(copies, np.int64).T)
+    s, e, d = merged_by(np.concatenate(docs), np.concatenate(starts), np.concatenate(ends))
+    return pa.table({"doc_id": d, "start": s, "end": e})
 
 
 def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,12 +477,16 @@ def repeated_spans(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id",
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
     n = scaled_partitions(docs.select(text_col), 4)
-    counted = rows.mapInArrow(lambda b: _phrases(b, least, n), PHRASES).groupBy("bucket").applyInArrow(lambda t: _repeated(t, n), PHRASES)
-    again = materialize(counted.groupBy("bucket").applyInArrow(_per_document, "doc_id long, again binary"), "again")
+    often, at_once = max(HOT, n // 16), AT_ONCE
+    counted = rows.mapInArrow(lambda b: _phrases(b, least, n), PHRASES).repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _repeated(t, n, often), PHRASES)
+    again = materialize(counted.repartition(n, "bucket").groupBy("bucket").applyInArrow(_per_document, "doc_id long, again binary"), "again")
     release_shuffles(spark)
-    pieces = rows.join(again, "doc_id").mapInArrow(lambda b: _pieces(b, least, 8 * n), PIECE)
-    spread = pieces.withColumn("part", F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("doc_id"), F.lit(n))).otherwise(0))
-    spans = materialize(spread.groupBy("bucket", "part").applyInArrow(lambda t: _marked(t, least), SPAN), "byte-spans")
+    # one row, of at most (phrases / often) hashes
+    hot = np.frombuffer(b"".join(bytes(r.again) for r in again.where("doc_id is null").collect()), np.uint64)
+    sent = spark.sparkContext.broadcast(hot)
+    asked = rows.repartition(n, "doc_id").join(again.where("doc_id is not null").repartition(n, "doc_id"), "doc_id")
+    pieces = asked.mapInArrow(lambda b: _pieces(b, least, 8 * n, sent.value), PIECE)
+    spans = materialize(pieces.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _marked(t, least, at_once), SPAN), "byte-spans")
     release_shuffles(spark)
     return spans
 
@@ -405,7 +496,7 @@ KEPT = "doc_id long, n_bytes long, starts array<long>, ends array<long>, kept bi
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _slices(batches):
+    for b in slices(batches):
         size, starts, ends, kept = [], [], [], []
         for body, first, last in zip(b.column("body").to_pylist(), b.column("starts"), b.column("ends")):
             s = e = np.zeros(0, np.int64)
@@ -422,6 +513,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def without_repeated_bytes(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, starts, ends, kept): for each row its bytes, the maximal runs removed, and the bytes left."""
-    spans = repeated_spans(docs, least, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    n = scaled_partitions(docs.select(text_col), 4)
+    spans = repeated_spans(docs, least, id_col, text_col).repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = spans.select("doc_id", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-    return texts(docs, id_col, text_col).join(spans, "doc_id", "left").mapInArrow(_kept, KEPT)
+    return joined_by_id(texts(docs, id_col, text_col), spans, n).mapInArrow(_kept, KEPT)
