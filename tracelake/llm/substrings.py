@@ -9,7 +9,8 @@ the square of it, so the reference is first cut down and cut up, in work that fo
    so a passage of a third of the corpus sends one entry a batch. The owners' windows, in maximal runs, are the
    reference: each repeated passage once;
 2. shards: reference runs go to shards by owner, of a bounded number of words each; a document goes to the shards that
-   own its windows, only with the runs in question. A shard asked by many documents is sent to several tasks (the
+   own its windows, only with the runs in question. An owner hears of a window once from the range of its hash, and once
+   from its own block, however many documents ask. A shard asked by many documents is sent to several tasks (the
    broadcast), each with its part of the documents;
 3. each task builds the suffix automaton of its shard's runs and streams the documents' words for their matching
    statistics; maximal spans at or above the threshold are removed. The automaton compares words, so a hash collision
@@ -31,13 +32,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bucket_of, materialize, merged, mix, pack, release_shuffles, scaled_partitions, texts, unpack
+from tracelake.llm.common import bucket_of, joined_by_id, materialize, merged, mix, pack, release_shuffles, runs, scaled_partitions, slices, texts, unpack
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of reference in a shard, and bytes of documents that one task streams past it.
-SHARD_WORDS, TASK_BYTES = 100_000, 8 << 20
+SHARD_WORDS, TASK_BYTES = 50_000, 8 << 20
 #: Text of one block of window hashes.
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 3 << 20
+#: Shards whose sizes (two numbers each) are still broadcast.
+BROADCAST_SHARDS = 500_000
 ENTRY = ("doc", "pos", "owner", "at")
 PACKED = "bucket long, kind int, " + ", ".join(f"{x} binary" for x in ENTRY)
 PACKED_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in ENTRY)])
@@ -47,7 +50,7 @@ class WordHashes(dict):
     """Hash by word, kept for words seen; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -72,8 +75,8 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
         order = sorted(range(len(ids)), key=ids.__getitem__)
         return np.array([ids[i] for i in order], np.int64), [bodies[i] for i in order]
 
-    for b in batches:
-        for i, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+    for b in slices(batches, most):
+        for i, body in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist()):
             if i is not None:
                 ids.append(i)
                 bodies.append(body)
@@ -102,7 +105,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: windows to look up (doc, pos, hash in ``owner``); kind 1: windows whose smaller document is in the block."""
+    """Kind 0: windows to look up (doc, pos, hash in ``owner``); kind 1: windows whose smaller document is in the block; kind 2: that document's."""
     known = WordHashes()
     for ids, bodies in blocks(batches):
         split = [b.split() for b in bodies]
@@ -126,14 +129,19 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, n: int) -> Iterator
             # ``owner`` carries the hash, whole; the bucket is its range
             yield _packed(rows_by((h[ask] % np.uint64(n)).astype(np.int64), 0, doc[ask], pos[ask], h[ask], np.zeros(len(ask), np.int8)))
         if len(tell):
-            yield _packed(rows_by(bucket_of(doc[tell], n), 1, doc[tell], pos[tell], doc[owner_at[tell]], pos[owner_at[tell]]))
+            yield _packed(_told(doc, pos, tell, owner_at[tell], n))
+
+
+def _told(doc: np.ndarray, pos: np.ndarray, at: np.ndarray, lead: np.ndarray, n: int) -> list[tuple]:
+    """Kind 1: the windows ``at`` with those that own them, by document; kind 2: the owning windows, once each, by owner."""
+    own = np.unique(lead)
+    none = np.zeros(len(own), np.int8)
+    return rows_by(bucket_of(doc[at], n), 1, doc[at], pos[at], doc[lead], pos[lead]) + rows_by(bucket_of(doc[own], n), 2, doc[own], pos[own], none, none)
 
 
 def _owners(table: pa.Table, n: int) -> pa.Table:
-    """Of one range of hashes: (document, window, owner, its window) of all that a smaller document holds too."""
-    out = []
-    for row in table.filter(pc.equal(table["kind"], 1)).to_pylist():
-        out.append(tuple(row.values()))
+    """Of one range of hashes: kinds 1 and 2 of all windows that a smaller document holds too."""
+    out = [tuple(row.values()) for row in table.filter(pc.not_equal(table["kind"], 0)).to_pylist()]
     asked = table.filter(pc.equal(table["kind"], 0))
     if asked.num_rows:
         doc = np.concatenate([unpack(x) for x in asked["doc"].to_pylist()])
@@ -152,34 +160,36 @@ def _owners(table: pa.Table, n: int) -> pa.Table:
             lead = np.repeat(lead, np.diff(np.r_[lead, len(group)]))
             at = np.flatnonzero(d > d[lead])
             at = at[np.lexsort((p[at], d[at]))]
-            out += rows_by(bucket_of(d[at], n), 1, d[at], p[at], d[lead[at]], p[lead[at]])
+            out += _told(d, p, at, lead[at], n)
     return pa.Table.from_batches([_packed(out)])
 
 
-NEED = "doc_id long, role int, words long, starts binary, sizes binary, owner binary"
-NEED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("role", pa.int32()), ("words", pa.int64()), ("starts", pa.binary()), ("sizes", pa.binary()), ("owner", pa.binary())])
+NEED = "doc_id long, words long, shown binary, lengths binary, starts binary, sizes binary, owner binary"
+NEED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), *((x, pa.binary()) for x in ("shown", "lengths", "starts", "sizes", "owner"))])
 
 
 def _needs(table: pa.Table, window: int) -> pa.Table:
-    """Runs of covered windows by document (role 1), and the runs that their owners must show (role 0)."""
-    doc, pos, owner, at = (np.concatenate([unpack(x) for x in table[c].to_pylist()]) for c in ENTRY)
+    """One row a document: runs of its windows that it must show as owner (shown, lengths; words in all), and runs that
+    others own (starts, sizes, owner)."""
+    kind = table["kind"].to_numpy()
+    read = lambda c, k: np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in table[c].filter(pa.array(kind == k)).to_pylist())])
+    doc, pos, owner, at = (read(c, 1) for c in ENTRY)
     order = np.lexsort((pos, doc))
     doc, pos, owner, at = doc[order], pos[order], owner[order], at[order]
-    first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(pos) != 1) | (np.diff(owner) != 0) | (np.diff(at) != 1)])
-    size = np.diff(np.r_[first, len(doc)])
+    first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(pos) != 1) | (np.diff(owner) != 0) | (np.diff(at) != 1)][: len(doc)])
+    asked = doc[first], pos[first], np.diff(np.r_[first, len(doc)]), owner[first]
+    doc, pos = read("doc", 2), read("pos", 2)
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(pos) != 0)][: len(doc)]
+    doc, pos = doc[new], pos[new]
+    first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(pos) != 1)][: len(doc)])
+    shown = doc[first], pos[first], np.diff(np.r_[first, len(doc)])
     rows = []
-
-    def put(role: int, key: np.ndarray, start: np.ndarray, size: np.ndarray, own: np.ndarray) -> None:
-        cut = np.flatnonzero(np.r_[True, np.diff(key) != 0, True])
-        for a, z in zip(cut, cut[1:]):
-            rows.append((int(key[a]), role, int((size[a:z] + window - 1).sum()), pack(start[a:z]), pack(size[a:z]), pack(own[a:z])))
-
-    put(1, doc[first], pos[first], size, owner[first])
-    by = np.lexsort((at[first], owner[first]))
-    own, start, end = owner[first][by], at[first][by], (at[first] + size)[by]
-    for a, z in zip(*(lambda c: (c, c[1:]))(np.flatnonzero(np.r_[True, np.diff(own) != 0, True]))):
-        s, e = merged(start[a:z], end[a:z])
-        put(0, np.full(len(s), own[a]), s, e - s, np.full(len(s), own[a]))
+    for d in np.union1d(asked[0], shown[0]).tolist():
+        a, z = np.searchsorted(asked[0], [d, d + 1])
+        x, y = np.searchsorted(shown[0], [d, d + 1])
+        rows.append((d, int((shown[2][x:y] + window - 1).sum()), *(pack(v[x:y]) for v in shown[1:]), *(pack(v[a:z]) for v in asked[1:])))
     columns = list(zip(*rows)) if rows else [[]] * len(NEED_SCHEMA)
     return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, NEED_SCHEMA)], schema=NEED_SCHEMA)
 
@@ -189,21 +199,19 @@ SEGMENT_SCHEMA = pa.schema([("shard", pa.int64()), ("role", pa.int32()), ("doc_i
 
 
 def _segments(batches: Iterator[pa.RecordBatch], window: int, shards: int) -> Iterator[pa.RecordBatch]:
-    """Words of the runs in question: lines of words, for the shard of their owner."""
-    for b in batches:
+    """Words of the runs in question: lines of words, for the shard of their owner. Role 0 is reference, role 1 asks."""
+    for b in slices(batches):
         rows = []
-        for doc, body, needs in zip(b.column("doc_id").to_pylist(), b.column("body").to_pylist(), b.column("needs").to_pylist()):
-            words = body.split()
-            for role in (0, 1):
-                got = [x for x in needs if x["role"] == role]
-                if not got:
-                    continue
-                start, size, owner = (np.concatenate([unpack(x[c]) for x in got]) for c in ("starts", "sizes", "owner"))
-                shard = bucket_of(owner, shards)
+        for row in b.to_pylist():
+            doc, words = row["doc_id"], row["body"].split()
+            shown, asked = unpack(row["shown"]), unpack(row["starts"])
+            for role, start, size, shard in (
+                (0, shown, unpack(row["lengths"]), bucket_of(np.full(len(shown), doc), shards)),
+                (1, asked, unpack(row["sizes"]), bucket_of(unpack(row["owner"]), shards)),
+            ):
                 for k in np.unique(shard):
                     s, e = merged(start[shard == k], (start + size)[shard == k])
-                    lines = [b" ".join(words[i : j + window - 1]) for i, j in zip(s.tolist(), e.tolist())]
-                    text = b"\n".join(lines)
+                    text = b"\n".join([b" ".join(words[i : j + window - 1]) for i, j in zip(s.tolist(), e.tolist())])
                     rows.append((int(k), role, doc, len(text), pack(s), text))
         columns = list(zip(*rows)) if rows else [[]] * len(SEGMENT_SCHEMA)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, SEGMENT_SCHEMA)], schema=SEGMENT_SCHEMA)
@@ -303,26 +311,27 @@ def covered_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
     n = scaled_partitions(docs.select(text_col), 4)
-    packed = rows.mapInArrow(lambda batches: _windows(batches, window, n), PACKED)
-    owners = packed.groupBy("bucket").applyInArrow(lambda t: _owners(t, n), PACKED)
-    needs = materialize(owners.groupBy("bucket").applyInArrow(lambda t: _needs(t, window), NEED), "needs")
+    packed = rows.mapInArrow(lambda batches: _windows(batches, window, 4 * n), PACKED)
+    owners = packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _owners(t, 4 * n), PACKED)
+    needs = materialize(owners.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _needs(t, window), NEED), "needs")
     release_shuffles(spark)
-    shards = int(needs.where("role = 0").agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS + 1
-    asked = needs.groupBy("doc_id").agg(F.collect_list(F.struct("role", "starts", "sizes", "owner")).alias("needs"))
-    segments = materialize(rows.join(asked, "doc_id").mapInArrow(lambda batches: _segments(batches, window, shards), SEGMENT), "segments")
+    shards = int(needs.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS + 1
+    asked = rows.repartition(n, "doc_id").join(needs.repartition(n, "doc_id"), "doc_id")
+    segments = materialize(asked.mapInArrow(lambda batches: _segments(batches, window, shards), SEGMENT), "segments")
     release_shuffles(spark)
     tasks = segments.where("role = 1").groupBy("shard").agg((F.floor(F.sum("n_bytes") / TASK_BYTES) + 1).cast("int").alias("tasks"))
-    dealt = segments.join(tasks, "shard").withColumn(
+    dealt = segments.join(F.broadcast(tasks) if shards <= BROADCAST_SHARDS else tasks, "shard").withColumn(
         "task", F.explode(F.when(F.col("role") == 0, F.sequence(F.lit(0), F.col("tasks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("tasks").cast("long")).cast("int"))))
     )
-    return materialize(dealt.select("shard", "task", "role", "doc_id", "starts", "body").groupBy("shard", "task").applyInArrow(lambda t: _covered(t, window), COVER), "spans")
+    dealt = dealt.select("shard", "task", "role", "doc_id", "starts", "body").repartition(n, "shard", "task")
+    return materialize(dealt.groupBy("shard", "task").applyInArrow(lambda t: _covered(t, window), COVER), "spans")
 
 
 KEPT = "doc_id long, n_words long, starts array<long>, ends array<long>, kept binary"
 
 
 def _kept(batches: Iterator[pa.RecordBatch], layout: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         n_words, starts, ends, kept = [], [], [], []
         for body, spans in zip(b.column("body").to_pylist(), b.column("spans").to_pylist()):
             words = body.split()
@@ -346,12 +355,13 @@ def without_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     ``layout`` leaves texts that lose nothing as they are; the columns of ``carry`` come along in a struct, carried.
     """
-    spans = covered_spans(docs, window, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
-    if not carry:
-        return texts(docs, id_col, text_col).join(spans, "doc_id", "left").mapInArrow(lambda b: _kept(b, layout), KEPT)
-    rows = docs.select(F.struct(*carry).alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
-    kind = rows.schema["carried"].dataType.simpleString()
-    return rows.join(spans, "doc_id", "left").mapInArrow(lambda b: _kept(b, layout), f"{KEPT}, carried {kind}")
+    n = scaled_partitions(docs.select(text_col), 4)
+    spans = covered_spans(docs, window, id_col, text_col).repartition(n, "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("starts", "ends")).alias("spans"))
+    rows, kind = texts(docs, id_col, text_col), KEPT
+    if carry:
+        rows = docs.select(F.struct(*carry).alias("carried"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+        kind += f", carried {rows.schema['carried'].dataType.simpleString()}"
+    return joined_by_id(rows, spans, n).mapInArrow(lambda b: _kept(b, layout), kind)
 
 
 def removed_words() -> F.Column:
