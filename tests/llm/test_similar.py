@@ -4,6 +4,7 @@ import importlib.util
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tracelake.llm import similar
@@ -60,6 +61,38 @@ def test_similar_equals_brute_force(spark):
     assert similar.similar(docs.limit(0)).count() == 0
 
 
+def test_buckets_dealt_out_by_set_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(similar, "HOT", 3)
+    rows = edited_rows(9)
+    assert sorted(((r.doc_id, r.component_id) for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == truth(rows)
+
+
+def test_buckets_are_streamed_whole():
+    rnd = random.Random(3)
+    rows = sorted((rnd.randrange(12), rnd.randrange(2), rnd.randrange(25), 9, 1) for _ in range(160))
+    table = [(h, s, 1 + h % 2, node, n, p) for h, s, node, n, p in rows]
+    kinds = [("h", pa.int64()), ("salt", pa.int32()), ("salts", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32())]
+    for size in (1, 2, 7, 160):
+        batches = pa.Table.from_arrays([pa.array([r[i] for r in table], k) for i, (_, k) in enumerate(kinds)], names=[k for k, _ in kinds]).to_batches(size)
+        got = sorted((r["h"], r["node"], r["leader"]) for b in similar._shared(iter(batches)) for r in b.to_pylist())
+        want = []
+        for key in {(r[0], r[1]) for r in rows}:
+            members = sorted({r[2] for r in rows if r[:2] == key})
+            want += [(key[0], m, members[0]) for m in members if len(members) > 1 or key[0] % 2]
+        assert got == sorted(want)
+
+
+def test_bitmaps_rule_out_nothing_alike():
+    rnd = np.random.default_rng(1)
+    for n in (1, 5, 40, 300):
+        for _ in range(40):
+            a = np.unique(rnd.integers(0, 1 << 62, n).astype(np.uint64))
+            b = np.unique(np.r_[a[rnd.random(len(a)) < 0.9], rnd.integers(0, 1 << 62, max(1, n // 10)).astype(np.uint64)])
+            assert similar.may_be_alike(len(a), similar.bitmap(a), len(b), similar.bitmap(b)) or not similar.alike(a, b)
+    far = [np.unique(rnd.integers(0, 1 << 62, 200).astype(np.uint64)) for _ in range(2)]
+    assert not similar.may_be_alike(200, similar.bitmap(far[0]), 200, similar.bitmap(far[1]))
+
+
 def test_the_bound_is_exact():
     a = np.arange(9, dtype=np.uint64)
     assert similar.alike(a, a + np.uint64(1)) and not similar.alike(a[:8], a[:8] + np.uint64(1))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialize, release_shuffles
+from tracelake.llm.common import discard, materialize, release_shuffles
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(edges.where("a is not null and b is not null and a <> b").select("a", "b").distinct(), "edges")
     before = None
     for _ in range(rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        old, now = now, materialize(_small_star(_large_star(now)), "stars")
+        discard(old)
         state = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1000003)).first()
         release_shuffles(edges.sparkSession)
         if state == before or not state[0]:

@@ -3,16 +3,18 @@
 64 bits of SimHash do not tell 0.8 apart (texts of that similarity differ in about 10 bits, give or take 3, so that no
 narrow threshold finds them all); it links the closest texts first, and a prefix filter finds the rest:
 
-1. SimHash of the shingles, links of ``TAU`` bits or fewer (``simhash.links``), each checked on the sets; components.
-2. Every set is put in one order of shingles, the rare ones first by a fixed-size sketch of their counts (any order that
-   is the same for all sets is right; the sketch only keeps common passages out of the prefixes). Sets of similarity 0.8
-   share a shingle of their first n - ceil(0.8 n) + 1. Rows of these prefixes meet by shingle.
-3. Of each bucket with more than one component one member (another in each bucket) is checked with the others, then,
-   over the components that this leaves, all pairs of different components whose sizes and places allow 0.8.
-
-No pair is accepted unchecked, and none of 0.8 is passed over unless its ends already share a component. Equal sets are
-folded before. Rows of one shingle grow with the texts that hold it among their rarest fifth; pairs with those of them that are
-neither linked by then nor ruled out by size or place.
+1. one pass names every text's set (a hash), with its SimHash, its size, and a bitmap of ``LOAD`` bits a shingle or more;
+   equal sets are folded. The same pass sketches how common shingles are.
+2. Every set is put in one order of shingles, the rare ones first by the sketch (any order that is the same for all sets is
+   right; the sketch only keeps common passages out of the prefixes). Sets of similarity 0.8 share a shingle of their first
+   n - ceil(0.8 n) + 1. Rows of these prefixes meet by shingle; buckets of common shingles are dealt out by set as well.
+3. Candidates are the SimHash links of ``TAU`` bits or fewer (``simhash.links``), and of each bucket its smallest set with
+   the others; then, over the components that these leave, all pairs of different components in one bucket whose sizes and
+   places allow 0.8.
+4. A candidate is dropped if the bitmaps rule it out: a bit that only one has is a shingle that only one has. What is left is
+   checked on the sets, which are spelled out for those texts alone.
+
+No pair is accepted unchecked, and none of 0.8 is passed over unless its ends already share a component.
 
 Defined cases are those of ``simhash``: a null text is empty, empty texts are alike, a text of fewer words than a shingle
 is one shingle, a null id takes part and names nothing.
@@ -25,30 +27,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import materialize, mix, release_shuffles, runs, texts
+from tracelake.llm.common import discard, materialize, mix, release_shuffles, runs, scaled_partitions, slices, texts
 from tracelake.llm.components import components
-from tracelake.llm.simhash import SEED, fingerprint, links
+from tracelake.llm.simhash import SEED, links
+from tracelake.llm.substrings import WordHashes, window_hashes
 
 SHINGLE, TAU = 5, 3
-#: Counters of the sketch of shingles.
-CELLS = 1 << 16
-SETS = "doc_id long, node long, fp long"
+#: Counters of the sketch of shingles, and the count from which a cell's buckets are dealt out by set.
+CELLS, HOT = 1 << 16, 200_000
+#: Bits of a bitmap for each shingle, at least.
+LOAD = 4
+#: Ids that are still broadcast: 8 bytes each.
+BROADCAST_IDS = 500_000
 PAIR = "a long, b long"
 
 
-def shingles(body: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The set of a text: sorted XXH64 values of its word shingles."""
-    words = body.lower().split()
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes + 1) - sizes - 1
-    ends = (starts + sizes)[shingle - 1 :].tolist()
-    return np.unique(np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts.tolist(), ends)], np.uint64))
+def shingle_sets(bodies: list[bytes], shingle: int, known: WordHashes) -> list[np.ndarray]:
+    """The set of each text: sorted hashes of its word shingles."""
+    split = [b.lower().split() for b in bodies]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    words = np.fromiter((known[w] for ws in split for w in ws), np.uint64, int(sizes.sum()))
+    h, at = window_hashes(words, shingle), (np.cumsum(sizes) - sizes).tolist()
+    out = []
+    for a, n in zip(at, sizes.tolist()):
+        if n >= shingle:
+            out.append(np.unique(h[a : a + n - shingle + 1]))
+        else:
+            out.append(np.array([xxhash.xxh64_intdigest(words[a : a + n].tobytes(), SEED)], np.uint64))
+    return out
 
 
 def _node(s: np.ndarray) -> int:
@@ -60,172 +69,238 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(a, b, assume_unique=True)) >= 4 * (len(a) + len(b))
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    width = max(64, 1 << (LOAD * len(s) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_alike(n: int, x: bytes, m: int, y: bytes) -> bool:
+    """False only if the bitmaps of sets of n and m shingles rule a similarity of 4/5 out. The wider one folds onto the other."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    width = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, width), axis=0) for v in (a, b))
+    both = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 9 * both >= 4 * (n + m)
+
+
 def _cell(s: np.ndarray) -> np.ndarray:
     return (mix(s) % np.uint64(CELLS)).astype(np.int64)
 
 
-def _sketch(rows: DataFrame, shingle: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(CELLS, np.int64)
-        for b in batches:
-            for x in b.column(1):
-                np.add.at(table, _cell(shingles(x.as_py(), shingle)), 1)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["cell", "n"])
-
-    out = np.zeros(CELLS, np.int64)
-    for cell, n in rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n")).collect():
-        out[cell] = n
-    return out
+def _simhashes(sets: list[np.ndarray]) -> np.ndarray:
+    """A bit is set if it is set in over half of a set's hashes."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    bits = np.unpackbits(np.concatenate(sets).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _names(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, node, fp, n, bits) of each text; rows of n = -1 are the sketch: its cell in node, its count in fp."""
+    known, table = WordHashes(), np.zeros(CELLS, np.int64)
+    names = ["doc_id", "node", "fp", "n", "bits"]
+    for b in slices(batches, 2 << 20):
+        sets = shingle_sets(b.column("body").to_pylist(), shingle, known)
+        table += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), pa.array(list(map(_node, sets)), pa.int64()), pa.array(_simhashes(sets).view(np.int64)), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(bitmap, sets)), pa.binary())], names=names
+        )
+    at = np.flatnonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(table[at]), pa.array(np.full(len(at), -1, np.int32)), pa.array([b""] * len(at), pa.binary())], names=names)
 
 
 def _prefixes(rows: DataFrame, counts: np.ndarray, shingle: int) -> DataFrame:
-    """(h, node, n, place): the first shingles of each set, n of its size."""
+    """(h, salt, salts, node, n, place): the first shingles of each set, n of its size; salts: parts of the bucket."""
     held = rows.sparkSession.sparkContext.broadcast(counts)
+    hot = HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: set[int] = set()
+        known = WordHashes()
+        for b in slices(batches, 2 << 20):
+            found = {_node(s): s for s in shingle_sets(b.column("body").to_pylist(), shingle, known)}
             h, node, n, place = [], [], [], []
-            for x in b.column(1):
-                s = shingles(x.as_py(), shingle)
-                name = _node(s)
-                if name in seen:
-                    continue
-                seen.add(name)
+            for name, s in found.items():
                 k = len(s) - (4 * len(s) + 4) // 5 + 1
                 h.append(s[np.lexsort((s, held.value[_cell(s)]))[:k]])
                 node.append(np.full(k, name, np.int64))
                 n.append(np.full(k, len(s), np.int32))
                 place.append(np.arange(k, dtype=np.int32))
-            if h:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), *(pa.array(np.concatenate(c)) for c in (node, n, place))], names=["h", "node", "n", "place"])
-
-    return rows.mapInArrow(run, "h long, node long, n int, place int")
-
-
-def _by_bucket(table: DataFrame, found, schema: str) -> DataFrame:
-    """found(columns of whole buckets, sorted by h and node) for the buckets of each task."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            if not len(now[0]):
-                continue
-            cut = runs(now[0])[-1]
-            held = [x[cut:] for x in now]
-            if cut:
-                for out in found([x[:cut] for x in now]):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
-        if held is not None and len(held[0]):
-            for out in found(held):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
-
-    return table.repartition("h").sortWithinPartitions("h", "node").mapInArrow(run, schema)
-
-
-def _shared(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Rows of shingles that two sets or more have, each set once."""
-    h, node = columns[0], columns[1]
-    once = np.r_[True, (h[1:] != h[:-1]) | (node[1:] != node[:-1])]
-    columns = [c[once] for c in columns]
-    start = runs(columns[0])
-    size = np.diff(np.r_[start, len(columns[0])])
-    keep = np.repeat(size > 1, size)
-    yield [c[keep] for c in columns]
-
-
-def _possible(n: np.ndarray, place: np.ndarray, x: int, y: np.ndarray) -> np.ndarray:
-    """Where what follows the shared shingle is long enough for 4/5; right for the first shingle a pair shares."""
-    rest = np.minimum(n[x] - place[x], n[y] - place[y])
-    return 9 * rest >= 4 * (n[x] + n[y])
-
-
-def _pairs(every: bool):
-    """Of buckets (h, node, n, place, root) the pairs of different roots: all of them, or those with one member."""
-
-    def found(columns: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
+            h, node = np.concatenate(h), np.concatenate(node)
+            salts = held.value[_cell(h)] // hot + 1
+            salt = (mix(node.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
+            columns = [h.view(np.int64), salt, salts.astype(np.int32), node, np.concatenate(n), np.concatenate(place)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "salt", "salts", "node", "n", "place"])
+
+    return rows.mapInArrow(run, "h long, salt int, salts int, node long, n int, place int")
+
+
+BUCKETS = "h long, salts int, node long, n int, place int, leader long, leader_n int, leader_place int"
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by (h, salt, node), of buckets with two sets or more, each set once, beside the bucket's first one.
+
+    Streams: of a bucket only its first row is held."""
+    names = [c.split()[0] for c in BUCKETS.split(", ")]
+    first = last = None  # the open bucket's first row (h, salt, salts, node, n, place), and its last node
+    out = False  # whether that first row has been put out
+    for b in batches:
+        h, salt, salts, node, n, place = columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(h):
+            continue
+        same = lambda c, i: len(c) > i and first is not None and c[i] == first[0]
+        goes_on = first is not None and h[0] == first[0] and salt[0] == first[1]
+        once = np.r_[not (goes_on and node[0] == last), (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])]
+        h, salt, salts, node, n, place = columns = [c[once] for c in columns]
+        if not len(h):
+            continue
+        goes_on = goes_on and same(h, 0) and salt[0] == first[1]
+        new = np.r_[not goes_on, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+        start = np.flatnonzero(new)
+        size = np.diff(np.r_[start, len(h)])
+        of = np.cumsum(new) - 1  # -1: the open bucket goes on
+        keep = np.where(of < 0, True, (size[of] > 1) | (salts > 1)) if len(start) else np.ones(len(h), bool)
+        lead = [np.where(of < 0, first[k] if goes_on else 0, c[start[of]] if len(start) else 0) for k, c in ((3, node), (4, n), (5, place))]
+        rows = [h, salts, node, n, place, *lead]
+        rows = [r[keep] for r in rows]
+        if goes_on and not out:
+            head = [first[0], first[2], first[3], first[4], first[5], first[3], first[4], first[5]]
+            rows = [np.r_[x, r] for x, r in zip(head, rows)]
+            out = True
+        if len(start):
+            i = start[-1]
+            first, out = tuple(c[i] for c in columns), bool(keep[i])
+        last = node[-1]
+        if len(rows[0]):
+            kinds = (np.int64, np.int32, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(k)) for r, k in zip(rows, kinds)], names=names)
+
+
+def _possible(n: Column, place: Column, m: Column, other: Column) -> Column:
+    """Whether what follows the shared shingle is long enough for 4/5; right for the first shingle that a pair shares."""
+    return 9 * F.least(n - place, m - other) >= 4 * (n + m)
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of buckets, sorted by h, the pairs of different roots."""
+
+    def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, node, n, place, root = columns
         n, place = n.astype(np.int64), place.astype(np.int64)
-        start = runs(h)
         a, b, held = [], [], 0
-        for s, e in zip(start.tolist(), np.r_[start[1:], len(h)].tolist()):
+        for s, e in zip(runs(h).tolist(), np.r_[runs(h)[1:], len(h)].tolist()):
             if (root[s:e] == root[s]).all():
                 continue
-            if every:
-                xs = range(s, e)
-            else:
-                xs = [s + int(np.argmin(mix(node[s:e].view(np.uint64) ^ h[s:e].view(np.uint64))))]
-            for x in xs:
-                y = np.arange(x + 1 if every else s, e)
+            for x in range(s, e):
+                y = np.arange(x + 1, e)
                 y = y[root[y] != root[x]]
-                y = y[_possible(n, place, x, y)]
+                y = y[9 * np.minimum(n[x] - place[x], n[y] - place[y]) >= 4 * (n[x] + n[y])]
                 if len(y):
                     a.append(np.minimum(node[x], node[y]))
                     b.append(np.maximum(node[x], node[y]))
                     held += len(y)
                     if held > 1 << 16:
-                        yield [np.concatenate(a), np.concatenate(b)]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
                         a, b, held = [], [], 0
         if held:
-            yield [np.concatenate(a), np.concatenate(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        now = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
+            continue
+        cut = runs(now[0])[-1]
+        held = [x[cut:] for x in now]
+        if cut:
+            yield from found([x[:cut] for x in now])
+    if held is not None and len(held[0]):
+        yield from found(held)
+
+
+def _by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [may_be_alike(*x) for x in zip(*(b.column(c).to_pylist() for c in ("n", "left", "m", "right")))]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("left"), b.column("right"))]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
+    """The pairs whose sets are alike: first by bitmaps, then by the sets of those that are left."""
+    side = lambda end, n, bits: nodes.select(F.col("node").alias(end), F.col("n").alias(n), F.col("bits").alias(bits))
+    left = pairs.join(side("a", "n", "left"), "a").join(side("b", "m", "right"), "b").select("a", "b", "n", "left", "m", "right").mapInArrow(_by_bits, PAIR)
+    left = materialize(left, "pairs")
+    wanted = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    ids = materialize(nodes.join(wanted, "node", "left_semi").select("node", F.col("least").alias("doc_id")), "wanted")
+    named = ids.where("doc_id is not null").select("doc_id").distinct()
+    few = named.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(named) if few else named, "doc_id", "left_semi")
+    if not ids.where("doc_id is null").isEmpty():
+        kept = kept.unionByName(rows.where("doc_id is null"))
 
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in slices(batches, 2 << 20):
+            found = {_node(s): s.tobytes() for s in shingle_sets(b.column("body").to_pylist(), shingle, known)}
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "grams"])
+
+    sets = kept.mapInArrow(spelled, "node long, grams binary").join(ids.select("node"), "node", "left_semi").groupBy("node").agg(F.min("grams").alias("grams"))
+    sets = materialize(sets, "shingles")
+    both = left.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
+    found = materialize(both.select("a", "b", "left", "right").mapInArrow(_by_sets, PAIR), "alike")
+    discard(left, ids, sets)
+    release_shuffles(rows.sparkSession)
     return found
 
 
-def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column("left"), b.column("right"))]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("left")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(run, PAIR)
-
-
 def similar(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): component_id is the smallest id of all rows reachable over pairs of similarity 0.8 or more."""
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bodies = [x.as_py() for x in b.column(1)]
-            fps = np.array([fingerprint(x, shingle) for x in bodies], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_node(shingles(x, shingle)) for x in bodies], pa.int64()), pa.array(fps.view(np.int64))], names=["doc_id", "node", "fp"])
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [shingles(x.as_py(), shingle) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, found)), pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "grams"])
-
     spark, rows = docs.sparkSession, texts(docs, id_col, text_col)
-    names = materialize(rows.mapInArrow(named, SETS), "sets")
-    buckets = materialize(_by_bucket(_prefixes(rows, _sketch(rows, shingle), shingle), _shared, "h long, node long, n int, place int"), "prefixes")
-    nodes = names.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"))
-    nodes = materialize(nodes, "nodes")
-    heads = materialize(nodes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
-    near = links(heads.select("fp"), TAU)
-    ends = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
-    pairs = near.distinct().join(ends("a"), "a").join(ends("b"), "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
-    same = nodes.join(heads, "fp").where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-    pairs = materialize(pairs.unionByName(same), "near")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(buckets.select("node")).distinct()
-    sets = materialize(rows.mapInArrow(spelled, "node long, grams binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    parts = scaled_partitions(docs.select(text_col), 4)
+    named = materialize(rows.mapInArrow(lambda b: _names(b, shingle), "doc_id long, node long, fp long, n int, bits binary"), "names")
+    counts = np.zeros(CELLS, np.int64)
+    for cell, count in named.where("n < 0").groupBy("node").agg(F.sum("fp")).collect():
+        counts[cell] = count
+    names = named.where("n >= 0")
+    nodes = materialize(names.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bits").alias("bits")), "nodes")
+    release_shuffles(spark)
+    buckets = _prefixes(rows, counts, shingle).repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "node").mapInArrow(_shared, BUCKETS)
+    buckets = materialize(buckets, "buckets")
     release_shuffles(spark)
 
-    found = materialize(_checked(pairs, sets), "alike")
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    ends = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    near = links(materialize(heads.select("fp"), "heads"), TAU).join(ends("a"), "a").join(ends("b"), "b").select(*_ordered("head_a", "head_b"))
+    same = nodes.select("node", "fp").join(heads, "fp").where("node <> head").select(*_ordered("node", "head"))
+    beside = buckets.where("node <> leader").where(_possible(F.col("n"), F.col("place"), F.col("leader_n"), F.col("leader_place"))).select(*_ordered("node", "leader"))
+    tops = buckets.where("salts > 1 and node = leader").select("h", "node")
+    across = tops.join(tops.groupBy("h").agg(F.min("node").alias("top")), "h").where("node <> top").select(*_ordered("node", "top"))
+    pairs = materialize(near.unionByName(same).unionByName(beside).unionByName(across).distinct(), "candidates")
+    found = _alike(pairs, nodes, rows, shingle)
+    roots = materialize(components(found), "roots")
+    rooted = buckets.select("h", "node", "n", "place").join(roots, "node", "left").select("h", "node", "n", "place", F.coalesce("root", "node").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    more = rooted.join(apart, "h", "left_semi").repartition(parts, "h").sortWithinPartitions("h", "node").mapInArrow(_all_pairs, PAIR)
+    discard(pairs)
+    pairs = materialize(more.distinct(), "candidates")
+    discard(buckets, rooted, roots)
+    release_shuffles(spark)
+    found = found.unionByName(_alike(pairs, nodes, rows, shingle))
     roots = materialize(components(found), "roots")
-    for every in (False, True):
-        rooted = buckets.join(roots, "node", "left").select("h", "node", "n", "place", F.coalesce("root", "node").alias("root"))
-        more = _by_bucket(rooted, _pairs(every), PAIR).distinct()
-        found = found.unionByName(materialize(_checked(more, sets), "alike"))
-        roots = materialize(components(found), "roots")
-        release_shuffles(spark)
     told = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = told.groupBy("root").agg(F.min("least").alias("component_id"))
-    return names.join(told.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return names.select("doc_id", "node").join(told.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
