@@ -32,3 +32,73 @@ def test_links_go_where_their_element_is_template(spark):
     body = lambda i: f"<body><ul><li><a href=/{i}>Section {i} link</a></li></ul><div>" + "".join(f"<p>told {i} {k}</p>" for k in range(i + 1)) + "</div></body>"
     got = extracted(spark, [(i, "http://h.example/", body(i)) for i in range(5)])
     assert got == [(i, "\n".join(f"told {i} {k}" for k in range(i + 1))) for i in range(5)]
+
+
+def test_broken_markup_loses_no_text():
+    assert pages.article('<p>See <a href="x>link here and more</a> tail</p>', set()) == "See link here and more tail"
+    assert pages.article("<p>one</p><div/><p>two</p><a href=x/>three</a><p>four <b", set()) == "one\ntwo\nthree\nfour"
+    assert pages.article("<p>it's <i title='a > b'>fine</i> & so</p>", set()) == "it's fine & so"
+    assert pages.article("a < b and <p>c</p>", set()) == "a < b and\nc"
+
+
+SITES = {
+    # a host's boilerplate without any telling tag or class, around and inside what varies
+    "plain.example": lambda i, story: f"<body><div>Site of the plain</div><div><a href=/a>Top {i}</a> <a href=/b>News of {i}</a></div><div><div>{story}</div><div>Write to us</div></div><div>Made by hand</div></body>",
+    "table.example": lambda i, story: f"<body><table><tr><td>Home</td><td><table><tr><td>{story}</td></tr></table></td></tr><tr><td>All about tables</td></tr></table></body>",
+    "tagged.example": lambda i, story: f"<body><nav><a href=/>x{i}</a></nav><div class=ad>buy {i} now</div><main>{story}<p>Share this story</p></main><footer>&copy; {i}</footer></body>",
+}
+
+
+def sites(n=12):
+    rows, truth = [], {}
+    for k, (host, page) in enumerate(SITES.items()):
+        for i in range(n):
+            lines = [f"{host} tells story {i} line {j} with words that are its own {i * j}" for j in range(2 + i % 4)]
+            rows.append((100 * k + i, f"http://{host}/{i}", page(i, "".join(f"<p>{x}</p>" for x in lines))))
+            truth[100 * k + i] = lines
+    return rows, truth
+
+
+def test_precision_and_recall_on_several_hosts(spark):
+    rows, truth = sites()
+    got = dict(extracted(spark, rows))
+    hit = sum(x in truth[i] for i, t in got.items() for x in t.split("\n"))
+    assert hit / sum(len(t.split("\n")) for t in got.values()) >= 0.95 and hit / sum(map(len, truth.values())) >= 0.95
+    # it is the template that does it
+    bare = {i: pages.article(html, set()).split("\n") for i, _, html in rows}
+    assert sum(x not in truth[i] for i, t in bare.items() for x in t) > 3 * len(rows) // 2
+
+
+def test_classes_equal_brute_force(spark):
+    rows, _ = sites()
+    rows += [(900 + i, "http://mixed.example/", f"<body><div>a</div><p>{'<b>x</b>' * (i % 2)}</p>{'<i>s</i><u>t</u>' if i % 2 else '<u>t</u><i>s</i>'}<p>own {i}</p></body>") for i in range(8)]
+    got = {r.host: set(r.template) for r in pages.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    by_host = {}
+    for _, url, html in rows:
+        by_host.setdefault(url.split("/")[2], []).append(pages.parse(html))
+    for host, all_events in by_host.items():
+        seqs = [pages.tokens_of(e) for e in all_events]
+        vectors = {t: tuple(s.count(t) for s in seqs) for s in seqs for t in s}
+        classes = {}
+        for t, v in vectors.items():
+            if sum(map(bool, v)) >= max(3, len(seqs) / 2):
+                classes.setdefault(v, set()).add(t)
+        classes = {v: c for v, c in classes.items() if len(c) > 1}
+        root = max((c for v, c in classes.items() if max(v) == 1), key=len)
+        want = set()
+        for v, c in classes.items():
+            looks = set()
+            for s in (s for s in seqs if c & set(s)):
+                at = [i for i, t in enumerate(s) if t in c]
+                turns = [tuple(s[i] for i in at[k : k + len(c)]) for k in range(0, len(at), len(c))]
+                gap = {sum(t in root for t in s[: i + 1]) for i in at} if c is not root else {0}
+                looks.add((turns[0], len(set(turns)) == 1 and set(turns[0]) == c, gap.pop() if len(gap) == 1 else -1))
+            if len(looks) == 1 and (look := looks.pop())[1] and look[2] >= 0:
+                want |= c
+        assert got.get(host, set()) == want, host
+
+
+def test_clashing_columns_and_long_pages(spark):
+    page = "<body><article>" + "<p>long line of a page</p>" * 30_000 + "</article></body>"
+    df = spark.createDataFrame([(1, "http://h.example/", page, "x", 3)], "page_id long, url string, html string, host string, key long")
+    assert [r.n_chars for r in pages.main_text(df).collect()] == [30_000 * len("long line of a page") + 29_999]
