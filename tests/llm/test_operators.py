@@ -310,6 +310,62 @@ def test_machine_learns_a_pair_and_held_out_rows(spark):
     assert max(r.score for r in none) < 1e-6
 
 
+def interactions(kind, n, seed=3):
+    """Texts in which a pair of words decides: neither word says anything alone (xnor), or only together (both)."""
+    rnd = random.Random(seed)
+    filler, texts, labels = [f"w{i}" for i in range(60)], [], []
+    for _ in range(n):
+        a, b = (rnd.random() < 0.5 for _ in range(2))
+        texts.append(" ".join([*rnd.sample(filler, 12), *["insult"] * a, *["group"] * b]).encode())
+        labels.append(a == b if kind == "xnor" else a and b)
+    return texts, np.array(labels, float)
+
+
+@pytest.mark.parametrize(("kind", "without"), [("xnor", 0.85), ("both", 1.0)])
+def test_factors_learn_what_weights_cannot(kind, without):
+    texts, y = interactions(kind, 1500)
+    known = toxicity.Known(toxicity.terms_of)
+    rows = [toxicity.terms(t, known) for t in texts]
+    right = lambda m: np.mean((m.scores(texts[1200:], m.known()) >= 0.5) == y[1200:])
+    machine = toxicity.fit(rows[:1200], y[:1200])
+    bare = toxicity.Machine(machine.buckets, machine.bias, machine.weights, machine.factors * 0)
+    assert right(machine) > 0.97 and right(bare) < without
+    linear = toxicity.fit(rows[:1200], y[:1200], factors=0)
+    assert kind == "both" or right(linear) < 0.65
+
+
+def test_scores_and_gains_equal_brute_force():
+    texts, y = interactions("xnor", 300)
+    known = toxicity.Known(toxicity.terms_of)
+    rows = [toxicity.terms(t, known) for t in texts]
+    m = toxicity.fit(rows, y)
+    for t, s in zip(texts[:20], m.scores(texts[:20], m.known())):
+        at = [i for i, b in enumerate(m.buckets) if b in set(toxicity.terms(t, known).tolist())]
+        z = m.bias + sum(m.weights[i] for i in at) + sum(float(m.factors[i] @ m.factors[j]) for i in at for j in at if i < j)
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-9
+    a, b = ({i for i, t in enumerate(texts) if w in t.split()} for w in (b"insult", b"group"))
+    cells = [a & b, a - b, b - a, set(range(300)) - a - b]
+    rates = [(sum(y[i] for i in c) + 0.5) / (len(c) + 1) for c in cells]
+    want = abs(rates[0] - rates[1] - rates[2] + rates[3]) / sum(r * (1 - r) / len(c) for r, c in zip(rates, cells)) ** 0.5
+    of = np.repeat(np.arange(300), list(map(len, rows)))
+    buckets, term = np.unique(np.concatenate(rows), return_inverse=True)
+    gains = toxicity.pair_gains(of, term, y, len(buckets))
+    assert abs(gains[np.searchsorted(buckets, toxicity.terms_of(b"insult")[0])] - want) < 1e-3 * want
+
+
+def test_toxicity_defined_cases(spark):
+    texts, y = interactions("both", 300)
+    rows = [(i, t.decode(), int(v), "x", 2) for i, (t, v) in enumerate(zip(texts, y))]
+    docs = spark.createDataFrame([(*r[:2], "c", "d", 1.0) for r in rows] + [(7, rows[7][1], "c", "d", 1.0), (900, "insult group " * 100_000, "c", "d", 1.0)], "doc_id long, text string, toxic string, terms string, score double")
+    labels = spark.createDataFrame([(r[0], r[2], "z") for r in rows], "doc_id long, toxic int, text string")
+    machine = toxicity.train(docs, labels)
+    got = toxicity.scored(docs, machine).collect()
+    assert len(got) == 302 and len({r.score for r in got if r.doc_id == 7}) == 1 and [r.predicted for r in got if r.doc_id == 900] == [1]
+    assert toxicity.scored(docs.limit(0), machine).count() == 0
+    none = toxicity.train(docs.limit(0), labels)
+    assert not len(none.buckets) and toxicity.scored(docs, none).where("score > 0.5").count() == 0
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><nav><ul><li><a href=/a>Menu</a></ul></nav>
 <header>Site</header><div class="ad">Buy</div><article><header><h1>Head &amp; line</h1></header><p>One <b>two</b>
  three<br>four</p><p>Five<div class="comments"><p>No</p></div><ul><li>six<li>seven</ul><form><input>no</form></article><aside>Side</aside><footer>&copy; x</footer></body></html>"""
