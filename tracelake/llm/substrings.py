@@ -38,19 +38,20 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of reference in a shard, and bytes of documents that one task streams past it.
 SHARD_WORDS, TASK_BYTES = 50_000, 8 << 20
 #: Text of one block of window hashes.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
 #: Shards whose sizes (two numbers each) are still broadcast.
 BROADCAST_SHARDS = 500_000
 ENTRY = ("doc", "pos", "owner", "at")
-PACKED = "bucket long, kind int, " + ", ".join(f"{x} binary" for x in ENTRY)
-PACKED_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in ENTRY)])
+SHOWN = ("shown", "place")
+PACKED = "bucket long, kind int, " + ", ".join(f"{x} binary" for x in ENTRY + SHOWN)
+PACKED_SCHEMA = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), *((x, pa.binary()) for x in ENTRY + SHOWN)])
 
 
 class WordHashes(dict):
     """Hash by word, kept for words seen; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 150_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -88,14 +89,14 @@ def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterat
         yield out()
 
 
-def rows_by(bucket: np.ndarray, kind: int, *columns: np.ndarray) -> list[tuple]:
-    """One packed row for each bucket; the columns' order within a bucket stays."""
+def by_bucket(bucket: np.ndarray, *columns: np.ndarray) -> dict[int, tuple[bytes, ...]]:
+    """Columns packed for each bucket; their order within a bucket stays."""
     order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True]) if len(order) else np.zeros(1, np.int64)
-    parts = []
+    cut = np.r_[runs(bucket[order]), len(order)]
+    parts = {}
     for a, z in zip(cut, cut[1:]):
         at = order[a:z]
-        parts.append((int(bucket[at[0]]), kind, *(c[at].tobytes() if c.dtype == np.uint64 else pack(c[at]) for c in columns)))
+        parts[int(bucket[at[0]])] = tuple(c[at].tobytes() if c.dtype == np.uint64 else pack(c[at]) for c in columns)
     return parts
 
 
@@ -105,7 +106,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int, n: int) -> Iterator[pa.RecordBatch]:
-    """Kind 0: windows to look up (doc, pos, hash in ``owner``); kind 1: windows whose smaller document is in the block; kind 2: that document's."""
+    """Kind 0: windows to look up (doc, pos, hash in ``owner``); kind 1: windows whose smaller document is in the block, and that document's."""
     known = WordHashes()
     for ids, bodies in blocks(batches):
         split = [b.split() for b in bodies]
@@ -127,20 +128,21 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, n: int) -> Iterator
         ask, tell = np.flatnonzero(~here), np.flatnonzero(here)
         if len(ask):
             # ``owner`` carries the hash, whole; the bucket is its range
-            yield _packed(rows_by((h[ask] % np.uint64(n)).astype(np.int64), 0, doc[ask], pos[ask], h[ask], np.zeros(len(ask), np.int8)))
+            yield _packed([(k, 0, *v, b"", b"", b"") for k, v in by_bucket((h[ask] % np.uint64(n)).astype(np.int64), doc[ask], pos[ask], h[ask]).items()])
         if len(tell):
             yield _packed(_told(doc, pos, tell, owner_at[tell], n))
 
 
 def _told(doc: np.ndarray, pos: np.ndarray, at: np.ndarray, lead: np.ndarray, n: int) -> list[tuple]:
-    """Kind 1: the windows ``at`` with those that own them, by document; kind 2: the owning windows, once each, by owner."""
-    own = np.unique(lead)
-    none = np.zeros(len(own), np.int8)
-    return rows_by(bucket_of(doc[at], n), 1, doc[at], pos[at], doc[lead], pos[lead]) + rows_by(bucket_of(doc[own], n), 2, doc[own], pos[own], none, none)
+    """Kind 1, one row a bucket: the windows ``at`` with those that own them, by document; the owning windows, once each, by owner."""
+    own, none = np.unique(lead), pack(np.zeros(0, np.int64))
+    asked = by_bucket(bucket_of(doc[at], n), doc[at], pos[at], doc[lead], pos[lead])
+    shown = by_bucket(bucket_of(doc[own], n), doc[own], pos[own])
+    return [(k, 1, *asked.get(k, (none,) * 4), *shown.get(k, (none,) * 2)) for k in sorted(asked.keys() | shown.keys())]
 
 
 def _owners(table: pa.Table, n: int) -> pa.Table:
-    """Of one range of hashes: kinds 1 and 2 of all windows that a smaller document holds too."""
+    """Of one range of hashes: kind 1 of all windows that a smaller document holds too."""
     out = [tuple(row.values()) for row in table.filter(pc.not_equal(table["kind"], 0)).to_pylist()]
     asked = table.filter(pc.equal(table["kind"], 0))
     if asked.num_rows:
@@ -171,14 +173,13 @@ NEED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), *((x, pa
 def _needs(table: pa.Table, window: int) -> pa.Table:
     """One row a document: runs of its windows that it must show as owner (shown, lengths; words in all), and runs that
     others own (starts, sizes, owner)."""
-    kind = table["kind"].to_numpy()
-    read = lambda c, k: np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in table[c].filter(pa.array(kind == k)).to_pylist())])
-    doc, pos, owner, at = (read(c, 1) for c in ENTRY)
+    read = lambda c: np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in table[c].to_pylist())])
+    doc, pos, owner, at = (read(c) for c in ENTRY)
     order = np.lexsort((pos, doc))
     doc, pos, owner, at = doc[order], pos[order], owner[order], at[order]
     first = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(pos) != 1) | (np.diff(owner) != 0) | (np.diff(at) != 1)][: len(doc)])
     asked = doc[first], pos[first], np.diff(np.r_[first, len(doc)]), owner[first]
-    doc, pos = read("doc", 2), read("pos", 2)
+    doc, pos = (read(c) for c in SHOWN)
     order = np.lexsort((pos, doc))
     doc, pos = doc[order], pos[order]
     new = np.r_[True, (np.diff(doc) != 0) | (np.diff(pos) != 0)][: len(doc)]
@@ -311,8 +312,8 @@ def covered_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
     n = scaled_partitions(docs.select(text_col), 4)
-    packed = rows.mapInArrow(lambda batches: _windows(batches, window, 4 * n), PACKED)
-    owners = packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _owners(t, 4 * n), PACKED)
+    packed = rows.mapInArrow(lambda batches: _windows(batches, window, n), PACKED)
+    owners = packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _owners(t, n), PACKED)
     needs = materialize(owners.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _needs(t, window), NEED), "needs")
     release_shuffles(spark)
     shards = int(needs.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS + 1
