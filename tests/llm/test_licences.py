@@ -1,5 +1,11 @@
 """Notices with holders, years, other sentences and wrapping."""
 
+import math
+import random
+import re
+import textwrap
+from collections import Counter
+
 from tracelake.llm import licences
 
 PROSE = "The river ran past the old mill and nobody spoke for a while. "
@@ -19,3 +25,84 @@ def test_notices_with_names_years_and_wrapping(spark):
     df = spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, (_, t) in enumerate(texts)] + [(50, "d4/y.txt", "nothing")], "doc_id long, path string, text string")
     got = {r.doc_id: r.licence for r in licences.scan(df, licences.templates(spark)).collect()}
     assert got == {i: want for i, (want, _) in enumerate(texts)} | {50: None}
+
+
+def terms(text):
+    return re.findall(r"[^\W_]+(?:[.+-][^\W_]+)*", re.sub(r"\bcc by\b", "cc-by", text.lower()))
+
+
+def truth(files, notices):
+    """Every line, every window and every whole file against every template, then every ancestor of every file."""
+    df = Counter(t for _, _, text in files for t in set(terms(text or "")))
+    idf = lambda t: math.log(1 + len(files) / df[t]) if df[t] else math.log(1 + len(files))
+    vector = lambda text: {t: (1 + math.log(n)) * idf(t) for t, n in Counter(terms(text)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, vector(text)) for name, text in notices]
+    own, spoken = {}, {}
+    for i, path, text in files:
+        lines, found = (text or "").split("\n"), []
+        for name, t in known:
+            for k, unit in [(0, text or ""), *((1, x) for x in lines)]:
+                v = vector(unit)
+                score = sum(x * t.get(w, 0) for w, x in v.items()) / (norm(v) * norm(t)) if v else 0
+                if score >= licences.LEAST_COSINE:
+                    found.append((-round(score, 9), k, name))
+            for n in range(len(lines)):
+                here = set(terms(" ".join(lines[max(0, n - 1) : n + 3])))
+                score = sum(x * x for w, x in t.items() if w in here) / norm(t) ** 2
+                if score >= licences.LEAST_HELD:
+                    found.append((-round(score, 9), 2, name))
+        if found:
+            own[i] = min(found)[2]
+            if path and (min(k for _, k, _ in found) == 0 or re.search(licences.FILE_NAME, path)):
+                at = path.rpartition("/")[0]
+                spoken[at] = min(spoken.get(at, (1,)), (min(found)[0], path, own[i]))
+    out = {}
+    for i, path, _ in files:
+        out[i] = (own.get(i), "own" if i in own else None)
+        if path and i not in own:
+            parts = path.split("/")
+            for n in range(len(parts) - 1, -1, -1):
+                if "/".join(parts[:n]) in spoken:
+                    out[i] = (spoken["/".join(parts[:n])][2], "inherited")
+                    break
+    return out
+
+
+def test_scan_equals_brute_force(spark):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(400)] + ["the", "of", "license", "under", "rights", "public", "work"]
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    wrap = lambda text, n: "\n".join(text[i : i + n] for i in range(0, len(text), n))
+    files = []
+    for i in range(120):
+        notice = rnd.choice(licences.TEMPLATES)[1]
+        if rnd.random() < 0.3:
+            notice = notice.replace(" ", "\n", 3)
+        kinds = [prose(60), prose(20) + "\n" + notice, prose(6) + " " + notice + " " + prose(4) + "\n" + prose(30), notice, "# " + notice + "\n" + prose(200), "", None]
+        path = "/".join([*rnd.choices("abc", k=rnd.randint(0, 3)), rnd.choice(["LICENSE", "x.py", "y.md", f"f{i}"])])
+        files.append((i, path if i % 17 else None, rnd.choice(kinds)))
+    df = spark.createDataFrame(files, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.licence, r.how) for r in licences.scan(df, licences.templates(spark)).collect()}
+    assert got == truth(files, licences.TEMPLATES) and len({x for x, _ in got.values()}) > 8
+
+
+def test_wrapped_licence_files_are_recognised(spark):
+    by_size = sorted(licences.TEMPLATES, key=lambda t: -len(t[1]))
+    files = [(name, "Copyright (c) 2021 Some Body and others\n\n" + textwrap.fill(text, 68)) for name, text in by_size[:2]]
+    files += [("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.")]
+    files += [("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.")]
+    rows = [(i, f"p{i}/LICENSE", t) for i, (_, t) in enumerate(files)] + [(10 + i, f"p{i}/src/main.py", "print()") for i in range(len(files))]
+    rows += [(100 + i, f"other/{i}", PROSE * 4) for i in range(40)]
+    got = {r.doc_id: r.licence for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), licences.templates(spark)).collect()}
+    assert all(got[i] == got[10 + i] == name for i, (name, _) in enumerate(files)) and not any(got[100 + i] for i in range(40))
+
+
+def test_defined_cases(spark):
+    mit = "Released under the MIT License."
+    rows = [(1, "a/x", mit, "c"), (1, "a/x", mit, "c"), (1, "a/y", PROSE, "c"), (2, "b/z", PROSE * 20_000 + "\n" + mit, "c"), (3, "b/w", "", "c"), (None, "b/v", mit, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, licence string")
+    got = Counter((r.doc_id, r.path, r.licence, r.how) for r in licences.scan(df, licences.templates(spark)).collect())
+    assert got == Counter({(1, "a/x", "MIT", "own"): 2, (1, "a/y", "MIT", "inherited"): 1, (2, "b/z", "MIT", "own"): 1, (3, "b/w", None, None): 1, (None, "b/v", None, None): 1})
+    none = licences.scan(df, licences.templates(spark).limit(0)).collect()
+    assert len(none) == 6 and not any(r.licence for r in none)

@@ -1,18 +1,24 @@
 """Operator 8: licence scans, in DataFrame operations only.
 
-Lines that speak of a licence become sparse TF-IDF vectors; their cosine to templates of notices names the licence, or
-the share of a template's weight that such a line and its neighbours hold (one before, two after): names, years, other
-sentences of the line and wrapping take nothing from that. A
-file whose words are mostly such lines, or whose name says so, is a licence file: files below its directory that name no
-licence themselves inherit it from the nearest ancestor directory, by joining ancestors' paths.
-
-Only lines with a cue word are cut into terms; document frequencies cover all of them. Templates are a handful of rows,
-counted before they are broadcast. A directory keeps one licence (the best score, then the first path) before the join,
-so a directory with a third of all files meets one row.
+1. document frequencies: how many files hold a term, over the whole texts of all files (combined map-side);
+2. templates of notices, headers and licence texts become sparse TF-IDF vectors, unit by unit of a file:
+   - every line, by cosine: a line that is a notice;
+   - every window of four lines (one before, two after), by the share of a template's squared weight that it holds: names, years,
+     other sentences of the line and wrapping take nothing from that, so that headers and inline notices are found;
+   - the whole file, by cosine: a licence file;
+3. inheritance: a licence file, by its vector or its name, speaks for its directory; files below it that name no licence
+   themselves take that of the nearest ancestor directory, by joining ancestors' paths.
+
+Which lines are looked at follows from the threshold: a template's rarest terms are set aside until what is left of it weighs
+less than ``LEAST_COSINE`` of the whole; a vector without any of these terms cannot reach that cosine, nor a window hold
+``LEAST_HELD``. Lines and windows without such a term are passed over without loss, whatever they say.
+
+Only templates are broadcast, after they are counted; whatever follows the files is joined by sorting. A directory keeps
+one licence (the best score, then the first path) before the join, so a directory with a third of all files meets one row.
 
 Defined cases: null text is an empty text (no licence of its own); a null path has no ancestors; a null id stays null and
-neither gives nor takes a licence; repeated rows get the same answer; empty tables give an empty result; other columns
-are ignored. Among licences of one file the best score wins, then the first name.
+neither gives nor takes a licence; repeated rows get the same answer, rows with one id and another text one each; empty
+tables give an empty result; other columns are ignored. Among licences of one file the best score wins, then the first name.
 """
 
 from __future__ import annotations
@@ -22,12 +28,11 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import materialize
 
-#: Least cosine of a line and a template, and least share of a file's words in such lines to be a licence file.
-LEAST_COSINE, FILE_SHARE = 0.6, 0.5
-#: Least share of a template's weight in a window of lines.
+#: Least cosine of a line or a file and a template.
+LEAST_COSINE = 0.6
+#: Least share of a template's squared weight in a window of lines.
 LEAST_HELD = 0.9
 BROADCAST_ROWS = 100_000
-CUE = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|redistribution|rights reserved|public domain|creative commons|cc[ -](?:by|0)|warrant"
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|copyright|unlicense|notice)[^/]*$"
 # Notices by licence.
 TEMPLATES = [
@@ -52,6 +57,20 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying is prohibited."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
 ]
 
 
@@ -65,8 +84,34 @@ def _terms(text: F.Column) -> F.Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"\bcc by\b", "cc-by"), F.lit(r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"), 0)
 
 
-def _counts(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    return df.select(*keys, F.explode(_terms(F.col(text))).alias("term")).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+def _counts(df: DataFrame, keys: list[str], terms: F.Column) -> DataFrame:
+    return df.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
+
+
+def weighed(rows: DataFrame, notices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, idf) of all terms in rows(body), and notices as (template, licence, term, tw, tnorm, sign): sign marks the rarest
+    terms, without any of which no vector comes near."""
+    of_text = rows.select(F.explode(F.array_distinct(_terms(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    of_text = materialize(of_text, "licence-terms")
+    n = float(rows.count())
+    idf = of_text.select("term", F.log(F.lit(1.0) + F.lit(n) / F.col("df")).alias("idf"))
+    counts = _counts(notices, ["template", "licence"], _terms(F.col("notice")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
+    known = idf.join(counts, "term", "right").select("template", "licence", "term", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0 + n)))).alias("tw"))
+    whole, rarest = Window.partitionBy("template"), Window.partitionBy("template").orderBy(F.desc("tw"), "term")
+    known = known.withColumn("tnorm", F.sqrt(F.sum(F.col("tw") * F.col("tw")).over(whole)))
+    before = F.sum(F.col("tw") * F.col("tw")).over(rarest) - F.col("tw") * F.col("tw")
+    left = F.col("tnorm") * F.col("tnorm") - before  # what weighs as much as this term or less
+    return idf, materialize(known.withColumn("sign", F.sqrt(F.greatest(left, F.lit(0.0))) >= (LEAST_COSINE - 1e-6) * F.col("tnorm")), "licence-templates")
+
+
+def _cosines(units: DataFrame, keys: list[str], idf: DataFrame, known: DataFrame) -> DataFrame:
+    """(keys, licence, score) of units(keys, terms) and the templates near them."""
+    vector = _counts(units, keys, F.col("terms")).join(idf, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    vector = materialize(vector, "licence-vectors")
+    norms = vector.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = vector.join(known, "term").groupBy(*keys, "template", "licence").agg((F.sum(F.col("w") * F.col("tw")) / F.first("tnorm")).alias("dot"))
+    return dots.join(norms.hint("merge"), keys).select(*keys, "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= LEAST_COSINE)
 
 
 def scan(files: DataFrame, notices: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -75,47 +120,51 @@ def scan(files: DataFrame, notices: DataFrame, id_col: str = "doc_id", path_col:
     how: "own", "inherited" or null; licence_path: the file that states the licence.
     """
     rows = files.select(F.col(id_col).cast("long").alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    told = rows.where(F.col("body").rlike(CUE)).where("doc_id is not null").dropDuplicates(["doc_id"])
-    told = told.select("doc_id", F.size(_terms(F.col("body"))).alias("words"), F.split("body", "\n").alias("all"))
-    wide = lambda i: F.array_join(F.slice("all", F.greatest(i, F.lit(1)), F.when(i > 0, 4).otherwise(3)), " ")
-    windows = F.transform("all", lambda x, i: F.when(x.rlike(CUE), F.struct(i.alias("nth"), x.alias("line"), wide(i).alias("wide"))))
-    lines = told.select("doc_id", "words", F.explode_outer(windows).alias("l")).where("l is not null").select("doc_id", "words", "l.*")
-    lines = materialize(lines, "licence-lines")
-    total = lines.count()
-    terms = _counts(lines, ["doc_id", "nth"], "line")
-    idf = terms.groupBy("term").agg(F.log(F.lit(1.0) + F.lit(float(total)) / F.count("*")).alias("idf"))
-    unseen = F.log(F.lit(1.0 + total))
-    known = _counts(notices, ["template", "licence"], "notice").join(idf, "term", "left").select("template", "licence", "term", (F.col("tf") * F.coalesce("idf", unseen)).alias("tw"))
-    known = known.withColumn("tnorm", F.sqrt(F.sum(F.col("tw") * F.col("tw")).over(Window.partitionBy("template"))))
-    known = materialize(known.withColumn("twords", F.count("*").over(Window.partitionBy("template"))), "licence-templates")
+    rows = rows.withColumn("rid", F.xxhash64("doc_id", "path", "body"))
+    idf, known = weighed(rows, notices)
+    # terms of templates: a bounded table, whose longest are tried first
+    signs = sorted((r.term for r in known.where("sign").select("term").distinct().collect()), key=lambda t: (-len(t), t))
     known = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
-    weighted = materialize(terms.join(idf, "term").select("doc_id", "nth", "term", (F.col("tf") * F.col("idf")).alias("w")), "licence-terms")
-    norms = weighted.groupBy("doc_id", "nth").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(known, "term").groupBy("doc_id", "nth", "template", "licence").agg((F.sum(F.col("w") * F.col("tw")) / F.first("tnorm")).alias("dot"))
-    cosines = dots.join(norms, ["doc_id", "nth"]).select("doc_id", "nth", "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= LEAST_COSINE)
-    around = lines.select("doc_id", "nth", F.explode(F.array_distinct(_terms(F.col("wide")))).alias("term")).join(known, "term")
-    held = around.groupBy("doc_id", "nth", "template", "licence").agg(F.round(F.sum(F.col("tw") * F.col("tw")) / F.first(F.col("tnorm") * F.col("tnorm")), 9).alias("score"), F.first("twords").alias("twords"))
-    held = held.where(F.col("score") >= LEAST_HELD).select("doc_id", "nth", "licence", "score", "twords")
-    named = cosines.withColumn("twords", F.lit(None).cast("long")).unionByName(held)
-    # a line that is a notice counts whole; one that only holds a notice, or a part, counts as the notice's words
-    best = named.groupBy("doc_id", "nth").agg(F.min(F.struct((-F.col("score")).alias("minus"), F.col("twords").isNotNull().alias("held"), "licence")).alias("b"), F.when(F.count_if(F.col("twords").isNull()) == 0, F.max("twords")).alias("most"))
-    sizes = lines.select("doc_id", "nth", "words", F.size(_terms(F.col("line"))).alias("n"))
-    own = best.join(sizes, ["doc_id", "nth"]).groupBy("doc_id").agg(F.min("b").alias("b"), (F.sum(F.least("n", "most")) / F.max("words")).alias("share"))
-    own = materialize(own.select("doc_id", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), "share"), "licences")
-
-    named = rows.select("doc_id", "path").join(own, "doc_id", "left")
+    sign = r"(?!)" if not signs else r"(?<![\p{L}\p{N}])(?:" + _either([t.replace("cc-by", "cc by") for t in signs] + [t for t in signs if "cc-by" in t]) + r")(?![\p{L}\p{N}])"
+    told = rows.where("doc_id is not null").where(F.lower("body").rlike(sign)).select("rid", F.split(F.lower("body"), "\n").alias("all"), _terms(F.col("body")).alias("terms"))
+    told = told.withColumn("hits", F.transform("all", lambda x: x.rlike(sign)))
+    wide = lambda i, of: F.slice(of, F.greatest(i, F.lit(1)), F.when(i > 0, 4).otherwise(3))
+    unit = lambda x, i: F.struct(i.alias("nth"), _terms(x).alias("terms"), F.array_distinct(_terms(F.array_join(wide(i, "all"), " "))).alias("wide"))
+    windows = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains(wide(i, "hits"), True), unit(x, i))), lambda x: x.isNotNull())
+    told = materialize(told.select("rid", "terms", windows.alias("lines")).dropDuplicates(["rid"]), "licence-files")
+    lines = told.select("rid", F.explode("lines").alias("l")).select("rid", "l.*")
+
+    by_line = _cosines(lines.select("rid", "nth", "terms"), ["rid", "nth"], idf, known).select("rid", "licence", "score")
+    around = lines.select("rid", "nth", F.explode("wide").alias("term")).join(known, "term")
+    held = around.groupBy("rid", "nth", "template", "licence").agg(F.round(F.sum(F.col("tw") * F.col("tw")) / F.first(F.col("tnorm") * F.col("tnorm")), 9).alias("score"))
+    held = held.where(F.col("score") >= LEAST_HELD).select("rid", "licence", "score")
+    whole = _cosines(told.select("rid", "terms"), ["rid"], idf, known)
+    named = by_line.withColumn("kind", F.lit(1)).unionByName(held.withColumn("kind", F.lit(2))).unionByName(whole.withColumn("kind", F.lit(0)))
+    own = named.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("minus"), "kind", "licence")).alias("b"), (F.min("kind") == 0).alias("is_file"))
+    own = materialize(own.select("rid", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), "is_file"), "licences")
+
+    given = rows.select("rid", "doc_id", "path").join(own.hint("merge"), "rid", "left")
     parts = F.split("path", "/")
-    of_dir = named.where(F.col("own").isNotNull() & F.col("path").isNotNull() & ((F.col("share") >= FILE_SHARE) | F.col("path").rlike(FILE_NAME)))
+    of_dir = given.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("is_file") | F.col("path").rlike(FILE_NAME)))
     of_dir = of_dir.groupBy(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "path", "own")).alias("given"))
-    bare = named.where(F.col("own").isNull() & F.col("doc_id").isNotNull() & F.col("path").isNotNull()).select("doc_id", "path").distinct()
-    above = bare.select("doc_id", "path", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth")).withColumn("dir", F.array_join(F.slice(parts, 1, F.col("depth")), "/"))
-    nearest = above.join(of_dir, "dir").groupBy("doc_id", "path").agg(F.max(F.struct("depth", "given")).getField("given").alias("given"))
-    out = named.alias("n").join(nearest.alias("a"), (F.col("n.doc_id") == F.col("a.doc_id")) & (F.col("n.path") == F.col("a.path")), "left")
+    bare = given.where(F.col("own").isNull() & F.col("doc_id").isNotNull() & F.col("path").isNotNull()).select("rid", "path").distinct()
+    above = bare.select("rid", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth"), parts.alias("parts")).select("rid", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("dir"))
+    nearest = above.join(of_dir.hint("merge"), "dir").groupBy("rid").agg(F.max(F.struct("depth", "given")).getField("given").alias("given"))
+    out = given.join(nearest.hint("merge"), "rid", "left")
     return out.select(
-        F.col("n.doc_id").alias("doc_id"),
-        F.col("n.path").alias("path"),
+        "doc_id",
+        "path",
         F.coalesce("own", "given.own").alias("licence"),
         F.coalesce(F.col("own_score"), -F.col("given.minus")).alias("score"),
         F.when(F.col("own").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").alias("how"),
-        F.when(F.col("own").isNotNull(), F.col("n.path")).otherwise(F.col("given.path")).alias("licence_path"),
+        F.when(F.col("own").isNotNull(), F.col("path")).otherwise(F.col("given.path")).alias("licence_path"),
     )
+
+
+def _either(words: list[str]) -> str:
+    """A pattern of any of the words, by their first letters: at most one branch of a letter is tried."""
+    by_letter: dict[str, list[str]] = {}
+    for w in words:
+        by_letter.setdefault(w[0], []).append(w[1:])
+    quoted = lambda x: "".join("\\" + c if not c.isalnum() and c != " " else c for c in x)
+    return "|".join(f"{quoted(k)}(?:{'|'.join(sorted(set(map(quoted, v)), key=lambda x: (-len(x), x)))})" for k, v in sorted(by_letter.items()))
