@@ -268,6 +268,60 @@ def test_quality_rejects_outliers_and_not_the_rest(spark):
     assert not any(kept[1000 + i] for i in range(30)) and all(kept[i] for i in range(300))
 
 
+def mcd(x):
+    """The least determinant by exact concentration steps from 500 starts of six vectors and from the whole."""
+    rng, h, best = np.random.default_rng(0), int(quality.HALF * len(x)), None
+    floor = np.diag(np.square(quality.FLOORS))
+    for k in range(501):
+        at = rng.choice(len(x), 6, replace=False) if k else np.arange(len(x))
+        for _ in range(40):
+            m, c = x[at].mean(axis=0), quality.CONSISTENCY * np.cov(x[at].T, bias=True) + floor
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            new = np.argsort(d2, kind="stable")[:h]
+            if set(new) == set(at):
+                break
+            at = new
+        logdet = np.linalg.slogdet(c)[1]
+        best = min(best or (np.inf,), (logdet, tuple(m), tuple(d2)))
+    return best[0], np.array(best[1]), np.array(best[2])
+
+
+def test_estimates_equal_exact_least_determinants(spark):
+    rng = np.random.default_rng(4)
+    clean = rng.multivariate_normal(np.zeros(5), 0.5 * np.eye(5) + 0.5, 400)
+    groups = {"clean": clean, "shifted": np.r_[clean, rng.normal(7, 0.3, (90, 5))], "spread": np.r_[clean, rng.normal(0, 9, (100, 5))]}
+    df = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "grp string, " + ", ".join(f"x{i} double" for i in range(5)))
+    estimate = quality.least_determinants(df)
+    d2 = {}
+    for r in quality._distance(df.join(estimate, "grp")).collect():
+        d2.setdefault(r.grp, {})[tuple(round(r[f"x{i}"], 9) for i in range(5))] = r.d2
+    for r in estimate.collect():
+        logdet, centre, far = mcd(groups[r.grp])
+        assert abs(r.logdet - logdet) < 0.1 and np.abs(np.array([r[f"m{i}"] for i in range(5)]) - centre).max() < 0.1
+        got = np.array([d2[r.grp][tuple(np.round(v, 9))] for v in groups[r.grp]])
+        cut = quality.chi2_quantile(1 - 1e-4, 5)
+        assert ((got > cut) == (far > cut)).mean() > 0.99 and np.corrcoef(np.log(got), np.log(far))[0, 1] > 0.99
+
+
+def test_small_groups_are_judged_by_their_language(spark):
+    rng = np.random.default_rng(1)
+    stat = lambda i, lang, source, symbols: (i, lang, source, 200 + int(rng.integers(0, 150)), 1000 + int(rng.integers(0, 400)), symbols, 0, int(rng.integers(0, 9)))
+    rows = [stat(i, "en", "big", int(rng.integers(0, 3))) for i in range(300)] + [stat(1000 + i, "en", "rare", 0) for i in range(10)] + [stat(2000, "en", "rare", 5000), stat(3000, None, None, 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    got = {r.doc_id: r for r in quality.judged(df).collect()}
+    assert len(got) == len(rows) and got[1000].grp.startswith("l:") and got[0].grp.startswith("s:") and got[3000].grp == "all"
+    assert not got[2000].kept and not got[3000].kept and all(got[1000 + i].kept for i in range(10)) and sum(got[i].kept for i in range(300)) > 295
+    few = {r.doc_id: r.kept for r in quality.judged(df.where("doc_id >= 1000")).collect()}
+    assert all(few.values())
+
+
+def test_quality_of_long_texts_and_ties(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long, "en", "a"), (2, "same words again " * 60, "en", "a"), (2, "same words again " * 60, "en", "a"), (3, None, None, None)] + [(10 + i, " ".join(f"v{k}" for k in range(80)), "en", "a") for i in range(100)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1].n_words == 200_000 and got[1].kept and got[2].base_failed and not got[3].kept and all(got[10 + i].kept for i in range(100))
+
+
 def test_determinant_constants():
     assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality._chi2_cdf(11.0705, 5) - 0.95) < 1e-5
 

@@ -2,21 +2,25 @@
 
 Every text gives exact statistics (words, characters, symbols, repeated lines, repeated three-word windows), and a
 vector of five transformed ones. For each language and source the minimum covariance determinant estimate of the
-vectors' centre and scatter is found by concentration steps from medians and quartiles; rows far from the centre by
-Mahalanobis distance are rejected. How the steps stay cheap for any size and skew of the groups:
-
-- a step's "half" of nearest vectors is cut on a fixed logarithmic grid of distances. One aggregation by (group, grid
-  cell) sums counts, vectors and products; a running total over the cells of a group (a few hundred, whatever the
-  rows) gives the cut and the new estimate. A hot source is combined before it is shuffled;
+vectors' centre and scatter is found as deterministic MCD does: from four robust starts (medians and quartiles, all vectors,
+spatial signs, hyperbolic tangents), concentration steps until the determinants settle, and the start with the lowest
+determinant wins. Rows far from the centre by Mahalanobis distance are rejected. How the steps stay cheap for any size and
+skew of the groups:
+
+- a step's share ``HALF`` of nearest vectors is cut on a fixed logarithmic grid of distances, the cell at the cut counting in
+  part. One aggregation by (group, start, grid cell) sums counts, vectors and products; a running total over the cells of a
+  group (a few hundred, whatever the rows) gives the cut and the new estimate. A hot source is combined before it is shuffled;
 - medians and quartiles come from the same kind of grid. No row is sampled or sorted, no group meets in a task;
+- estimates (some dozens of numbers a group) are broadcast if there are at most ``BROADCAST_GROUPS`` groups, so that rows are
+  never dealt by group;
 - repeated rows of a group count once in its estimate, so that a thousand copies of a text do not become the norm;
-- groups under ``least`` distinct vectors are pooled by language, then altogether; below that there is no estimate
-  and the base rules alone decide;
+- a group under ``least`` distinct vectors is judged by all vectors of its language, or by all; below that there is no
+  estimate and the base rules alone decide;
 - a floor on the scatter keeps constant statistics (no symbols in any text) from rejecting the first other value.
 
 Defined cases: null text is an empty text (which fails the base rules); null language or source is a group of its
-own; a null id stays null; repeated rows get the same verdict; an empty table gives an empty result; other columns
-are ignored.
+own; a null id stays null; repeated rows get the same verdict; of equal distances neither is ahead of the other (cells count
+as a whole or by a share); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,17 +28,20 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import WORD, materialize
+from tracelake.llm.common import WORD, discard, materialize
 
 #: Base rules of the contract.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 DIMS = 5
 #: Share of a group that a concentration step keeps.
 HALF = 0.75
-STEPS = 3
+#: Concentration steps at most, and the change of a determinant's logarithm at which they end.
+STEPS, SETTLED = 12, 1e-3
+#: Groups whose estimates are still broadcast: some 200 bytes for each start.
+BROADCAST_GROUPS = 20_000
 #: Grid cells for each unit of a transformed statistic, and for each doubling of a squared distance.
 FINE, OCTAVE = 64, 16
 #: Distinct vectors that an estimate needs.
@@ -107,25 +114,67 @@ def vector() -> list[Column]:
     return [v.cast("double").alias(f"x{i}") for i, v in enumerate(values)]
 
 
-def _by_group(column: str = "grp"):
-    from pyspark.sql import Window
+PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+ESTIMATE = [*(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in PAIRS)]
+
+
+def _sums(x: list[Column], weight: Column | None = None) -> list[Column]:
+    w = F.lit(1.0) if weight is None else weight
+    return [F.sum(w).alias("n"), *(F.sum(w * x[i]).alias(f"a{i}") for i in range(DIMS)), *(F.sum(w * x[i] * x[j]).alias(f"p{i}{j}") for i, j in PAIRS)]
+
+
+def _factored(rows: DataFrame, keys: list[str], centre: list[Column], scatter: dict[tuple[int, int], Column]) -> DataFrame:
+    """Estimates: the centre and the scatter's Cholesky factor, with the floors, and the determinant's logarithm."""
+    rows = rows.select(*keys, *(c.alias(f"m{i}") for i, c in enumerate(centre)), *(c.alias(f"c{i}{j}") for (i, j), c in scatter.items()))
+    for i, j in PAIRS:
+        floor = FLOORS[i] ** 2 if i == j else 0.0
+        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{i}{j}") + floor)
+        rows = rows.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor))) if i == j else rest / F.col(f"l{j}{j}"))
+    return rows.select(*keys, *ESTIMATE, (2 * reduce(lambda a, b: a + b, (F.log(f"l{i}{i}") for i in range(DIMS)))).alias("logdet"))
 
-    return Window.partitionBy(column)
 
+def _covariance(factor: float) -> tuple[list[Column], dict[tuple[int, int], Column]]:
+    """Centre and scatter of sums n, a, p."""
+    mean = [F.col(f"a{i}") / F.col("n") for i in range(DIMS)]
+    return mean, {(i, j): factor * (F.col(f"p{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in PAIRS}
 
-def _start(points: DataFrame) -> DataFrame:
-    """(grp, m0.., s0..): medians and normalised quartile ranges, from counts on a grid."""
+
+def _medians(points: DataFrame) -> DataFrame:
+    """(grp, q0.., s0..): medians and normalised quartile ranges, from counts on a grid."""
     cells = points.select("grp", F.posexplode(F.array(*(F.round(F.col(f"x{i}") * FINE).cast("long") for i in range(DIMS)))).alias("dim", "cell"))
     counts = cells.groupBy("grp", "dim", "cell").agg(F.count("*").alias("n"))
-    by = _by_group().partitionBy("grp", "dim")
+    by = Window.partitionBy("grp", "dim")
     ranked = counts.withColumn("upto", F.sum("n").over(by.orderBy("cell"))).withColumn("total", F.sum("n").over(by))
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("cell"))) / FINE
     quartiles = ranked.groupBy("grp", "dim").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
     pick = lambda d, c: F.max(F.when(F.col("dim") == d, c))
     return quartiles.groupBy("grp").agg(
-        *(pick(d, F.col("q2")).alias(f"m{d}") for d in range(DIMS)),
-        *(pick(d, F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(FLOORS[d]))).alias(f"l{d}{d}") for d in range(DIMS)),
-    ).select("grp", *(f"m{d}" for d in range(DIMS)), *((F.col(f"l{i}{j}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i + 1)))
+        *(pick(d, F.col("q2")).alias(f"q{d}") for d in range(DIMS)), *(pick(d, F.greatest((F.col("q3") - F.col("q1")) / 1.349, F.lit(FLOORS[d]))).alias(f"s{d}") for d in range(DIMS))
+    )
+
+
+def _beside(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with their group's estimates: broadcast while the groups are few, so that a hot group is never dealt to one task."""
+    return rows.join(F.broadcast(estimates) if estimates.count() <= 4 * BROADCAST_GROUPS else estimates, "grp", how)
+
+
+def _starts(points: DataFrame) -> DataFrame:
+    """(grp, start, estimate, logdet) of the four starts."""
+    medians = materialize(_medians(points), "medians")
+    rows = _beside(points, medians)
+    z = [(F.col(f"x{i}") - F.col(f"q{i}")) / F.col(f"s{i}") for i in range(DIMS)]
+    norm = F.greatest(F.sqrt(reduce(lambda a, b: a + b, (c * c for c in z))), F.lit(1e-9))
+    seen = rows.select("grp", *(f"x{i}" for i in range(DIMS)), *(c / norm for c in z), *(F.tanh(c) for c in z)).toDF("grp", *(f"{k}{i}" for k in "xut" for i in range(DIMS)))
+    centre, scale = [F.col(f"q{i}") for i in range(DIMS)], [F.col(f"s{i}") for i in range(DIMS)]
+    out = [_factored(medians, ["grp"], centre, {(i, j): scale[i] * scale[j] if i == j else F.lit(0.0) for i, j in PAIRS}).withColumn("start", F.lit(0))]
+    whole = seen.groupBy("grp").agg(*_sums([F.col(f"x{i}") for i in range(DIMS)]))
+    out.append(_factored(whole, ["grp"], *_covariance(1.0)).withColumn("start", F.lit(1)))
+    for start, kind in ((2, "u"), (3, "t")):
+        sums = seen.groupBy("grp").agg(*_sums([F.col(f"{kind}{i}") for i in range(DIMS)])).join(medians, "grp")
+        cov = _covariance(1.0)[1]
+        like = {(i, j): scale[i] * scale[j] * (F.lit(1.0) if i == j else F.coalesce(cov[i, j] / F.sqrt(F.greatest(cov[i, i] * cov[j, j], F.lit(1e-18))), F.lit(0.0))) for i, j in PAIRS}
+        out.append(_factored(sums, ["grp"], centre, like).withColumn("start", F.lit(start)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -137,49 +186,58 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _step(points: DataFrame, estimate: DataFrame) -> DataFrame:
-    """A concentration step: the estimate from the nearest HALF of each group."""
-    far = _distance(points.join(estimate, "grp")).withColumn("cell", F.floor(F.log2(F.col("d2") + 1e-6) * OCTAVE))
-    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
-    sums = [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"a{i}") for i in range(DIMS)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in pairs)]
-    cells = far.groupBy("grp", "cell").agg(*sums)
-    by = _by_group()
-    near = cells.withColumn("before", F.sum("n").over(by.orderBy("cell")) - F.col("n")).withColumn("total", F.sum("n").over(by)).where(F.col("before") < HALF * F.col("total"))
-    now = near.groupBy("grp").agg(F.sum("n").alias("n"), *(F.sum(f"a{i}").alias(f"a{i}") for i in range(DIMS)), *(F.sum(f"p{i}{j}").alias(f"p{i}{j}") for i, j in pairs))
-    now = now.select("grp", *((F.col(f"a{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)), "n", *(f"p{i}{j}" for i, j in pairs))
-    for i, j in pairs:
-        floor = FLOORS[i] ** 2 if i == j else 0.0
-        scatter = CONSISTENCY * (F.col(f"p{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) + floor
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), scatter)
-        now = now.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(floor))) if i == j else rest / F.col(f"l{j}{j}"))
-    return now.select("grp", *(f"m{d}" for d in range(DIMS)), *(f"l{i}{j}" for i, j in pairs))
+    """A concentration step of every start: the estimate from the nearest HALF of each group."""
+    far = _distance(_beside(points, estimate)).withColumn("cell", F.floor(F.log2(F.col("d2") + 1e-6) * OCTAVE))
+    cells = far.groupBy("grp", "start", "cell").agg(*_sums([F.col(f"x{i}") for i in range(DIMS)]))
+    by = Window.partitionBy("grp", "start")
+    near = cells.withColumn("before", F.sum("n").over(by.orderBy("cell")) - F.col("n")).withColumn("total", F.sum("n").over(by))
+    share = F.least(F.lit(1.0), (HALF * F.col("total") - F.col("before")) / F.col("n"))
+    near = near.withColumn("share", share).where("share > 0")
+    now = near.groupBy("grp", "start").agg(*(F.sum(F.col("share") * F.col(c)).alias(c) for c in ("n", *(f"a{i}" for i in range(DIMS)), *(f"p{i}{j}" for i, j in PAIRS))))
+    return _factored(now, ["grp", "start"], *_covariance(CONSISTENCY))
+
+
+def least_determinants(points: DataFrame, steps: int = STEPS) -> DataFrame:
+    """points(grp, x0..) -> (grp, estimate, logdet): of each group the settled estimate with the least determinant."""
+    estimate = materialize(_starts(points), "starts")
+    for _ in range(steps):
+        old, estimate = estimate, materialize(_step(points, estimate), "estimates")
+        moved = estimate.alias("n").join(old.alias("o"), ["grp", "start"]).agg(F.max(F.abs(F.col("n.logdet") - F.col("o.logdet")))).first()[0]
+        discard(old)
+        if moved is None or moved <= SETTLED:
+            break
+    best = estimate.groupBy("grp").agg(F.min(F.struct("logdet", "start", *ESTIMATE)).alias("b"))
+    return best.select("grp", *(F.col(f"b.{c}").alias(c) for c in (*ESTIMATE, "logdet")))
+
+
+def _named(distinct: DataFrame, least: int) -> DataFrame:
+    """(lang, source, grp, feeds): the group that judges a language and source, and the groups its vectors count in."""
+    sizes = distinct.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    by_lang, every = Window.partitionBy("lang"), Window.partitionBy(F.lit(0))
+    sizes = sizes.withColumn("of_lang", F.sum("n").over(by_lang))
+    own, lang = F.concat(F.lit("s:"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("l:"), F.to_json(F.struct("lang")))
+    sizes = sizes.withColumn("grp", F.when(F.col("n") >= least, own).when(F.col("of_lang") >= least, lang).otherwise("all"))
+    wanted = lambda name, over: F.when(F.max((F.col("grp") == name).cast("int")).over(over) == 1, name)
+    sizes = sizes.withColumn("lang_name", lang).withColumn("in_lang", wanted(F.col("lang_name"), by_lang)).withColumn("in_all", wanted(F.lit("all"), every))
+    return sizes.select("lang", "source", "grp", F.filter(F.array(F.when(F.col("n") >= least, F.col("grp")), "in_lang", "in_all"), lambda g: g.isNotNull()).alias("feeds"))
 
 
 def judged(stats: DataFrame, tail: float = TAIL, steps: int = STEPS, least: int = LEAST) -> DataFrame:
     """stats with base_failed, grp (the group that judged the row), d2 and kept."""
     rows = stats.withColumn("base_failed", base_failed()).select("*", *vector())
-    distinct = rows.where(~F.col("base_failed")).select("lang", "source", *(f"x{i}" for i in range(DIMS))).distinct()
-    sizes = distinct.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang = sizes.where(F.col("n") < least).groupBy("lang").agg(F.sum("n").alias("pooled"))
-    named = sizes.alias("s").join(by_lang.alias("p"), F.col("s.lang").eqNullSafe(F.col("p.lang")), "left").select(
-        F.col("s.lang").alias("lang"), F.col("s.source").alias("source"), F.when(F.col("n") >= least, one_of("s")).when(F.col("pooled") >= least, F.concat(F.lit("l:"), F.coalesce(F.col("s.lang"), F.lit("")))).otherwise("all").alias("grp")
-    )
-    named = materialize(named, "groups")
-    of = lambda df: df.alias("d").join(named.alias("g"), F.col("d.lang").eqNullSafe(F.col("g.lang")) & F.col("d.source").eqNullSafe(F.col("g.source")), "left").select("d.*", "g.grp")
-    points = of(distinct).select("grp", *(f"x{i}" for i in range(DIMS)))
-    points = materialize(points, "points")
-    estimate = _start(points)
-    for _ in range(steps):
-        estimate = _step(points, estimate)
+    xs = [f"x{i}" for i in range(DIMS)]
+    distinct = materialize(rows.where(~F.col("base_failed")).select("lang", "source", *xs).distinct(), "vectors")
+    named = materialize(_named(distinct, least), "groups")
+    few = named.count() <= BROADCAST_GROUPS
+    of = lambda df, *what: df.alias("d").join(F.broadcast(named.alias("g")) if few else named.alias("g"), F.col("d.lang").eqNullSafe(F.col("g.lang")) & F.col("d.source").eqNullSafe(F.col("g.source")), "left").select(*what)
+    points = materialize(of(distinct, F.explode("g.feeds").alias("grp"), *(f"d.{x}" for x in xs)).distinct(), "points")
     known = points.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("grp")
-    estimate = materialize(estimate.join(known, "grp", "left_semi"), "estimate")
-    far = _distance(of(rows).join(estimate, "grp", "left"))
+    estimate = materialize(least_determinants(points, steps).join(known, "grp", "left_semi"), "estimate")
+    discard(distinct, points)
+    far = _distance(_beside(of(rows, "d.*", "g.grp"), estimate, "left"))
     return far.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= chi2_quantile(1 - tail, DIMS), F.lit(True)))
 
 
-def one_of(alias: str) -> Column:
-    return F.concat(F.lit("s:"), F.coalesce(F.col(f"{alias}.lang"), F.lit("")), F.lit("\t"), F.coalesce(F.col(f"{alias}.source"), F.lit("")))
-
-
 def quality(docs: DataFrame, tail: float = TAIL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, grp, d2), one row for each row."""
     stats = materialize(statistics(docs, id_col, text_col, lang_col, source_col), "statistics")
