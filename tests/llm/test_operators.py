@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -329,15 +330,99 @@ def test_determinant_constants():
 def test_templates_catch_other_numbers_and_names(spark):
     item = "A train leaves the old station of the town at 9 with 60 people and meets Anna after 60 minutes on the long bridge near the river"
     other = item.replace("60", "75").replace("9", "4").replace("Anna", "Berta")
-    mixed = item.replace("with 60", "with 75").replace("9", "4")
-    bench = spark.createDataFrame([(1, item), (None, item), (2, None), (3, "too short")], "item_id long, text string")
-    texts = [f"Some words go before. {item} And after.", f"Before it. {other} After it.", f"Before it. {mixed} After it.", None, "", item.split(" at ")[0], item]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, item, "x"), (6, item, "y")], "doc_id long, text string, item_id string")
+    longer = other.replace("Berta", "Mary Jane Doe").replace("4", "twenty five").replace("with", "with about")
+    mixed = item.replace("with 60", "with 75")  # one value of the item may be two parameters
+    each = "count 7 red hats then 7 blue coats then 7 long ropes then 7 small boats and go home again"
+    apart = "count 1 red hats then 2 blue coats then 3 long ropes then 4 small boats and go home again"
+    merged = "in 3 large rooms with 5 old chairs and 8 new lamps one can seat 9 loud guests or more"
+    alike = "in 2 large rooms with 2 old chairs and 2 new lamps one can seat 2 loud guests or more"
+    bench = spark.createDataFrame([(1, item), (None, item), (2, None), (3, "too short"), (4, each), (5, merged)], "item_id long, text string")
+    texts = [f"Some words go before. {item} And after.", f"Before it. {other} After it.", f"Before it. {mixed} After it.", None, "", item.split(" at ")[0], item, longer, each.replace("7", "9"), apart, alike]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, item, "x"), (6, item, "y"), (6, "another text of this id", "z")], "doc_id long, text string, item_id string")
     got = Counter((r.doc_id, r.item_id, r.verbatim) for r in templates.leaks(df, bench).collect())
-    assert got == Counter({(0, 1, True): 1, (1, 1, False): 1, (6, 1, True): 1, (None, 1, True): 1})
+    assert got == Counter({(0, 1, True): 1, (1, 1, False): 1, (2, 1, False): 1, (6, 1, True): 1, (7, 1, False): 1, (8, 4, False): 1, (None, 1, True): 1})
     assert templates.leaks(df.limit(0), bench).count() == 0 and templates.leaks(df, bench.limit(0)).count() == 0
 
 
+def canonical(text):
+    """Words of a text as (type or lower-cased word, filling), by reading from left to right."""
+    units, numbers = templates.UNITS.split("|"), templates.NUMBER_WORDS.split("|")
+    out = []
+    for k, w in enumerate(text.split()):
+        bare = w.strip(".,;:!?")
+        before = text.split()[k - 1] if k else ""
+        if re.fullmatch(r"\d+(?:[.,:/]\d+)*", bare) or bare in numbers:
+            kind = "N"
+        elif bare[:1].isupper() and k and (before[-1].isalnum() or before[-1] in ",;:"):
+            kind = "A"
+        elif bare in units and out and out[-1][0] == "N":
+            kind = "U"
+        else:
+            kind = bare.lower()
+        if out and kind in ("N", "A") and out[-1][0] == kind:
+            out[-1] = (kind, out[-1][1] + " " + bare)
+        else:
+            out.append((kind, bare if kind in ("N", "A", "U") else bare.lower()))
+    return out
+
+
+def test_templates_equal_brute_force_and_find_other_parameters(spark):
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8))) for _ in range(400)]
+    name, number = lambda: "".join(rnd.choice("abcdefg") for _ in range(5)).capitalize(), lambda: str(rnd.randint(2, 999))
+
+    def item():
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(20, 45))]
+        for at in rnd.sample(range(2, len(words) - 1), rnd.randint(2, 5)):
+            words[at] = rnd.choice(("{n}", "{a}", "{n} miles"))
+        return " ".join(words)
+
+    def fill(shape, wide=False):
+        out = []
+        for w in shape.split():
+            out.append(w.replace("{n}", number() if not wide else rnd.choice((number(), "twenty five"))).replace("{a}", name() if not wide else name() + " " + name()))
+        return " ".join(out)
+
+    shapes = [item() for _ in range(40)]
+    bench = [(i, fill(s)) for i, s in enumerate(shapes)]
+    prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    docs = [(i, prose(30) + " " + fill(shapes[i % 40], wide=i >= 40) + " " + prose(30)) for i in range(80)] + [(100 + i, prose(120)) for i in range(60)]
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = set()
+    for d, text in docs:
+        doc = canonical(text)
+        windows = {}
+        for i in range(len(doc) - 7):
+            windows.setdefault(tuple(k for k, _ in doc[i : i + 8]), []).append(i)
+        for b, question in bench:
+            q = canonical(question)
+            spans = [(j, tuple(k for k, _ in q[j : j + 8])) for j in range(len(q) - 7)]
+            said = [sum(k not in ("N", "A", "U") for k in w) for _, w in spans]
+            spans = [x for x, n in zip(spans, said) if n >= max(1, min(templates.LITERALS, max(said)))]
+            hits = sorted((i - j, j) for j, w in spans for i in windows.get(w, ()))
+            chains = []
+            for h in hits:
+                if chains and h[0] - chains[-1][-1][0] <= templates.DRIFT:
+                    chains[-1].append(h)
+                else:
+                    chains.append([h])
+            for c in chains:
+                n = len({j for _, j in c})
+                slots = {(j + k, q[j + k][1], doc[o + j + k][1]) for o, j in c for k in range(8) if q[j + k][0] in ("N", "A", "U")}
+                agree = [sum(max(Counter(y[2 - s] for y in slots if y[1 + s] == v).values()) for v in {y[1 + s] for y in slots}) for s in (0, 1)]
+                if (n >= templates.SHARE * len(spans) or n >= templates.STRETCH) and (not slots or min(agree) / len(slots) >= templates.CONSISTENT):
+                    want.add((d, b))
+    assert got == want
+    planted = {(i, i % 40) for i in range(80)}
+    assert len(got & planted) >= 0.95 * len(planted) and not {d for d, _ in got} & {100 + i for i in range(60)}
+
+
+def test_templates_of_long_texts(spark):
+    item = "the quick brown fox jumps over the lazy dog and runs home to the small red house"
+    df = spark.createDataFrame([(1, "many other words stand here " * 40_000 + item, "x")], "doc_id long, text string, rid string")
+    assert [(r.doc_id, r.place) for r in templates.leaks(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(1, 200_000)]
+
+
 def test_templates_without_broadcast(spark):
     item = "the quick brown fox jumps over the lazy dog and runs home to the small red house"
     df = spark.createDataFrame([(1, f"well {item} indeed"), (2, "nothing of the kind here at all in this one text")], "doc_id long, text string")

@@ -1,23 +1,27 @@
 """Operator 4: benchmark decontamination by template canonicalisation, in DataFrame operations only.
 
 Numbers, names and units become typed slots, other words are lower-cased and freed of punctuation: a question with
-other numbers or names keeps its template. Windows of ``window`` template words are hash-joined with those of the
-benchmark; hits on one diagonal (document place minus item place) are one alignment of an item. An alignment counts
-if it covers enough of the item (or a long enough stretch of it), and if its slots are consistent: what fills a slot
-value of the item in the document must be the same wherever that value comes back. Filling every slot with the item's
-own values is a verbatim copy.
+other numbers or names keeps its template. Neighbouring names are one slot, and so are neighbouring numbers: "Anna" may
+become "Mary Jane", and 25 "twenty five". Windows of ``window`` template words are hash-joined with those of the
+benchmark. Hits on one diagonal (document place minus item place), or on diagonals at most ``DRIFT`` apart (a word more
+or less in between), are one alignment of an item. An alignment counts if it covers enough of the item (or a long
+enough stretch of it), and if its slots are consistent: going by places of the item, what share of them is filled as most
+places of the same value are, and holds the value that most places of the same filling hold; the lesser share must reach
+``CONSISTENT``. Filling every slot with the item's own values is a verbatim copy.
 
 The benchmark's windows are broadcast only if they are fewer than ``BROADCAST_ROWS``; a larger benchmark is joined by
-shuffle. Windows of nearly nothing but slots say nothing about a text and are left out.
+shuffle. A window with few words besides its slots says little about a text: an item's windows count if they hold
+``LITERALS`` such words, or as many as the best of its windows does.
 
-Defined cases: null text is an empty text; texts and items under ``window`` words have no window and so no hit; null ids of documents stay null, items without an id are left out; repeated
-rows (same id) share their hits; empty tables give no hits; other columns are ignored. A text that itself holds the marker
-characters U+0001..U+0003 is read as if its words were marked.
+Defined cases: null text is an empty text; texts and items under ``window`` words have no window and so no hit, nor have
+items of nothing but slots; null ids of documents stay null, items without an id are left out; repeated rows share their
+hits, rows of one id and another text have their own; empty tables give no hits; other columns are ignored. A text that
+itself holds the marker characters U+0001..U+0004 is read as if its words were marked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import materialize
@@ -27,9 +31,11 @@ WINDOW = 8
 LITERALS = 4
 #: Share of an item's windows, or windows in all, on one diagonal that make a leak.
 SHARE, STRETCH = 0.5, 12
+#: Words that an alignment may gain or lose at once, and least share of its slots' places that agree.
+DRIFT, CONSISTENT = 3, 0.5
 #: Windows of a benchmark that are still broadcast: rows of about 100 bytes, so 20 MB at most.
 BROADCAST_ROWS = 200_000
-NAME, NUMBER, UNIT = "\u0001", "\u0002", "\u0003"
+NAME, NUMBER, UNIT, JOINED = "\u0001", "\u0002", "\u0003", "\u0004"
 # Units and number words that become slots.
 UNITS = "mm|cm|m|km|g|kg|t|l|ml|s|sec|min|h|hr|hrs|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|mile|miles|foot|feet|inch|inches|pound|pounds|dollar|dollars|euro|euros|cent|cents|usd|eur|percent|degrees|meter|meters|metre|metres|liter|liters|litre|litres|gram|grams"
 NUMBER_WORDS = "two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|forty|fifty|hundred|thousand|million"
@@ -43,7 +49,9 @@ def marked(df: DataFrame) -> DataFrame:
     df = df.withColumn("body", F.regexp_replace(F.coalesce(F.col("body").cast("string"), F.lit("")), NAMES, NAME + "$0"))
     df = df.withColumn("body", F.regexp_replace("body", NUMBERS, NUMBER + "$0"))
     df = df.withColumn("body", F.when(F.col("body").contains(NUMBER), F.regexp_replace("body", rf"({NUMBER}[^\s]*\s)({UNITS})(?![\p{{L}}\p{{N}}])", "$1" + UNIT + "$2")).otherwise(F.col("body")))
-    return df.withColumn("body", F.regexp_replace("body", rf"(?<![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}\s{marks}]+|[^\p{{L}}\p{{N}}\s{marks}]+(?![\p{{L}}\p{{N}}{marks}])", ""))
+    df = df.withColumn("body", F.regexp_replace("body", rf"(?<![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}\s{marks}]+|[^\p{{L}}\p{{N}}\s{marks}]+(?![\p{{L}}\p{{N}}{marks}])", ""))
+    # a name after a name, a number after a number: one slot
+    return df.withColumn("body", F.regexp_replace("body", rf"\s{{1,3}}[{NAME}{NUMBER}](?:(?<={NAME}[^\s]{{1,40}}\s{{1,3}}{NAME})|(?<={NUMBER}[^\s]{{1,40}}\s{{1,3}}{NUMBER}))", JOINED))
 
 
 def _words(text: Column) -> Column:
@@ -68,10 +76,11 @@ def _literal(word: Column) -> Column:
 
 
 def bench_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, item_id, j, n_windows, item_words): the item's windows that hold enough literal words."""
+    """(h, item_id, j, n_windows, item_words): the item's windows that hold enough literal words, for an item."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("body")).where("item_id is not null")
     all_of = _windows(items, window).select("item_id", "shape", "filled", F.posexplode_outer("hashes").alias("j", "h"))
-    told = all_of.where("h is not null").where(F.size(F.filter(F.slice("shape", F.col("j") + 1, window), _literal)) >= literals)
+    told = all_of.where("h is not null").withColumn("said", F.size(F.filter(F.slice("shape", F.col("j") + 1, window), _literal)))
+    told = told.withColumn("most", F.max("said").over(Window.partitionBy("item_id"))).where(F.col("said") >= F.greatest(F.lit(1), F.least(F.lit(literals), F.col("most"))))
     told = told.select("h", "item_id", "j", F.slice("filled", F.col("j") + 1, window).alias("item_words"))
     sizes = told.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     return told.join(sizes, "item_id").select("h", "item_id", "j", "n_windows", "item_words")
@@ -82,26 +91,28 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, place, n_hits, share, n_slots, verbatim): alignments of items in documents.
+    """(doc_id, item_id, place, n_hits, share, n_slots, consistent, verbatim): alignments of items in documents.
 
     place: the word of the document where the item would start; n_hits: item windows found there; share: of the item's
-    windows; n_slots: distinct slot values compared; verbatim: all of them the item's own.
+    windows; n_slots: slots compared; consistent: share of them that agree; verbatim: all of them the item's own.
     """
     bench = _sized(materialize(bench_windows(benchmark, window), "bench"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("body"))
-    probes = _windows(rows, window).select("doc_id", "filled", F.posexplode_outer("hashes").alias("i", "h"))
-    hits = probes.join(bench, "h").select(
-        "doc_id", "item_id", (F.col("i") - F.col("j")).alias("place"), "j", "n_windows", "item_words", F.slice("filled", F.col("i") + 1, window).alias("words")
-    )
-    hits = materialize(hits, "hits")
-    key = ["doc_id", "item_id", "place"]
-    found = hits.groupBy(*key).agg(F.countDistinct("j").alias("n_hits"), F.max("n_windows").alias("n_windows")).where((F.col("n_hits") >= SHARE * F.col("n_windows")) | (F.col("n_hits") >= STRETCH))
-    pairs = F.filter(F.arrays_zip("item_words", "words"), lambda p: ~_literal(p["item_words"]))
-    slots = hits.select(*key, F.explode(pairs).alias("p")).select(*key, F.col("p.item_words").alias("own"), F.col("p.words").alias("other")).distinct()
-    filled = slots.groupBy(*key, "own").agg(F.count("*").alias("n"), F.max(F.col("own") != F.col("other")).alias("changed"))
-    slots = filled.groupBy(*key).agg(F.count("*").alias("n_slots"), F.max("n").alias("most"), F.max("changed").alias("changed"))
-    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"s.{k}")) for k in key]
-    out = found.alias("f").join(slots.alias("s"), same, "left").where(F.coalesce(F.col("s.most"), F.lit(1)) == 1)
-    return out.select(
-        *(F.col(f"f.{k}").alias(k) for k in key), "n_hits", (F.col("n_hits") / F.col("n_windows")).alias("share"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), (~F.coalesce("changed", F.lit(False))).alias("verbatim")
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
+    rows = rows.withColumn("rid", F.xxhash64("doc_id", "body"))
+    probes = _windows(rows, window).select("rid", "doc_id", "filled", F.posexplode_outer("hashes").alias("i", "h"))
+    hits = probes.join(bench, "h").select("rid", "doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal"), "j", "n_windows", "item_words", F.slice("filled", F.col("i") + 1, window).alias("words"))
+    hits = materialize(hits.dropDuplicates(["rid", "item_id", "diagonal", "j"]), "hits")
+    by = Window.partitionBy("rid", "item_id").orderBy("diagonal", "j")
+    hits = hits.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(by))
+    key = ["rid", "item_id", "nth"]
+    found = hits.groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.min("diagonal").alias("place"), F.countDistinct("j").alias("n_hits"), F.max("n_windows").alias("n_windows"))
+    found = found.where((F.col("n_hits") >= SHARE * F.col("n_windows")) | (F.col("n_hits") >= STRETCH))
+    pairs = F.filter(F.transform(F.arrays_zip("item_words", "words"), lambda p, k: F.struct((F.col("j") + k).alias("at"), p["item_words"].alias("own"), p["words"].alias("other"))), lambda p: ~_literal(p["own"]))
+    slots = hits.select(*key, F.explode(pairs).alias("p")).select(*key, "p.*").distinct()
+    both = slots.groupBy(*key, "own", "other").agg(F.count("*").alias("n"))
+    most = lambda side: both.groupBy(*key, side).agg(F.max("n").alias("most"), F.sum("n").alias("n")).groupBy(*key).agg(F.sum("most").alias(f"by_{side}"), F.sum("n").alias("n_slots"))
+    changed = both.groupBy(*key).agg(F.max(F.col("own") != F.col("other")).alias("changed"))
+    told = most("own").join(most("other").drop("n_slots"), key).join(changed, key)
+    told = told.withColumn("consistent", F.least("by_own", "by_other") / F.col("n_slots"))
+    out = found.join(told, key, "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= CONSISTENT)
+    return out.select("doc_id", "item_id", "place", "n_hits", (F.col("n_hits") / F.col("n_windows")).alias("share"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "consistent", (~F.coalesce("changed", F.lit(False))).alias("verbatim"))
