@@ -236,3 +236,86 @@ def test_stream_keeps_the_first(spark, tmp_path):
         assert sorted(r.event_id for r in spark.table("seen").collect()) == [4624, 4688, 4688]
     finally:
         q.stop()
+
+
+def test_executed_keeps_the_first_row_of_a_file_and_source(spark):
+    rows = [("H", "prefetch", "C:/a.exe", "t2", 5, 7, 2), ("H", "prefetch", "C:/a.exe", "t1", 4, 9, 1), ("H", "shimcache", "C:/a.exe", None, 3, 1, 4), ("H", "shimcache", "C:/a.exe", "t9", 2, 1, 5), ("H", "prefetch", "", "t", 1, 1, 1), ("H", "prefetch", None, "t", 1, 1, 1)]
+    df = spark.createDataFrame(rows, "hostname string, source string, path string, timestamp string, shim_order int, run_count long, seq long")
+    got = sorted((r.source, r.timestamp, r.shim_order, r.run_count) for r in g.executed(df).collect())
+    assert got == [("prefetch", "t1", None, 9), ("shimcache", None, 3, None)]
+    assert g.duplicates(g.executed(df), ["file_id", "source"]).count() == 0 and g.duplicates(df, ["hostname", "source"]).count() == 2
+
+
+def test_one_event_by_its_id_without_a_shuffle(spark):
+    kind = "hostname string, seq long, id string, event_id int, target_user string, ip string, logon_type string, image string, port string"
+    rows = [("H", i, f"H:{i}", e, "u", "1", "3", "a", "9") for i, e in enumerate([4624, 4624, 1, 3, 3, 1])] + [("G", 9, "G:9", 4624, "u", "1", "3", "a", "9")]
+    df = spark.createDataFrame(rows, kind)
+    kept = {r.id for r in g.first_seen(df).collect()}
+    for r in rows:
+        found = g.event_by_id(df, r[2])
+        assert [x.id for x in found.collect()] == ([r[2]] if r[2] in kept else []) and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert g.event_by_id(df, "none").count() == 0
+
+
+def test_spawns_and_scripts_by_time(spark):
+    kind = "hostname string, seq long, id string, event_id int, process_guid string, parent_process_guid string, image string, parent_image string, timestamp string, script_text string"
+    rows = [("H", 1, "H:1", 1, "c", "p", "C:/c.exe", "C:/p.exe", "t1", ""), ("H", 2, "H:2", 1, "c", "p", "C:/d.exe", "C:/p.exe", "t1", ""), ("H", 3, "H:3", 1, "c", "p", "C:/d.exe", None, "t2", ""), ("H", 4, "H:4", 4104, "p", "", "", "", "t3", "x"), ("H", 5, "H:5", 4104, "unknown", "", "", "", "t3", "x")]
+    df = spark.createDataFrame(rows, kind)
+    assert sorted((r.timestamp, r.parent, r.child) for r in g.spawned_at(df).collect()) == [("t1", "C:/p.exe", "C:/c.exe"), ("t2", None, "C:/d.exe")]
+    assert [(r.src_id, r.dst_id) for r in g.scripts_of(df).collect()] == [("H:guid:p", "H:4:sb")]
+
+
+def test_guarded_statistics_and_probes(spark):
+    from tracelake.operators import statistics as v
+    from tracelake.plans.store import GraphStore
+
+    one = spark.createDataFrame([("H1", "H1:1")], "hostname string, id string")
+    got = v.guarded({"fine": lambda: one, "wrong": lambda: one.select("nothing"), "slow": lambda: spark.range(10**13).selectExpr("sum(xxhash64(id) % 7) AS s")}, timeout_s=2)
+    assert got["fine"] == [{"hostname": "H1", "id": "H1:1"}] and got["wrong"] is None and got["slow"] is None and got["stats_skipped"] == ["wrong:error", "slow:timeout"]
+    none = spark.createDataFrame([], "hostname string, source string")
+    tables = dict.fromkeys(("event", "process", "connected", "module", "media", "usb", "feature", "executed", "file"), none) | {"event": one, "executed": spark.createDataFrame([("H1", "prefetch"), ("H2", "shimcache")], "hostname string, source string")}
+    assert v.artifacts_loaded(GraphStore(spark, tables), "H1") == {"evtx", "prefetch"} and v.artifacts_loaded(GraphStore(spark, tables), "H3") == set()
+
+
+def test_parameters_of_hunts(spark):
+    from tracelake.plans.store import GraphStore
+
+    files = spark.createDataFrame([("a", "p", 0.3, "mft", None), ("b", "q", 0.5, "mft", True)], "id string, path string, score double, source string, sensitive boolean")
+    store = GraphStore(spark, {"file": files})
+    assert [r.id for r in store.hunt("path_discover").collect()] == ["b"] and [r.id for r in store.hunt("path_discover", least=0.2).collect()] == ["b", "a"]
+    with pytest.raises(KeyError):
+        store.hunt("path_discover", most=1)
+    with pytest.raises(KeyError):
+        store.hunt("none")
+
+
+def test_steps_exports_and_retries():
+    from tracelake.plans import export, workflow
+    from tracelake.serving import retried
+
+    names = {"step_4_dns": "004_dns", "007_x": "007_x", "Alpha": "001_alpha", "step 12": "012_step", "Step12__a b_": "012_a_b", "find 3 things": "003_find_3_things", "": "001_step", "__": "001_step"}
+    assert {n: workflow.normalize_step_id(n) for n in names} == names
+    rows = [{"a": f"x|{i}", "b": None if i == 1 else i} for i in range(20)]
+    table = export.markdown_table(rows)
+    assert table.count("\n") == 19 and "x\\|0" in table and "5 more rows" in table and export.markdown_table([]) == "_no rows_\n"
+    assert export.diagram(rows, "a", "b").count("-->") == 12 and "```mermaid" in export.document("t", rows, "a", "b")
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ConnectionError
+        return "done"
+
+    assert retried(flaky, first_wait_s=0) == "done" and len(calls) == 3
+    with pytest.raises(ConnectionError):
+        retried(lambda: (_ for _ in ()).throw(ConnectionError()), tries=2, first_wait_s=0)
+
+
+def test_loaded_graph_is_written_once(spark, tmp_path):
+    from tracelake.plans import store
+
+    (events := spark.read.parquet("/root/testdata/sf0.001/events.parquet")).write.parquet(f"{tmp_path}/events.parquet")
+    a, b = (store.loaded(spark, str(tmp_path))["event"] for _ in range(2))
+    assert a.inputFiles() == b.inputFiles() and a.count() <= events.count() and "hostname" in a.columns
+    assert sorted(map(tuple, a.select("id", "event_id").collect())) == sorted(map(tuple, store.projected(spark, str(tmp_path))["event"].select("id", "event_id").collect()))

@@ -71,7 +71,7 @@ def run(args: argparse.Namespace, store: GraphStore | None) -> dict | list:
 
         return discover_hosts(store.spark, args.folder)
     if name == "path-discover":
-        rows = server._rows(lambda: store.hunt("path_discover").where(f"score >= {args.least}"), 200)
+        rows = server._rows(lambda: store.hunt("path_discover", least=args.least), 200)
         return rows | {"hit_count": rows.get("row_count", 0), "total": store["file"].count()}
     if name == "probe":
         df = store[args.table]

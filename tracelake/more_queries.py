@@ -13,7 +13,7 @@ from tracelake.operators import scoring as k
 from tracelake.operators import statistics as v
 from tracelake.plans.oracle import BASE, GUID, with_tables
 from tracelake.plans.projection import view
-from tracelake.plans.store import projected
+from tracelake.plans.store import loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -61,19 +61,10 @@ def n05_first_path(spark, sf_dir):
     return _read(spark, sf_dir, "part").select("p_partkey", n.first_path(first, F.col("p_brand")).alias("path"), n.first_path(F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("ab"), F.col("p_brand"), longer_than=2).alias("exec_path"))
 
 
-@_query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS from_text, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS from_seconds, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS from_ms,
- strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS from_filetime FROM orders WHERE epoch(o_orderdate) > 1000000000""")
-def n07_timestamp(spark, sf_dir):
-    # exact epochs of seconds under 10**9 are no timestamps, as before 2001-09-09
-    rows = _read(spark, sf_dir, "orders").withColumn("s", F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).where("s > 1000000000")
-    as_text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
-    return rows.select("o_orderkey", n.timestamp(as_text).alias("from_text"), n.timestamp(F.col("s")).alias("from_seconds"), n.timestamp(F.col("s") * 1000 + 7).alias("from_ms"), n.timestamp((F.col("s") + 11_644_473_600) * 10_000_000).alias("from_filetime"))
-
-
 @_query("""SELECT o_orderkey, t AS from_text, CASE WHEN s > 1000000000 THEN t ELSE '' END AS from_seconds, CASE WHEN s > 1000000000 THEN t ELSE '' END AS from_ms, t AS from_filetime,
  strftime(o_orderdate + INTERVAL 3650 DAY, '%Y-%m-%dT%H:%M:%SZ') AS later_seconds, strftime(o_orderdate + INTERVAL 3650 DAY, '%Y-%m-%dT%H:%M:%SZ') AS later_ms
  FROM (SELECT *, epoch(o_orderdate) AS s, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS t FROM orders)""")
-def n07_timestamp_orders(spark, sf_dir):
+def n07_timestamp(spark, sf_dir):
     # all orders: those before 2001-09-09 give '' from seconds and milliseconds, 3650 days later all of them are timestamps
     rows = _read(spark, sf_dir, "orders").withColumn("s", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")))
     as_text, later = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.col("s") + 3650 * 86_400
@@ -207,46 +198,46 @@ def _net(spark, sf_dir):
 
 @_query(f"SELECT r.seq, p.id AS process_id FROM ({_NET}) r JOIN (SELECT *, row_number() OVER (PARTITION BY hostname, pid ORDER BY CASE create_time WHEN 'unknown' THEN '~' ELSE create_time END DESC, id DESC) AS rn FROM process) p ON p.hostname = r.hostname AND p.pid = r.pid AND rn = 1")
 def l03_newest_process(spark, sf_dir):
-    return g.newest_process(_net(spark, sf_dir), projected(spark, sf_dir)["process"]).select("seq", "process_id")
+    return g.newest_process(_net(spark, sf_dir), loaded(spark, sf_dir)["process"]).select("seq", "process_id")
 
 
 @_query(f"SELECT r.seq, p.id AS process_id, r.ip FROM ({_NET}) r JOIN (SELECT hostname, pid, min(id) AS id FROM process GROUP BY hostname, pid) p ON p.hostname = r.hostname AND p.pid = r.pid WHERE r.ip NOT LIKE '127.%'")
 def l04_any_process(spark, sf_dir):
-    return g.any_process(_net(spark, sf_dir).where(~n.skip_address(F.col("ip"))), projected(spark, sf_dir)["process"]).select("seq", "process_id", "ip")
+    return g.any_process(_net(spark, sf_dir).where(~n.skip_address(F.col("ip"))), loaded(spark, sf_dir)["process"]).select("seq", "process_id", "ip")
 
 
 @_query("SELECT file_id, shim_order FROM executed WHERE source = 'shimcache'")
 def l07_shimcache(spark, sf_dir):
-    return projected(spark, sf_dir)["executed"].where("source = 'shimcache'").select("file_id", "shim_order")
+    return loaded(spark, sf_dir)["executed"].where("source = 'shimcache'").select("file_id", "shim_order")
 
 
 @_query("SELECT file_id, run_count FROM executed WHERE source = 'prefetch'")
 def l08_prefetch(spark, sf_dir):
-    return projected(spark, sf_dir)["executed"].where("source = 'prefetch'").select("file_id", "run_count")
+    return loaded(spark, sf_dir)["executed"].where("source = 'prefetch'").select("file_id", "run_count")
 
 
 @_query("SELECT id FROM file WHERE contains(lower(path), 'blog') OR contains(lower(path), 'www.cheap')")
 def l10_seeded_files(spark, sf_dir):
     from tracelake.sources.files import matching_seeds
 
-    return matching_seeds(projected(spark, sf_dir)["file"], "path", ["blog", "WWW.cheap", "ab"]).select("id")
+    return matching_seeds(loaded(spark, sf_dir)["file"], "path", ["blog", "WWW.cheap", "ab"]).select("id")
 
 
 @_query("SELECT DISTINCT lower(seed) AS seed FROM (SELECT name AS seed FROM file UNION ALL SELECT name FROM executed UNION ALL SELECT 'config' AS seed) WHERE length(seed) >= 3")
 def l16_seeds(spark, sf_dir):
-    store = projected(spark, sf_dir)
+    store = loaded(spark, sf_dir)
     seeds = store["file"].select(F.col("name").alias("seed")).unionByName(store["executed"].select(F.col("name").alias("seed"))).unionByName(spark.createDataFrame([("config",)], "seed string"))
     return seeds.where(F.length("seed") >= 3).select(F.lower("seed").alias("seed")).distinct()
 
 
-@_query("SELECT src_id, dst_id, parent AS parent, child AS child FROM sysmon_spawned")
+@_query(f"SELECT src_id, dst_id, timestamp, parent, child FROM (SELECT *, row_number() OVER (PARTITION BY src_id, dst_id, timestamp ORDER BY seq) AS rn FROM (SELECT seq, hostname || ':guid:' || parent_process_guid AS src_id, {GUID} AS dst_id, timestamp, parent_image AS parent, image AS child FROM v_event WHERE event_id = 1 AND process_guid <> '' AND parent_process_guid <> '')) WHERE rn = 1")
 def c01_spawned(spark, sf_dir):
-    return projected(spark, sf_dir)["sysmon_spawned"].select("src_id", "dst_id", "parent", "child")
+    return g.spawned_at(view(spark, sf_dir, "v_event"))
 
 
 @_query(f"SELECT g.src_id, p.id AS dst_id FROM (SELECT DISTINCT hostname, cast(process_id AS int) AS pid, {GUID} AS src_id FROM v_event WHERE event_id = 1 AND process_guid <> '') g JOIN (SELECT hostname, pid, min(id) AS id FROM process GROUP BY hostname, pid) p ON p.hostname = g.hostname AND p.pid = g.pid")
 def c02_same_as(spark, sf_dir):
-    return g.same_as(view(spark, sf_dir, "v_event"), projected(spark, sf_dir)["process"])
+    return g.same_as(view(spark, sf_dir, "v_event"), loaded(spark, sf_dir)["process"])
 
 
 @_query(f"SELECT DISTINCT {GUID} AS src_id, ip AS address, port, timestamp FROM v_event WHERE event_id = 3 AND process_guid <> '' AND ip <> ''")
@@ -276,37 +267,37 @@ def c08_modified(spark, sf_dir):
     return e.select(g.guid().alias("src_id"), F.concat_ws(":", "hostname", "registry_key").alias("dst_id"), "timestamp", "event_id").distinct()
 
 
-@_query("SELECT DISTINCT hostname || ':' || target_user AS sid, hostname, timestamp, logon_type, ip FROM event WHERE event_id = 4624 AND target_user <> ''")
+@_query("SELECT DISTINCT hostname || ':' || target_user AS sid, hostname, timestamp, logon_type, ip, workstation FROM event WHERE event_id = 4624 AND target_user <> ''")
 def c09_logged_in(spark, sf_dir):
-    e = projected(spark, sf_dir)["event"].where("event_id = 4624 AND target_user <> ''")
-    return e.select(F.concat_ws(":", "hostname", "target_user").alias("sid"), "hostname", "timestamp", "logon_type", "ip").distinct()
+    e = loaded(spark, sf_dir)["event"].where("event_id = 4624 AND target_user <> ''")
+    return e.select(F.concat_ws(":", "hostname", "target_user").alias("sid"), "hostname", "timestamp", "logon_type", "ip", "workstation").distinct()
 
 
 @_query("SELECT DISTINCT hostname, name FROM service")
 def c10_has_service(spark, sf_dir):
-    return projected(spark, sf_dir)["service"].select("hostname", "name").distinct()
+    return loaded(spark, sf_dir)["service"].select("hostname", "name").distinct()
 
 
-@_query(f"SELECT DISTINCT e.{GUID.replace('process_guid', 'e.process_guid')} AS src_id, e.id || ':sb' AS dst_id, e.timestamp FROM v_event e WHERE event_id = 4104 AND script_text <> '' AND process_guid <> ''")
+@_query(f"""SELECT DISTINCT {GUID} AS src_id, id || ':sb' AS dst_id, timestamp FROM v_event WHERE event_id = 4104 AND script_text <> '' AND process_guid <> ''
+ AND {GUID} IN (SELECT {GUID} FROM v_event WHERE event_id = 1 AND process_guid <> '' UNION SELECT hostname || ':guid:' || parent_process_guid FROM v_event WHERE event_id = 1 AND parent_process_guid <> '')""")
 def c11_scripts(spark, sf_dir):
-    e = view(spark, sf_dir, "v_event").where("event_id = 4104 AND script_text <> '' AND process_guid <> ''")
-    return e.select(g.guid().alias("src_id"), F.concat_ws(":", "id", F.lit("sb")).alias("dst_id"), "timestamp").distinct()
+    return g.scripts_of(view(spark, sf_dir, "v_event"))
 
 
 @_query("SELECT x.file_id, count(*) AS processes FROM executed x JOIN process p ON p.name = x.name WHERE x.source = 'prefetch' GROUP BY x.file_id")
 def c14_in_memory(spark, sf_dir):
-    store = projected(spark, sf_dir)
+    store = loaded(spark, sf_dir)
     return g.prefetch_in_memory(store["executed"], store["process"])
 
 
 @_query("SELECT file_id, source, score FROM executed WHERE score >= 0.4")
 def c16_discovered(spark, sf_dir):
-    return projected(spark, sf_dir)["executed"].where("score >= 0.4").select("file_id", "source", "score")
+    return loaded(spark, sf_dir)["executed"].where("score >= 0.4").select("file_id", "source", "score")
 
 
 @_query("SELECT 'created' AS edge, count(*) AS n FROM created UNION ALL SELECT 'describes', count(*) FROM describes UNION ALL SELECT 'same_domain', count(*) FROM same_domain UNION ALL SELECT 'spawned', count(*) FROM sysmon_spawned")
 def c17_counts(spark, sf_dir):
-    s = projected(spark, sf_dir)
+    s = loaded(spark, sf_dir)
     return v.edge_counts(created=s["created"], describes=s["describes"], same_domain=s["same_domain"], spawned=s["sysmon_spawned"])
 
 
@@ -315,41 +306,59 @@ def c17_counts(spark, sf_dir):
 
 @_query("SELECT event_id, channel, count(*) AS cnt FROM event WHERE hostname = 'H1' GROUP BY event_id, channel")
 def v01_events_of_host(spark, sf_dir):
-    return v.events_of_host(projected(spark, sf_dir)["event"], "H1")
+    return v.events_of_host(loaded(spark, sf_dir)["event"], "H1")
 
 
-@_query("SELECT 'connected' AS edge, count(*) AS n FROM connected UNION ALL SELECT 'dns', count(*) FROM dns UNION ALL SELECT 'registry', count(*) FROM registry")
+_AT_H1 = "src_id LIKE 'H1:%'"
+
+
+@_query(f"""SELECT 'spawned_sysmon' AS edge, count(*) AS n FROM sysmon_spawned WHERE {_AT_H1} UNION ALL SELECT 'connected_sysmon', count(*) FROM connected WHERE {_AT_H1}
+ UNION ALL SELECT 'created_files', count(*) FROM file_event WHERE hostname = 'H1' AND NOT deleted UNION ALL SELECT 'dns_resolved', count(*) FROM dns WHERE hostname = 'H1' UNION ALL SELECT 'registry_modified', count(*) FROM modified WHERE {_AT_H1}""")
 def v02_edge_counts(spark, sf_dir):
-    s = projected(spark, sf_dir)
-    return v.edge_counts(connected=s["connected"], dns=s["dns"], registry=s["registry"])
+    return v.host_edges(loaded(spark, sf_dir), "H1")
+
+
+@_query("SELECT count(*) AS total, count(CASE WHEN score >= 0.4 THEN 1 END) AS hit_count, count(CASE WHEN source IN ('filestat', 'mft') THEN 1 END) AS cataloged, floor(count(CASE WHEN source IN ('filestat', 'mft') THEN 1 END) * 1000.0 / count(*) + 0.5) / 10 :: double AS coverage_pct FROM file")
+def h32_path_coverage(spark, sf_dir):
+    return v.path_coverage(loaded(spark, sf_dir)["file"])
+
+
+@_query("SELECT cell_lat, cell_lon, count(*) AS media FROM media WHERE cell_lat IS NOT NULL AND cell_lon IS NOT NULL GROUP BY cell_lat, cell_lon")
+def l12_place_nodes(spark, sf_dir):
+    return g.places(loaded(spark, sf_dir)["media"])
+
+
+@_query("SELECT 'evtx' AS artifact WHERE EXISTS (SELECT 1 FROM event WHERE hostname = 'H1') UNION ALL SELECT 'pslist' WHERE EXISTS (SELECT 1 FROM process WHERE hostname = 'H1') UNION ALL SELECT 'netscan' WHERE EXISTS (SELECT 1 FROM connected WHERE hostname = 'H1') UNION ALL SELECT 'dlllist' WHERE EXISTS (SELECT 1 FROM module WHERE hostname = 'H1') UNION ALL SELECT 'shimcache' WHERE EXISTS (SELECT 1 FROM executed WHERE hostname = 'H1' AND source = 'shimcache') UNION ALL SELECT 'prefetch' WHERE EXISTS (SELECT 1 FROM executed WHERE hostname = 'H1' AND source = 'prefetch') UNION ALL SELECT 'path_catalog' WHERE EXISTS (SELECT 1 FROM file WHERE hostname = 'H1' AND source = 'filestat') UNION ALL SELECT 'mft' WHERE EXISTS (SELECT 1 FROM file WHERE hostname = 'H1' AND source = 'mft') UNION ALL SELECT 'media_exif' WHERE EXISTS (SELECT 1 FROM media WHERE hostname = 'H1') UNION ALL SELECT 'usb' WHERE EXISTS (SELECT 1 FROM usb WHERE hostname = 'H1') UNION ALL SELECT 'bulk' WHERE EXISTS (SELECT 1 FROM feature WHERE hostname = 'H1')")
+def v10_artifacts(spark, sf_dir):
+    return spark.createDataFrame([(a,) for a in sorted(v.artifacts_loaded(loaded(spark, sf_dir), "H1"))], "artifact string")
 
 
 @_query("SELECT count(*) AS total, sum(CASE WHEN source IN ('filestat', 'mft') THEN 1 ELSE 0 END) :: bigint AS cataloged, sum(CASE WHEN sensitive THEN 1 ELSE 0 END) :: bigint AS sensitive, floor(sum(CASE WHEN sensitive THEN 1 ELSE 0 END) * 1000.0 / count(*) + 0.5) / 10 :: double AS sensitive_pct FROM file")
 def v03_files(spark, sf_dir):
-    return v.file_statistics(projected(spark, sf_dir)["file"])
+    return v.file_statistics(loaded(spark, sf_dir)["file"])
 
 
 @_query("SELECT count(*) AS total, count(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1 END) AS with_gps FROM media")
 def v04_media(spark, sf_dir):
-    return v.media_statistics(projected(spark, sf_dir)["media"])
+    return v.media_statistics(loaded(spark, sf_dir)["media"])
 
 
 @_query("SELECT 'bulk' AS edge, count(*) AS n FROM feature UNION ALL SELECT 'usb', count(*) FROM usb")
 def v05_usb_bulk(spark, sf_dir):
-    s = projected(spark, sf_dir)
+    s = loaded(spark, sf_dir)
     return v.edge_counts(bulk=s["feature"], usb=s["usb"])
 
 
 @_query("SELECT source, count(*) AS cnt, sum(CASE WHEN confidence = 'corroborated_sysmon' THEN 1 ELSE 0 END) :: bigint AS corroborated FROM executed GROUP BY source")
 def v06_executed(spark, sf_dir):
-    return v.executed_by_source(projected(spark, sf_dir)["executed"])
+    return v.executed_by_source(loaded(spark, sf_dir)["executed"])
 
 
 @_query("""SELECT coalesce(e.hostname, p.hostname) AS hostname, coalesce(e.n, 0) AS events, coalesce(p.n, 0) AS processes, coalesce(s.n, 0) AS spawned, coalesce(s.n, 0) > 0 AS healthy
  FROM (SELECT hostname, count(*) AS n FROM event GROUP BY hostname) e FULL JOIN (SELECT hostname, count(*) AS n FROM process GROUP BY hostname) p ON p.hostname = e.hostname
  LEFT JOIN (SELECT split_part(dst_id, ':', 1) AS hostname, count(*) AS n FROM sysmon_spawned GROUP BY 1) s ON s.hostname = coalesce(e.hostname, p.hostname)""")
 def v08_hosts(spark, sf_dir):
-    s = projected(spark, sf_dir)
+    s = loaded(spark, sf_dir)
     return v.host_totals(s["event"], s["process"], s["sysmon_spawned"])
 
 
@@ -362,12 +371,28 @@ def v09_rollup(spark, sf_dir):
 
 @_query("SELECT hostname, count(*) AS events, count(DISTINCT event_id) AS kinds, max(timestamp) AS latest FROM event GROUP BY hostname")
 def t03_host_summary(spark, sf_dir):
-    return projected(spark, sf_dir)["event"].groupBy("hostname").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("kinds"), F.max("timestamp").alias("latest"))
+    return loaded(spark, sf_dir)["event"].groupBy("hostname").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("kinds"), F.max("timestamp").alias("latest"))
 
 
-@_query("SELECT id, hostname AS host, event_id, timestamp, image FROM event WHERE id = 'H1:1'")
+@_query("SELECT id, hostname AS host, event_id, timestamp, image FROM event WHERE id IN (SELECT min(id) FROM v_event WHERE event_id = 4625)")
 def t04_get_event(spark, sf_dir):
-    return projected(spark, sf_dir)["event"].where("id = 'H1:1'").select("id", F.col("hostname").alias("host"), "event_id", "timestamp", "image")
+    """The point lookup of the server: a host is a folder, so that one is read, and the id is pushed to its scan."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SOME_EVENT:
+        _SOME_EVENT[key] = loaded(spark, sf_dir)["event"].where("event_id = 4625").agg(F.min("id")).first()[0]
+    return v.event_of(loaded(spark, sf_dir), _SOME_EVENT[key])
+
+
+#: An id to look up, by application and input: which one there is follows from the tables.
+_SOME_EVENT: dict[tuple[str, str], str] = {}
+
+
+@_query("SELECT id, event_id, timestamp FROM event WHERE id IN (SELECT min(id) FROM v_event WHERE event_id = 3)")
+def t04_get_raw_event(spark, sf_dir):
+    """The same lookup over raw events, which says itself whether the event is a repeat."""
+    events = view(spark, sf_dir, "v_event")
+    wanted = events.where("event_id = 3").agg(F.min("id")).first()[0]
+    return g.event_by_id(events, wanted or "").select("id", "event_id", "timestamp")
 
 
 _TTP = "'t1' || lpad(cast(p_partkey % 50 AS string), 3, '0') || CASE WHEN p_partkey % 2 = 0 THEN '.001' ELSE '' END"

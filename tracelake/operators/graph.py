@@ -32,6 +32,11 @@ def create_only(rows: DataFrame, keys: list[str], props: list[str], seq: str = "
     return first.select(*keys, *(F.col(f"first.{p}").alias(p) for p in props))
 
 
+def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one row has; a table whose identity is its keys has none."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
 DEDUP_RULES = {4624: ["target_user", "ip", "logon_type"], 3: ["image", "ip", "port"]}
 
 
@@ -45,15 +50,29 @@ def _rule_key(rules: dict[int, list[str]]) -> Column:
 def first_seen(events: DataFrame, rules: dict[int, list[str]] = DEDUP_RULES, seq: str = "seq") -> DataFrame:
     """The first event of each (host, class, key) in file order; classes without a rule pass.
 
-    One aggregation finds the first sequence number of a key; no window holds a hot key's rows.
+    One shuffle: a first rank is a limit of each group, which every task applies to its own rows before they are dealt, so
+    a hot key sends one row a task.
     """
     keyed = events.withColumn("_key", _rule_key(rules))
-    ruled = keyed.where(F.col("_key").isNotNull())
-    firsts = ruled.groupBy("hostname", "event_id", "_key").agg(F.min(seq).alias(seq))
-    kept = ruled.join(firsts, ["hostname", "event_id", "_key", seq], "left_semi")
+    by = Window.partitionBy("hostname", "event_id", "_key").orderBy(seq)
+    kept = keyed.where(F.col("_key").isNotNull()).withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth")
     return keyed.where(F.col("_key").isNull()).unionByName(kept).drop("_key")
 
 
+def event_by_id(events: DataFrame, event_id: str, rules: dict[int, list[str]] = DEDUP_RULES, seq: str = "seq") -> DataFrame:
+    """T04 over raw events: the event of an id if ``first_seen`` keeps it. Two filtered scans and no shuffle: ids start with
+    their host, and one row, fetched first, says what an earlier event of its key would look like."""
+    host = event_id.split(":", 1)[0]
+    here = events.where(F.col("hostname") == host).withColumn("_key", _rule_key(rules))
+    found = here.where(F.col("id") == event_id)
+    row = found.select("event_id", "_key", F.col(seq).alias("seq")).first()
+    if row is not None and row["_key"] is not None:
+        earlier = here.where((F.col("event_id") == row["event_id"]) & (F.col("_key") == row["_key"]) & (F.col(seq) < row["seq"]))
+        if not earlier.limit(1).isEmpty():
+            return found.where(F.lit(False)).drop("_key")
+    return found.drop("_key")
+
+
 def dedup_statistics(events: DataFrame, rules: dict[int, list[str]] = DEDUP_RULES) -> DataFrame:
     """Seen, kept and dropped by class."""
     keyed = events.withColumn("_key", _rule_key(rules)).where(F.col("_key").isNotNull())
@@ -89,10 +108,11 @@ def any_process(rows: DataFrame, process: DataFrame) -> DataFrame:
 
 
 def executed(rows: DataFrame) -> DataFrame:
-    """The first row of each file and source; shimcache has an order, prefetch a run count."""
-    rows = rows.withColumn("file_id", n.file_id(F.col("hostname"), F.col("path"))).withColumn("name", n.basename(F.col("path")))
+    """The first row of each file and source, in file order; shimcache has an order, prefetch a run count."""
+    rows = rows.where(F.coalesce("path", F.lit("")) != "").withColumn("file_id", n.file_id(F.col("hostname"), F.col("path"))).withColumn("name", n.basename(F.col("path")))
     order, runs = F.when(F.col("source") == "shimcache", F.col("shim_order")), F.when(F.col("source") == "prefetch", F.col("run_count"))
-    return rows.select("hostname", "file_id", "source", "path", "name", "timestamp", order.cast("int").alias("shim_order"), runs.cast("long").alias("run_count"))
+    rows = rows.select("seq", "hostname", "file_id", "source", "path", "name", "timestamp", order.cast("int").alias("shim_order"), runs.cast("long").alias("run_count"))
+    return create_only(rows, ["hostname", "file_id", "source"], ["path", "name", "timestamp", "shim_order", "run_count"])
 
 
 def catalog_files(rows: DataFrame) -> DataFrame:
@@ -107,6 +127,11 @@ def media(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "hostname", F.lit("media"), "path").alias("id"), "hostname", "path", "taken_at", "latitude", "longitude", cell["lat"].alias("cell_lat"), cell["lon"].alias("cell_lon"))
 
 
+def places(found: DataFrame) -> DataFrame:
+    """The places themselves: each grid cell once, with its media counted."""
+    return found.where("cell_lat IS NOT NULL AND cell_lon IS NOT NULL").groupBy("cell_lat", "cell_lon").agg(F.count("*").alias("media"))
+
+
 def usb_devices(rows: DataFrame) -> DataFrame:
     """L13"""
     return rows.where(F.coalesce("device_id", F.lit("")) != "").select(F.concat_ws(":", "hostname", F.lit("usb"), "device_id").alias("id"), "hostname", "device_id", "friendly_name", "vendor", "first_seen", "last_seen")
@@ -171,7 +196,7 @@ def resolved(events: DataFrame) -> DataFrame:
 
 
 def event_edges(events: DataFrame, kind: str) -> DataFrame:
-    """PJ07-PJ10: (event, node) edges of one kind, with the node's own columns."""
+    """PJ07-PJ10: (event, node) edges of one kind, with the node's own columns and the event's."""
     key, ids, columns = {
         "registry": ("registry_key", (12, 13, 14), {"path": "registry_key", "details": "registry_details"}),
         "service": ("service_name", (7045,), {"name": "service_name", "image_path": "service_path"}),
@@ -179,7 +204,22 @@ def event_edges(events: DataFrame, kind: str) -> DataFrame:
         "wmi": ("consumer", (5861,), {"consumer": "consumer", "filter": "wmi_filter"}),
     }[kind]
     values = {k: n.truncated(F.col(v), 2000) if k == "text" else F.col(v) for k, v in columns.items()}
-    return _of(events, *ids).where(F.col(key) != "").select("id", "hostname", *(v.alias(k) for k, v in values.items()), "timestamp", "image")
+    return _of(events, *ids).where(F.col(key) != "").select("id", "hostname", *(v.alias(k) for k, v in values.items()), "timestamp", "image", "channel")
+
+
+def spawned_at(events: DataFrame) -> DataFrame:
+    """One edge for each pair of processes and time; nodes are named by their whole images, by whoever comes first."""
+    rows = _of(events, 1).where("process_guid <> '' AND parent_process_guid <> ''")
+    rows = rows.select("seq", guid("parent_process_guid").alias("src_id"), guid().alias("dst_id"), "timestamp", F.col("parent_image").alias("parent"), F.col("image").alias("child"))
+    return create_only(rows, ["src_id", "dst_id", "timestamp"], ["parent", "child"])
+
+
+def scripts_of(events: DataFrame) -> DataFrame:
+    """C11: (process, script, time) of script blocks whose process is known, as a child or a parent, by its guid."""
+    started = _of(events, 1)
+    known = started.where("process_guid <> ''").select(guid().alias("src_id")).unionByName(started.where("parent_process_guid <> ''").select(guid("parent_process_guid").alias("src_id"))).distinct()
+    rows = _of(events, 4104).where("script_text <> '' AND process_guid <> ''").select(guid().alias("src_id"), F.concat_ws(":", "id", F.lit("sb")).alias("dst_id"), "timestamp").distinct()
+    return rows.join(known, "src_id", "left_semi")
 
 
 def connected_by_port(events: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +24,65 @@ def edge_counts(**edges: DataFrame) -> DataFrame:
     return out
 
 
+def host_edges(store, host: str) -> DataFrame:
+    """The five kinds of edges of one host, each counted from that host's rows alone."""
+    own = F.col("src_id").startswith(host + ":")
+    at = lambda name: store[name].where(F.col("hostname") == host)
+    return edge_counts(spawned_sysmon=store["sysmon_spawned"].where(own), connected_sysmon=at("connected").where(own), created_files=at("file_event").where("NOT deleted"), dns_resolved=at("dns"), registry_modified=store["modified"].where(own))
+
+
+def guarded(metrics: dict[str, Callable[[], DataFrame]], timeout_s: float = 30.0) -> dict:
+    """Each metric's rows by its name; one that fails or takes too long is null, and named in stats_skipped as name:why."""
+    out: dict = {"stats_skipped": []}
+    for name, make in metrics.items():
+        tag, late = f"stats-{uuid.uuid4().hex}", threading.Event()
+        try:
+            df = make()
+            context = df.sparkSession.sparkContext
+
+            def stop(context=context, tag=tag, late=late) -> None:
+                late.set()
+                context.cancelJobsWithTag(tag)
+
+            timer = threading.Timer(timeout_s, stop)
+            context.addJobTag(tag)
+            timer.start()
+            try:
+                out[name] = [r.asDict() for r in df.collect()]
+            finally:
+                timer.cancel()
+                context.removeJobTag(tag)
+        except Exception:
+            out[name] = None
+            out["stats_skipped"].append(f"{name}:{'timeout' if late.is_set() else 'error'}")
+    return out
+
+
+#: Where rows of an artifact show, as (table, condition).
+SHOWN_BY = {
+    "evtx": ("event", "true"), "pslist": ("process", "true"), "netscan": ("connected", "true"), "dlllist": ("module", "true"), "shimcache": ("executed", "source = 'shimcache'"), "prefetch": ("executed", "source = 'prefetch'"),
+    "path_catalog": ("file", "source = 'filestat'"), "mft": ("file", "source = 'mft'"), "media_exif": ("media", "true"), "usb": ("usb", "true"), "bulk": ("feature", "true"),
+}
+
+
+def artifacts_loaded(store, host: str) -> set[str]:
+    """Artifacts of which the graph holds a row of the host; each probe ends at its first row."""
+    return {a for a, (table, condition) in SHOWN_BY.items() if not store[table].where(F.col("hostname") == host).where(condition).limit(1).isEmpty()}
+
+
+def event_of(store, event_id: str) -> DataFrame:
+    """One event by its id, which starts with its host."""
+    found = store["event"].where((F.col("hostname") == event_id.split(":", 1)[0]) & (F.col("id") == event_id))
+    return found.select("id", F.col("hostname").alias("host"), "event_id", "timestamp", "image")
+
+
+def path_coverage(files: DataFrame, least: float = 0.4) -> DataFrame:
+    """What stands beside the discovered paths: all paths, those that score, those of a catalog and their share."""
+    cataloged = F.count_if(F.col("source").isin("filestat", "mft"))
+    counts = files.agg(F.count("*").alias("total"), F.count_if(F.col("score") >= least).alias("hit_count"), cataloged.alias("cataloged"))
+    return counts.withColumn("coverage_pct", percent(F.col("cataloged"), F.col("total")))
+
+
 def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part * 1000.0 / whole + 0.5) / 10).otherwise(0.0)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from tracelake.plans.catalog import HUNTS
+from tracelake.plans.catalog import HUNTS, PARAMETERS
 from tracelake.plans.projection import VIEWS, dialect
 
 _FIRST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM ({rows})) WHERE rn = 1"
@@ -51,12 +51,12 @@ CTES = {
     "dns": "SELECT id, hostname, lower(query_name) AS domain, query_name AS query, image, timestamp, channel FROM v_event WHERE event_id = 22 AND query_name <> ''",
     "registry": "SELECT id, hostname, registry_key AS path, registry_details AS details, timestamp, image FROM v_event WHERE event_id IN (12, 13, 14) AND registry_key <> ''",
     "service": "SELECT id, hostname, service_name AS name, service_path AS image_path, timestamp, image FROM v_event WHERE event_id = 7045 AND service_name <> ''",
-    "script": "SELECT id, hostname, substring(script_text, 1, 2000) AS text, timestamp, image FROM v_event WHERE event_id = 4104 AND script_text <> ''",
+    "script": "SELECT id, hostname, substring(script_text, 1, 2000) AS text, timestamp, image, channel FROM v_event WHERE event_id = 4104 AND script_text <> ''",
     "wmi": "SELECT id, hostname, consumer, wmi_filter AS filter, timestamp, image FROM v_event WHERE event_id = 5861 AND consumer <> ''",
     "created": f"SELECT DISTINCT {GUID} AS src_id, hostname || ':' || target_filename AS file_id, timestamp FROM v_event WHERE event_id = 11 AND target_filename <> '' AND {GUID} IN (SELECT {GUID} FROM v_event WHERE event_id = 1 AND process_guid <> '')",
     "file": f"SELECT *, CASE WHEN ({_FILE_SENSITIVE}) OR score >= 0.4 THEN true END AS sensitive, CASE WHEN score >= 0.4 THEN true END AS interesting FROM (SELECT id, hostname, path, size, source, {BASE.format('path')} AS name, {_FILE_SCORE} AS score FROM ("
     + _FIRST.format(keys="id", order="seq", rows="SELECT hostname || ':' || path AS id, hostname, path, size, source, seq FROM v_catalog WHERE length(path) >= 2") + "))",
-    "executed": f"SELECT r.*, CASE WHEN file_id IN (SELECT file_id FROM created) THEN 'corroborated_sysmon' ELSE source END AS confidence FROM (SELECT *, CASE WHEN ({_RUN_SENSITIVE}) OR score >= 0.4 THEN true END AS sensitive, CASE WHEN score >= 0.4 THEN true END AS interesting FROM (SELECT hostname, hostname || ':' || path AS file_id, source, path, {BASE.format('path')} AS name, timestamp, CASE WHEN source = 'shimcache' THEN cast(shim_order AS int) END AS shim_order, CASE WHEN source = 'prefetch' THEN run_count END AS run_count, {_RUN_SCORE} AS score FROM v_exec)) r",
+    "executed": f"SELECT r.*, CASE WHEN file_id IN (SELECT file_id FROM created) THEN 'corroborated_sysmon' ELSE source END AS confidence FROM (SELECT *, CASE WHEN ({_RUN_SENSITIVE}) OR score >= 0.4 THEN true END AS sensitive, CASE WHEN score >= 0.4 THEN true END AS interesting FROM (SELECT hostname, hostname || ':' || path AS file_id, source, path, {BASE.format('path')} AS name, timestamp, CASE WHEN source = 'shimcache' THEN cast(shim_order AS int) END AS shim_order, CASE WHEN source = 'prefetch' THEN run_count END AS run_count, {_RUN_SCORE} AS score FROM (" + _FIRST.format(keys="hostname, path, source", order="seq", rows="SELECT * FROM v_exec WHERE path <> ''") + "))) r",
     "describes": f"SELECT e.id, f.file_id FROM (SELECT id, upper(hostname) AS host, lower({BASE.format('image')}) AS low FROM v_event WHERE event_id IN (1, 4688)) e JOIN (SELECT DISTINCT upper(hostname) AS host, lower({BASE.format('path')}) AS low, hostname || ':' || path AS file_id FROM v_exec) f USING (host, low) WHERE low <> ''",
     "media": "SELECT hostname || ':media:' || path AS id, hostname, path, taken_at, latitude, longitude, floor(latitude * 1000 + 0.5) / 1000 AS cell_lat, floor(longitude * 1000 + 0.5) / 1000 AS cell_lon FROM v_media",
     "usb": "SELECT hostname || ':usb:' || device_id AS id, hostname, device_id, friendly_name, vendor, first_seen, last_seen FROM v_usb WHERE device_id <> ''",
@@ -89,4 +89,7 @@ def with_tables(sql: str) -> str:
 
 
 def hunt(name: str) -> str:
-    return with_tables(HUNTS[name])
+    sql = HUNTS[name]
+    for key, value in PARAMETERS.get(name, {}).items():
+        sql = re.sub(rf":{key}\b", f"'{value}'" if isinstance(value, str) else str(value), sql)
+    return with_tables(sql)

@@ -67,11 +67,13 @@ class TierPlan:
 
 
 def tier_plan(tier: str | None, case_type: str, only: set[str] | None = None, full: bool = False, override: str = "") -> TierPlan:
-    """PL03"""
-    if only is not None:
-        return TierPlan("custom", frozenset(only), packs_of("triage", case_type, override) if "evtx" in only else None, False)
-    tier = "full" if full else tier or "triage"
-    return TierPlan(tier, artifacts_of(tier), packs_of(tier, case_type, override), tier == "full")
+    """PL03: what is asked for, as the first rule that applies says: a hand-picked set, everything, a tier, or the first one."""
+    rules = [(only is not None, "custom"), (full, "full"), (bool(tier), tier), (True, "triage")]
+    name = next(name for applies, name in rules if applies)
+    artifacts = frozenset(only or ()) if name == "custom" else artifacts_of(name)
+    # a hand-picked set takes the first tier's events, if it takes events at all
+    events = {"custom": "triage" if "evtx" in artifacts else None}.get(name, name)
+    return TierPlan(name, artifacts, packs_of(events, case_type, override) if events else None, name == "full")
 
 
 def tier_for(artifacts: set[str] | frozenset[str]) -> str:
@@ -133,10 +135,10 @@ def rebuild_text(hosts: list[str], plan: TierPlan, queries: list[str]) -> str:
 
 
 def coverage_notes(case_type: str, loaded: set[str], tier: str = "triage") -> list[str]:
-    """V11"""
-    required, recommended = PROFILES.get(case_type, PROFILES["intrusion"])
-    notes = [f"required and not loaded: {a}" for a in required if a not in loaded] + [f"recommended and not loaded: {a}" for a in recommended if a not in loaded]
-    return notes + ([f"loaded up to tier {tier}"] if tier != "full" else [])
+    """What a kind of case lacks, by how much it matters, and how far loading came."""
+    levels = zip(("required", "recommended"), PROFILES.get(case_type, PROFILES["intrusion"]))
+    lacking = [f"{level} and not loaded: {artifact}" for level, wanted in levels for artifact in wanted if artifact not in loaded]
+    return [*lacking, *{"full": []}.get(tier, [f"loaded up to tier {tier}"])]
 
 
 def dedup_rules(config: object) -> dict[int, list[str]]:

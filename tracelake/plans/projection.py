@@ -54,6 +54,7 @@ VIEWS = {
           CASE user_id % 6 WHEN 0 THEN 'PSEXEC' ELSE 'svc' || cast(user_id % 20 AS string) END AS service_name,
           CASE user_id % 7 WHEN 3 THEN 'C:/Windows/PSEXESVC.exe' ELSE 'C:/svc/' || cast(user_id % 5 AS string) || '.exe' END AS service_path,
           'Invoke-' || cast(user_id AS string) || ' ' || coalesce(<<json props k>>, '0') AS script_text,
+          CASE event_id % 8 WHEN 0 THEN NULL ELSE 'WS' || cast(event_id % 3 AS string) END AS workstation,
           'consumer' || cast(user_id % 3 AS string) AS consumer, 'filter' || cast(user_id % 2 AS string) AS wmi_filter
         FROM events""",
     "v_pslist": """
@@ -68,9 +69,9 @@ VIEWS = {
           CASE p_partkey % 3 WHEN 0 THEN 'C:/Users/x/' WHEN 1 THEN 'C:/Windows/' ELSE 'D:/Research/' END ||
           CASE p_partkey % 40 WHEN 0 THEN 'psexec.exe' WHEN 1 THEN 'Mimikatz.exe' WHEN 2 THEN 'hydrakatz.exe' WHEN 3 THEN 'net.exe' WHEN 4 THEN 'svchost.exe' WHEN 5 THEN 'mcfoo.exe'
             WHEN 6 THEN 'tool.exe' WHEN 8 THEN 'powershell.exe' WHEN 7 THEN 'notes.dll' ELSE replace(p_name, ' ', '_') || '.exe' END AS path,
-          cast(min(l_shipdate) AS string) AS timestamp, min(l_linenumber) AS shim_order, count(*) AS run_count
+          cast(min(l_shipdate) AS string) AS timestamp, 100 - l_linenumber AS shim_order, count(*) AS run_count, l_linenumber AS seq
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-        GROUP BY 1, 2, 3""",
+        GROUP BY 1, 2, 3, l_linenumber""",
     "v_catalog": """
         SELECT 'H' || cast(page_id % 5 AS string) AS hostname, page_id AS seq, substring(url, strpos(url, '://') + 3) AS path, cast(length(html) AS bigint) AS size,
           CASE WHEN page_id % 4 = 0 THEN 'mft' ELSE 'filestat' END AS source

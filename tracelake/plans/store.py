@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracelake.operators import graph as g
-from tracelake.plans.catalog import HUNTS
+from tracelake.plans.catalog import HUNTS, PARAMETERS
 from tracelake.plans.projection import dialect, view
-from tracelake.sources.files import write_table
+from tracelake.sources.files import shared_folder, write_table
 
 #: What the example case looks for in paths.
 CASE = {"sensitive": ["*/en/*9*"], "extensions": ["7"], "keywords": ["research", "blog"], "aliases": {"pills": ["cheap-pills"]}, "roots": ["www.*"], "excluded": ["adult"]}
@@ -29,17 +31,22 @@ class GraphStore:
             self._built[name] = self._source(name) if callable(self._source) else self._source[name]
         return self._built[name]
 
-    def hunt(self, name: str) -> DataFrame:
-        """A query of the catalog; an unknown name is a KeyError."""
-        sql = dialect(HUNTS[name], spark=True)
-        return self.spark.sql(sql, **{t: self[t] for t in set(re.findall(r"\{(\w+)\}", sql))})
-
+    def hunt(self, name: str, **params: object) -> DataFrame:
+        """A query of the catalog, with its parameters bound; an unknown name or parameter is a KeyError."""
+        sql, values = dialect(HUNTS[name], spark=True), dict(PARAMETERS.get(name, {}))
+        if unknown := params.keys() - values.keys():
+            raise KeyError(f"{name} has no parameter {', '.join(sorted(unknown))}")
+        values |= {k: v for k, v in params.items() if v is not None}
+        return self.spark.sql(sql, args=values or None, **{t: self[t] for t in set(re.findall(r"\{(\w+)\}", sql))})
 
     def save(self, folder: str, names: tuple[str, ...]) -> None:
         """Each table as Parquet, by host where it has one; a host's new rows replace its old ones."""
         for name in names:
-            df = self[name]
-            write_table(df, f"{folder}/{name}", *(["hostname"] if "hostname" in df.columns and len(df.columns) > 1 else []))
+            self.save_one(name, f"{folder}/{name}")
+
+    def save_one(self, name: str, folder: str) -> None:
+        df = self[name]
+        write_table(df, folder, *(["hostname"] if "hostname" in df.columns and len(df.columns) > 1 else []))
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> GraphStore:
@@ -53,16 +60,17 @@ NAMES = ("event", "host", "process", "module", "connected", "spawned", "sysmon_s
 class Projected:
     """Tables of a graph over the driver's tables."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.view = lambda name: view(spark, sf_dir, name)
+    def __init__(self, spark: SparkSession, sf_dir: str, written: Callable[[str], DataFrame] | None = None):
+        """written: tables that are already loaded, for those that are made of them."""
+        self.view, self.written = lambda name: view(spark, sf_dir, name), written
 
     @cached_property
     def events(self) -> DataFrame:
-        return g.first_seen(self.view("v_event"))
+        return self.written("event") if self.written else g.first_seen(self.view("v_event"))
 
     @cached_property
     def processes(self) -> DataFrame:
-        return g.processes(self.view("v_pslist"))
+        return self.written("process") if self.written else g.processes(self.view("v_pslist"))
 
     @cached_property
     def runs(self) -> DataFrame:
@@ -74,11 +82,11 @@ class Projected:
         e = self.view("v_event")
         match name:
             case "event":
-                return self.events
+                return g.first_seen(self.view("v_event"))
             case "host":
                 return self.view("v_event").select("hostname").unionByName(self.view("v_catalog").select("hostname")).distinct()
             case "process":
-                return self.processes
+                return g.processes(self.view("v_pslist"))
             case "module":
                 return g._of(e, 7).where("process_guid <> ''").select("hostname", "process_guid", "target_filename").distinct()
             case "connected":
@@ -119,4 +127,27 @@ class Projected:
 
 
 def projected(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph of the driver's tables, built anew by every query."""
     return GraphStore(spark, Projected(spark, sf_dir).table)
+
+
+#: Folders of tables that are loaded, by application, input and table.
+_LOADED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The graph of the driver's tables, each table loaded once a session: written to the shared folder, by host where it has
+    one, and read from there by all queries that follow, which prune hosts and columns. Loading is a step of its own in the
+    life of a graph; queries that are asked of it again and again do not pay for it."""
+
+    def table(name: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, name)
+        if key not in _LOADED:
+            folder = f"{shared_folder(spark)}/graph/{uuid.uuid4().hex}/{name}"
+            built = GraphStore(spark, Projected(spark, sf_dir, table).table)
+            built.save_one(name, folder)
+            _LOADED[key] = folder, built[name].schema
+        folder, schema = _LOADED[key]
+        return spark.read.schema(schema).parquet(folder)
+
+    return GraphStore(spark, table)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracelake.plans import oracle
 from tracelake.plans.catalog import HUNTS
-from tracelake.plans.store import projected
+from tracelake.plans.store import loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +17,11 @@ NUMBERS = ["summary", "suspicious_processes", "external_connections", "cloud_syn
 
 
 def _hunt(name: str) -> Query:
-    return lambda spark, sf_dir: projected(spark, sf_dir).hunt(name)
+    return lambda spark, sf_dir: loaded(spark, sf_dir).hunt(name)
 
 
 def _table(name: str, *columns: str) -> Query:
-    return lambda spark, sf_dir: projected(spark, sf_dir)[name].select(*columns)
+    return lambda spark, sf_dir: loaded(spark, sf_dir)[name].select(*columns)
 
 
 #: query: (table of the graph, its columns)

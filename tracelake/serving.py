@@ -32,6 +32,18 @@ FUNCTIONS = set(
 )
 
 
+def retried(run: Callable[[], object], transient: tuple[type[BaseException], ...] = (ConnectionError, TimeoutError), tries: int = 5, first_wait_s: float = 0.1):
+    """Run again after an error that passes, waiting twice as long each time; the last error is raised. Tasks are
+    retried by the cluster itself; this is for what the driver asks of other services."""
+    for n in range(tries):
+        try:
+            return run()
+        except transient:
+            if n == tries - 1:
+                raise
+            time.sleep(first_wait_s * 2**n)
+
+
 def clamp_limit(n: object) -> int:
     """T08"""
     try:
@@ -127,13 +139,13 @@ class Server:
             self.spark.sparkContext.removeJobTag(tag)
         return {"rows": rows[:cap], "row_count": min(len(rows), cap), "truncated": len(rows) > cap}
 
-    def run_hunt(self, name: str, limit: object = DEFAULT_LIMIT) -> dict:
-        """T02"""
+    def run_hunt(self, name: str, limit: object = DEFAULT_LIMIT, params: dict | None = None) -> dict:
+        """T02; params: values for the query's parameters."""
         if name not in HUNTS:
             return {"error": "unknown_hunt", "available": sorted(HUNTS)}
-        if name in self.needs_case:
+        if name in self.needs_case and not params:
             return {"error": "needs_case", "hunt": name}
-        return self._audited("run_hunt", {"name": name, "limit": limit}, lambda: {"hunt": name} | self._rows(lambda: self.store.hunt(name), clamp_limit(limit)))
+        return self._audited("run_hunt", {"name": name, "limit": limit}, lambda: {"hunt": name} | self._rows(lambda: self.store.hunt(name, **(params or {})), clamp_limit(limit)))
 
     def get_event(self, event_id: str) -> dict:
         """All properties that are not null."""

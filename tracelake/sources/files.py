@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from enum import Enum
 from functools import reduce
 
@@ -66,8 +68,8 @@ def event_filter(terms: list[tuple[str | None, int]], since: str | None = None)
 
 
 def name_filter(column: str, tokens: list[str]) -> Column:
-    """A name that contains any of at most twelve tokens."""
-    return reduce(lambda a, b: a | b, (F.col(column).contains(t) for t in tokens[:12]), F.lit(False))
+    """A name that contains any of the tokens."""
+    return reduce(lambda a, b: a | b, (F.col(column).contains(t) for t in tokens), F.lit(False))
 
 
 def keys_of(df: DataFrame, column: str) -> DataFrame:
@@ -75,6 +77,21 @@ def keys_of(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(column)).alias("key")).distinct()
 
 
+def probe(df: DataFrame, column: str, n: int = 5) -> dict:
+    """The first n records as they stand, and the keys that all records use."""
+    return {"records": [r[0] for r in df.select(column).limit(n).collect()], "keys": sorted(r.key for r in keys_of(df, column).collect())}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only where the session names none and has one machine."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_folder, "own", None)
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = shared_folder.own = "file://" + tempfile.mkdtemp(prefix="tracelake-")
+    return path.rstrip("/")
+
+
 def matching_seeds(files: DataFrame, column: str, seeds: list[str]) -> DataFrame:
     """Files whose path contains a seed of three characters or more, in any case."""
     low = F.lower(column)
