@@ -39,7 +39,7 @@ SHORT_ENDINGS, LONG_ENDINGS = "stmd", ("re", "ve", "ll")
 BLOCK = 256
 NEVER = np.iinfo(np.int32).max
 #: Slices kept in a worker's cache; a full cache is emptied, so its memory is bounded.
-CACHE = 250_000
+CACHE = 150_000
 #: Longest slice that is merged with others in one matrix; longer ones are merged by a heap.
 MATRIX = 64
 
@@ -266,7 +266,7 @@ def rank_lines(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def batches_of(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def batches_of(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts sum to about ``most`` bytes; a longer text stands alone, whole."""
     start = size = 0
     for i, n in enumerate(pc.binary_length(b.column("body")).to_pylist()):
