@@ -233,6 +233,50 @@ def test_attribution_rules():
     assert attribution.allocate(ends, np.zeros(0, int), np.zeros(0, int))[2] == 3
 
 
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_attribution_equals_brute_force(rule):
+    rnd = random.Random(6)
+    for _ in range(300):
+        size = rnd.randint(1, 60)
+        token_ends = np.array(sorted(rnd.sample(range(1, size + 1), rnd.randint(1, size))))
+        cuts = sorted(rnd.sample(range(size + 1), 2 * rnd.randint(0, min(5, size // 2))))
+        spans = list(zip(cuts[::2], cuts[1::2])) if rnd.random() < 0.5 else list(zip(cuts, cuts[1:]))
+        counts, crossing, outside = [0.0] * len(spans), 0, 0.0
+        for a, z in zip([0, *token_ends.tolist()], token_ends.tolist()):
+            bytes_in = [sum(s <= i < e for i in range(a, z)) for s, e in spans]
+            out = z - a - sum(bytes_in)
+            if max(bytes_in, default=0) == z - a:
+                counts[bytes_in.index(z - a)] += 1
+                continue
+            crossing += any(bytes_in)
+            if rule == "split":
+                counts = [c + n / (z - a) for c, n in zip(counts, bytes_in)]
+                outside += out / (z - a)
+            else:
+                k = next((i for i, (s, e) in enumerate(spans) if s <= a < e), None) if rule == "start" else bytes_in.index(max(bytes_in)) if any(bytes_in) and max(bytes_in) >= out else None
+                if k is None:
+                    outside += 1
+                else:
+                    counts[k] += 1
+        got = attribution.allocate(token_ends, np.array([s for s, _ in spans], int), np.array([e for _, e in spans], int), rule)
+        assert np.allclose(got[0], counts) and abs(got[2] - outside) < 1e-9 and (got[1] == crossing or not spans), (spans, token_ends)
+
+
+def test_attribution_of_lines_empty_tables_and_long_texts(spark):
+    rows = [(1, "eins\nzwei drei\n\nvier"), (2, "ein Wort " * 60_000), (3, "\n")]
+    df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, section_tokens string")
+    ranks = bpe.rank_lines(RANKS)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in attribution.attributed(df, RANKS, "start").collect():
+        text = dict(rows)[r.doc_id]
+        line, want = 0, [0] * r.n_sections
+        for t in library.encode_ordinary(text):
+            want[line] += 1
+            line += library.decode_single_token_bytes(t).count(b"\n")
+        assert r.n_tokens == len(library.encode_ordinary(text)) and list(r.section_tokens) == want
+    assert attribution.attributed(df.limit(0), RANKS).count() == 0
+
+
 def test_attribution_counts_whole_documents(spark, with_oddities):
     want = {r.doc_id: len(r.ids) for r in bpe.encoded(with_oddities, RANKS).collect()}
     for rule in attribution.RULES:

@@ -53,27 +53,23 @@ def allocate(token_ends: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule:
     first, last = np.searchsorted(ends, a, "right"), np.searchsorted(starts, z, "left")
     whole = (last - first == 1) & (starts[np.minimum(first, len(starts) - 1)] <= a) & (z <= ends[np.minimum(first, len(ends) - 1)])
     counts += np.bincount(first[whole], minlength=len(starts))
-    crossing, outside = 0, 0.0
-    for t in np.flatnonzero(~whole).tolist():
-        held = np.arange(first[t], last[t])
-        share = (np.minimum(ends[held], z[t]) - np.maximum(starts[held], a[t])) / max(1, z[t] - a[t])
-        held, share = held[share > 0], share[share > 0]
-        crossing += len(held) > 0
-        if rule == "split":
-            counts[held] += share
-            outside += 1 - share.sum()
-        elif not len(held):
-            outside += 1
-        elif rule == "start":
-            if starts[held[0]] <= a[t]:
-                counts[held[0]] += 1
-            else:
-                outside += 1
-        elif share.max() >= 1 - share.sum():
-            counts[held[share.argmax()]] += 1
-        else:
-            outside += 1
-    return counts, crossing, outside
+    # the others, each beside the sections that it touches
+    t = np.flatnonzero(~whole)
+    n = np.maximum(last[t] - first[t], 0)
+    of = np.repeat(np.arange(len(t)), n)
+    at = np.repeat(first[t] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    held = np.minimum(ends[at], z[t][of]) - np.maximum(starts[at], a[t][of])  # bytes
+    of, at, held = of[held > 0], at[held > 0], held[held > 0]
+    outside = z[t] - a[t] - np.bincount(of, held, minlength=len(t)).astype(np.int64)
+    crossing, size = len(np.unique(of)), np.maximum(1, z[t] - a[t])
+    if rule == "split":
+        np.add.at(counts, at, held / size[of])
+        return counts, crossing, float((outside / size).sum())
+    by = np.lexsort((np.arange(len(of)), -held if rule == "most" else np.zeros(len(of)), of))
+    one = by[np.r_[True, of[by][1:] != of[by][:-1]][: len(by)]]  # of each token the section that may have it
+    own = held[one] >= outside[of[one]] if rule == "most" else starts[at[one]] <= a[t][of[one]]
+    np.add.at(counts, at[one[own]], 1)
+    return counts, crossing, float(len(t) - own.sum())
 
 
 def attributed(docs: DataFrame, path: str, rule: str = "most", id_col: str = "doc_id", text_col: str = "text", spans_col: str | None = None) -> DataFrame:
