@@ -11,7 +11,8 @@ Distinct fingerprints link at ``tau`` or fewer differing bits. The search:
    long keys with one-bit variants when it is large, so that work follows the input;
 4. probe: fingerprints meet where a partition's bits (or a variant of theirs) agree; a bucket is searched breadth
    first, so it gives at most one link less than it has members, never all pairs; buckets beyond ``HOT`` members are
-   dealt out again by the bits outside of the partition;
+   dealt out again by the bits outside of the partition, up to three times. Fingerprints are distinct, and those that still
+   meet agree in 44 bits (of three quarters of what is left, each time): no bucket of exact keys outgrows 2**20 of them;
 5. verify: a link counts only if all 64 bits differ in ``tau`` places or fewer.
 
 Copies share a fingerprint and are folded before the search. Components come from ``components``.
@@ -297,7 +298,7 @@ def links(fps: DataFrame, tau: int = 3) -> DataFrame:
             out.append(_links(signatures, tau))
             break
         out.append(_links(signatures.join(hot, ["part", "key"], "left_anti").select("part", "key", "fp"), tau))
-        signatures = _again(signatures.join(hot, ["part", "key"], "left_semi").select("part", "key", "fp"), scheme, tau, depth)
+        signatures = materialize(_again(signatures.join(hot, ["part", "key"], "left_semi").select("part", "key", "fp"), scheme, tau, depth), "dealt-again")
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
