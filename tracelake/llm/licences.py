@@ -13,8 +13,9 @@ Which lines are looked at follows from the threshold: a template's rarest terms
 less than ``LEAST_COSINE`` of the whole; a vector without any of these terms cannot reach that cosine, nor a window hold
 ``LEAST_HELD``. Lines and windows without such a term are passed over without loss, whatever they say.
 
-Only templates are broadcast, after they are counted; whatever follows the files is joined by sorting. A directory keeps
-one licence (the best score, then the first path) before the join, so a directory with a third of all files meets one row.
+Templates, and directories with the licence they take, are broadcast after they are counted; whatever follows the files is
+joined by sorting. A directory keeps one licence (the best score, then the first path) and looks up its ancestors once, so
+that a directory with a third of all files is one row until its files meet the answer.
 
 Defined cases: null text is an empty text (no licence of its own); a null path has no ancestors; a null id stays null and
 neither gives nor takes a licence; repeated rows get the same answer, rows with one id and another text one each; empty
@@ -146,11 +147,15 @@ def scan(files: DataFrame, notices: DataFrame, id_col: str = "doc_id", path_col:
     given = rows.select("rid", "doc_id", "path").join(own.hint("merge"), "rid", "left")
     parts = F.split("path", "/")
     of_dir = given.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("is_file") | F.col("path").rlike(FILE_NAME)))
-    of_dir = of_dir.groupBy(F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "path", "own")).alias("given"))
-    bare = given.where(F.col("own").isNull() & F.col("doc_id").isNotNull() & F.col("path").isNotNull()).select("rid", "path").distinct()
-    above = bare.select("rid", F.explode(F.sequence(F.lit(0), F.size(parts) - 1)).alias("depth"), parts.alias("parts")).select("rid", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("dir"))
-    nearest = above.join(of_dir.hint("merge"), "dir").groupBy("rid").agg(F.max(F.struct("depth", "given")).getField("given").alias("given"))
-    out = given.join(nearest.hint("merge"), "rid", "left")
+    above = lambda n: F.array_join(F.slice(parts, 1, n), "/")
+    of_dir = of_dir.groupBy(above(F.size(parts) - 1).alias("dir")).agg(F.min(F.struct((-F.col("own_score")).alias("minus"), "path", "own")).alias("given"))
+    bare = F.col("own").isNull() & F.col("doc_id").isNotNull() & F.col("path").isNotNull()
+    # each directory once, whatever files it holds: its ancestors, and the nearest that speaks
+    dirs = given.where(bare).select(above(F.size(parts) - 1).alias("home"), F.slice(parts, 1, F.size(parts) - 1).alias("parts")).distinct()
+    steps = dirs.select("home", F.explode(F.sequence(F.lit(0), F.size("parts"))).alias("depth"), "parts").select("home", "depth", F.array_join(F.slice("parts", 1, F.col("depth")), "/").alias("dir"))
+    nearest = materialize(steps.join(of_dir, "dir").groupBy("home").agg(F.max(F.struct("depth", "given")).getField("given").alias("given")), "licence-folders")
+    few = nearest.count() <= BROADCAST_ROWS
+    out = given.withColumn("home", F.when(bare, above(F.size(parts) - 1))).join(F.broadcast(nearest) if few else nearest, "home", "left")
     return out.select(
         "doc_id",
         "path",
