@@ -96,5 +96,19 @@ SELECT d.doc_id, len(ws) :: bigint AS n_words, coalesce(g.n, 0) AS n_removed, sh
 FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
 
+#: The bytes a text keeps, by the first start of every string of 100 bytes (as hexadecimal digits, grouped by 64 bits of hash).
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 99)) AS i FROM d)),
+o AS (SELECT s, min({'doc': doc_id, 'i': i}) AS first FROM w GROUP BY s),
+gone AS (SELECT doc_id, i FROM w JOIN o USING (s) WHERE {'doc': doc_id, 'i': i} > o.first),
+marks AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM gone),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM marks) GROUP BY doc_id, n),
+cuts AS (SELECT doc_id, a, z, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS next, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS n FROM runs),
+parts AS (SELECT c.doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN n = 1 THEN substr(x, 1, 2 * a) ELSE '' END || substr(x, 2 * z + 1, 2 * (coalesce(next, len(x) // 2) - z)), '' ORDER BY a) AS kept FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, (len(x) // 2) :: bigint AS n_bytes, coalesce(n_removed, 0) :: bigint AS n_removed, coalesce(n_spans, 0) :: bigint AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN parts USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_substrings": OP10_SQL}
+    return {"op7_suffixes": OP7_SQL, "op10_substrings": OP10_SQL}
