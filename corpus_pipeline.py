@@ -1,6 +1,10 @@
 """The corpus pipeline: five stages, each an operator of ``tracelake.llm``, each written as Parquet and read again.
 
 Rows are named by doc_id, the key of documents. A row without one cannot be named: no stage rejects it.
+
+Defined cases: a null text is an empty text, which the quality rules reject; null languages, sources and counts pass
+through; texts are taken whole, however long; repeated rows (same id) share their fate, and of equal texts with different ids
+the smallest id stays; an empty table stays empty; columns beyond those of documents are dropped, whatever their names.
 """
 
 from __future__ import annotations
