@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +82,30 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(_documents(spark, sf_dir)).select("doc_id", "n_words", removed_words().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.balls import clustered
+
+    return clustered(_embeddings(spark, sf_dir))
+
+
+def op12_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.transducer import coded
+
+    return coded(_documents(spark, sf_dir), public_tokenizers.path(WORDS))
+
+
+def op13_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelake.llm.residues import whitened
+
+    return whitened(_embeddings(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_tokens": op1_tokens, "op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_pages": op6_pages, "op7_suffixes": op7_suffixes, "op8_licences": op8_licences, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings}
+    return {"op1_tokens": op1_tokens, "op2_quality": op2_quality, "op4_templates": op4_templates, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_pages": op6_pages, "op7_suffixes": op7_suffixes, "op8_licences": op8_licences, "op9_bpe": op9_bpe, "op10_substrings": op10_substrings, "op11_balls": op11_balls, "op12_transducer": op12_transducer, "op13_residues": op13_residues}
 
 
 #: The words a text keeps, by the smallest document of every window of 13 words.
@@ -110,5 +133,22 @@ SELECT d.doc_id, (len(x) // 2) :: bigint AS n_bytes, coalesce(n_removed, 0) :: b
 FROM d LEFT JOIN parts USING (doc_id)"""
 
 
+def op11_sql(rounds: int = 10, clusters: int = 8) -> str:
+    """Every round as tables of its own: all distances, the nearest centroid, and the means of what it took, rounded down."""
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda e: floor(1024 * e :: double) :: bigint) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), x) - 1 AS c, x AS m FROM v WHERE vec_id IS NOT NULL QUALIFY c < {clusters})",
+    ]
+    for k in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(x, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) :: bigint"
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, vec_id, x, c, {distance} AS d FROM v, c{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if k < rounds:
+            parts.append(f"s{k} AS (SELECT c, i, sum(e) AS s, count(*) AS n FROM (SELECT c, unnest(x) AS e, unnest(range(64)) AS i FROM a{k}) GROUP BY c, i)")
+            parts.append(f"m{k} AS (SELECT c, list(((s - ((s % n) + n) % n) // n) :: bigint ORDER BY i) AS m FROM s{k} GROUP BY c)")
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.m, c{k}.m) AS m FROM c{k} LEFT JOIN m{k} USING (c))")
+    last = f"a{rounds}"
+    return f"WITH {', '.join(parts)} SELECT vec_id, c :: int AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c)) :: bigint AS cluster_inertia, (sum(d) OVER ()) :: bigint AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM {last} JOIN c{rounds} USING (c)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_suffixes": OP7_SQL, "op10_substrings": OP10_SQL}
+    return {"op7_suffixes": OP7_SQL, "op10_substrings": OP10_SQL, "op11_balls": op11_sql()}
