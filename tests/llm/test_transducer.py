@@ -28,7 +28,7 @@ def codec():
 def odd_texts():
     rnd = random.Random(7)
     points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    mixed = ["".join(rnd.choice(points[: 0x3000 if k % 2 else None]) for _ in range(300)) for k in range(60)]
+    mixed = ["".join(rnd.choices(points[:0x3000] if k % 2 else points, k=300)) for k in range(60)]
     words = ["".join(rnd.choice(["ing", "exhilar", "ating", "the", "an", "s"]) for _ in range(n)) for n in (40, 900)]
     return mixed + words + [
         "", "  ", "Hello, it's", "'step don't we'll 'S", "a<|endoftext|>b <|startoftext|><|endoftext|>'s <|end", "ΣΑΣ ΑΣ'", "é à́ ", "İIıſ", "\x1c\x1da b c",
