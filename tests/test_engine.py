@@ -181,7 +181,6 @@ def test_playbooks(tmp_path):
     assert {f["step_id"]: f["verdict"] for f in findings} == {"016_psexec_lateral": "supported", "017_suspicious_execution_ancestry": "inconclusive"}
     assert workflow.hypothesis_coverage(["LATERAL-MOVEMENT", "X"], findings) == {"LATERAL-MOVEMENT": "supported", "X": "not_assessed"}
     assert workflow.verdict({"hunt": {"rows": [1], "hit_count": 2}}) == ("supported", "high") and workflow.verdict({"hunt": {"rows": [{"a": 1}]}}) == ("inconclusive", "medium")
-    assert [workflow.normalize_step_id(s) for s in ("step_4_dns", "007_x", "Alpha")] == ["004_dns", "007_x", "001_alpha"]
     assert (workflow.write_investigation(str(tmp_path), payloads, findings) / "index.md").read_text().count("\n") == 20 and workflow.scaffold(str(tmp_path), "c") and not workflow.scaffold(str(tmp_path), "c")
     assert [workflow.classify(*x) for x in ((0, True, 1), (1, False, 1), (0, False, 0), (0, False, 3))] == ["timeout", "fail", "empty", "pass"]
 
@@ -289,12 +288,31 @@ def test_parameters_of_hunts(spark):
         store.hunt("none")
 
 
-def test_steps_exports_and_retries():
-    from tracelake.plans import export, workflow
+def test_step_ids(spark):
+    names = {"step_4_dns": "004_dns", "007_x": "007_x", "Alpha": "001_alpha", "step 12": "012_step", "Step12__a b_": "012_a_b", "find 3 things": "003_find_3_things", "": "001_step", "__": "001_step", " Step 3  x ": "003_x", "step²": "001_step²", "step1234_y": "1234_y"}
+    rows = spark.createDataFrame([(k,) for k in names], "name string").select("name", n.step_id(F.col("name")).alias("id")).collect()
+    assert {r["name"]: r["id"] for r in rows} == names
+
+
+def test_packs_follow_the_case():
+    assert planning.packs_of("full", "intrusion") is None and planning.packs_of("exfil", "account_compromise") == {"security_auth"}
+    assert planning.packs_of("triage", "intrusion", "legacy_intrusion") == planning.packs_of("filesystem", "legacy_intrusion") == {"security_auth", "system_services"}
+    assert planning.packs_of("execution", "none", "unknown") == frozenset(planning.TRIAGE_PACKS["intrusion"])
+
+
+def test_correlation_stays_on_its_host(spark):
+    runs = spark.createDataFrame([("A", "A:x", "prefetch", "x.exe"), ("B", "B:x", "prefetch", "x.exe"), ("A", "A:x", "shimcache", "x.exe")], "hostname string, file_id string, source string, name string")
+    process = spark.createDataFrame([("A", "x.exe"), ("A", "x.exe"), ("C", "x.exe")], "hostname string, name string")
+    assert [tuple(r) for r in g.prefetch_in_memory(runs, process).collect()] == [("A:x", 2)]
+    urls = spark.createDataFrame([("A", "URL", "u", "http://d.com/a"), ("B", "URL", "v", "d.com/b"), ("A", "File", "w", "d.com")], "hostname string, type string, id string, value string")
+    dns = spark.createDataFrame([("A", "d.com"), ("A", "d.com"), ("C", "d.com")], "hostname string, domain string")
+    assert [tuple(r) for r in g.same_domain(urls, dns).collect()] == [("u", "d.com")]
+
+
+def test_exports_and_retries():
+    from tracelake.plans import export
     from tracelake.serving import retried
 
-    names = {"step_4_dns": "004_dns", "007_x": "007_x", "Alpha": "001_alpha", "step 12": "012_step", "Step12__a b_": "012_a_b", "find 3 things": "003_find_3_things", "": "001_step", "__": "001_step"}
-    assert {n: workflow.normalize_step_id(n) for n in names} == names
     rows = [{"a": f"x|{i}", "b": None if i == 1 else i} for i in range(20)]
     table = export.markdown_table(rows)
     assert table.count("\n") == 19 and "x\\|0" in table and "5 more rows" in table and export.markdown_table([]) == "_no rows_\n"

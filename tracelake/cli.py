@@ -6,6 +6,7 @@ import argparse
 import json
 from pathlib import Path
 
+from tracelake.operators import statistics
 from tracelake.plans import planning, workflow
 from tracelake.plans.catalog import HUNTS
 from tracelake.plans.store import NAMES, GraphStore, projected
@@ -72,7 +73,8 @@ def run(args: argparse.Namespace, store: GraphStore | None) -> dict | list:
         return discover_hosts(store.spark, args.folder)
     if name == "path-discover":
         rows = server._rows(lambda: store.hunt("path_discover", least=args.least), 200)
-        return rows | {"hit_count": rows.get("row_count", 0), "total": store["file"].count()}
+        counts = statistics.path_coverage(store["file"], args.least).first()
+        return rows | {"hit_count": counts["hit_count"], "total": counts["total"], "coverage_pct": counts["coverage_pct"]}
     if name == "probe":
         df = store[args.table]
         return {"columns": df.columns, "rows": [r.asDict() for r in df.limit(args.limit).collect()]}

@@ -113,6 +113,14 @@ def stable_event_id(host: Column, record: Column, *parts: Column) -> Column:
     return F.concat_ws(":", host, F.coalesce(F.nullif(record.cast("string"), F.lit("")), digest))
 
 
+def step_id(name: Column) -> Column:
+    """A place of three digits and a label: "step 4 dns" is 004_dns, "Alpha" is 001_alpha, and "007_x" stays."""
+    joined = F.replace(F.lower(F.regexp_replace(name, r"^\s+|\s+$", "")), F.lit(" "), F.lit("_"))
+    place = F.coalesce(F.regexp_extract(joined, "[0-9]+", 0).try_cast("bigint"), F.lit(1))
+    label = F.btrim(F.regexp_replace(joined, "^step_?[0-9]+", ""), F.lit("_"))
+    return F.when(joined.rlike("^[0-9]{3}_"), joined).otherwise(F.format_string("%03d_%s", place, F.when(label == "", "step").otherwise(label)))
+
+
 def event_fields(xml: Column) -> Column:
     """name/value map of EventData; the last of equal names wins, empty values drop, malformed XML is an empty map.
 

@@ -74,6 +74,15 @@ def n07_timestamp(spark, sf_dir):
     )
 
 
+_STEP = "CASE c_custkey % 5 WHEN 0 THEN ' Step ' || c_custkey || '  X ' WHEN 1 THEN 'step_' || c_custkey || '_a b_' WHEN 2 THEN lpad(cast(c_custkey % 1000 AS string), 3, '0') || '_Seen' WHEN 3 THEN c_name ELSE '__' END"
+
+
+@_query(f"""SELECT c_custkey, CASE WHEN regexp_matches(s, '^[0-9][0-9][0-9]_') THEN s ELSE printf('%03d', coalesce(try_cast(regexp_extract(s, '[0-9]+') AS bigint), 1)) || '_' || coalesce(nullif(trim(regexp_replace(s, '^step_?[0-9]+', ''), '_'), ''), 'step') END AS step
+ FROM (SELECT c_custkey, replace(lower(trim({_STEP})), ' ', '_') AS s FROM customer)""")
+def n21_step_id(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_STEP} AS name").select("c_custkey", n.step_id(F.col("name")).alias("step"))
+
+
 @_query(f"SELECT page_id, {BASE.format('url')} AS base FROM pages")
 def n08_basename(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", n.basename(F.col("url")).alias("base"))
@@ -284,7 +293,7 @@ def c11_scripts(spark, sf_dir):
     return g.scripts_of(view(spark, sf_dir, "v_event"))
 
 
-@_query("SELECT x.file_id, count(*) AS processes FROM executed x JOIN process p ON p.name = x.name WHERE x.source = 'prefetch' GROUP BY x.file_id")
+@_query("SELECT x.file_id, count(*) AS processes FROM executed x JOIN process p ON p.hostname = x.hostname AND p.name = x.name WHERE x.source = 'prefetch' GROUP BY x.file_id")
 def c14_in_memory(spark, sf_dir):
     store = loaded(spark, sf_dir)
     return g.prefetch_in_memory(store["executed"], store["process"])

@@ -249,15 +249,15 @@ def describes(events: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def prefetch_in_memory(runs: DataFrame, process: DataFrame) -> DataFrame:
-    """C14"""
-    names = process.select("name", F.col("id").alias("process_id"), "hostname")
-    return runs.where("source = 'prefetch'").select("name", "file_id", F.col("hostname").alias("file_host")).join(names, "name").groupBy("file_id").agg(F.count("*").alias("processes"))
+    """C14: prefetched files and the processes of their host that have their name; counted first, so that a common name is one row a host."""
+    held = process.groupBy("hostname", "name").agg(F.count("*").alias("processes"))
+    return runs.where("source = 'prefetch'").select("hostname", "name", "file_id").join(held, ["hostname", "name"]).select("file_id", "processes")
 
 
 def same_domain(found: DataFrame, dns: DataFrame) -> DataFrame:
-    """URLs whose host part is a domain that was resolved."""
-    urls = found.where("type = 'URL'").select(F.col("id").alias("url_id"), n.url_host(F.col("value")).alias("domain")).distinct()
-    return urls.join(dns.select("domain").distinct(), "domain").select("url_id", "domain")
+    """URLs whose host part is a domain that was resolved on a host that holds the URL."""
+    urls = found.where("type = 'URL'").select("hostname", F.col("id").alias("url_id"), n.url_host(F.col("value")).alias("domain")).distinct()
+    return urls.join(dns.select("hostname", "domain").distinct(), ["hostname", "domain"]).select("url_id", "domain").distinct()
 
 
 def tagged(files: DataFrame, **case) -> DataFrame:

@@ -65,7 +65,7 @@ CTES = {
           SELECT hostname, type, CASE type WHEN 'File' THEN value ELSE substring(lower(value), 1, 512) END AS id, value, substring(context, 1, 500) AS context, min(value) OVER (PARTITION BY hostname, type, CASE type WHEN 'File' THEN value ELSE substring(lower(value), 1, 512) END) AS least
           FROM (SELECT hostname, CASE WHEN feature = 'email' THEN 'EmailAddress' WHEN feature IN ('url', 'domain') THEN 'URL' WHEN contains(value, '/') THEN 'File' END AS type, trim(value) AS value, context FROM v_feature WHERE value <> '') WHERE type IS NOT NULL)
         WHERE value = least GROUP BY hostname, type, id""",
-    "same_domain": "SELECT u.url_id, d.domain FROM (SELECT DISTINCT id AS url_id, lower(split_part(CASE WHEN contains(value, '://') THEN split_part(value, '://', 2) ELSE value END, '/', 1)) AS domain FROM feature WHERE type = 'URL') u JOIN (SELECT DISTINCT domain FROM dns) d USING (domain)",
+    "same_domain": "SELECT DISTINCT u.url_id, d.domain FROM (SELECT DISTINCT hostname, id AS url_id, lower(split_part(CASE WHEN contains(value, '://') THEN split_part(value, '://', 2) ELSE value END, '/', 1)) AS domain FROM feature WHERE type = 'URL') u JOIN (SELECT DISTINCT hostname, domain FROM dns) d USING (hostname, domain)",
     "finding": "SELECT * FROM v_finding",
 }
 

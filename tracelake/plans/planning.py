@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 # Artifacts that each tier adds, in order; "full" is all of them.
 TIER_ADDS = {"triage": ["pslist", "netscan", "evtx"], "execution": ["dlllist", "shimcache", "prefetch"], "filesystem": ["mft", "path_catalog"], "exfil": ["usb", "media_exif", "bulk"], "full": []}
 TIERS = tuple(TIER_ADDS)
-# Event packs of the first tier by kind of case; later tiers take all packs.
+# Event packs by kind of case.
 TRIAGE_PACKS = {
     "intrusion": ["sysmon_core", "security_auth", "system_services", "powershell"], "hybrid": ["sysmon_core", "security_auth", "system_services", "powershell"],
     "account_compromise": ["security_auth"], "insider_ip_theft": ["sysmon_core", "security_auth", "system_services"], "legacy_intrusion": ["security_auth", "system_services"],
@@ -52,10 +52,11 @@ def artifacts_of(tier: str) -> frozenset[str]:
 
 
 def packs_of(tier: str, case_type: str, override: str = "") -> frozenset[str] | None:
-    """PL02: packs to read; None is all."""
-    if tier != "triage" or override:
+    """PL02: packs to read: those of the override, or of the kind of case, or of an intrusion; the full tier reads all (None)."""
+    if tier == "full":
         return None
-    return frozenset(TRIAGE_PACKS.get(case_type, TRIAGE_PACKS["intrusion"]))
+    profile = next(name for name in (override, case_type, "intrusion") if name in TRIAGE_PACKS)
+    return frozenset(TRIAGE_PACKS[profile])
 
 
 @dataclass(frozen=True)
@@ -134,11 +135,26 @@ def rebuild_text(hosts: list[str], plan: TierPlan, queries: list[str]) -> str:
     return "\n".join([f"tier {plan.tier}: {', '.join(sorted(plan.artifacts))}", f"hosts: {', '.join(sorted(hosts))}", f"queries: {', '.join(queries)}"])
 
 
+@dataclass(frozen=True)
+class Gap:
+    """An artifact that a kind of case wants and a host lacks."""
+
+    level: str
+    artifact: str
+
+
+def wanted_artifacts(case_type: str) -> list[Gap]:
+    """What a kind of case wants; unknown kinds want what an intrusion does."""
+    required, recommended = PROFILES.get(case_type, PROFILES["intrusion"])
+    return [Gap("required", a) for a in required] + [Gap("recommended", a) for a in recommended]
+
+
 def coverage_notes(case_type: str, loaded: set[str], tier: str = "triage") -> list[str]:
-    """What a kind of case lacks, by how much it matters, and how far loading came."""
-    levels = zip(("required", "recommended"), PROFILES.get(case_type, PROFILES["intrusion"]))
-    lacking = [f"{level} and not loaded: {artifact}" for level, wanted in levels for artifact in wanted if artifact not in loaded]
-    return [*lacking, *{"full": []}.get(tier, [f"loaded up to tier {tier}"])]
+    """A line for each artifact that is wanted and not loaded, and one for a tier that leaves something to load."""
+    lines = [f"{gap.artifact}: {gap.level}, not loaded" for gap in wanted_artifacts(case_type) if gap.artifact not in loaded]
+    if tier != "full":
+        lines.append(f"tier {tier} is loaded, later ones are not")
+    return lines
 
 
 def dedup_rules(config: object) -> dict[int, list[str]]:

@@ -55,6 +55,7 @@ VIEWS = {
           CASE user_id % 7 WHEN 3 THEN 'C:/Windows/PSEXESVC.exe' ELSE 'C:/svc/' || cast(user_id % 5 AS string) || '.exe' END AS service_path,
           'Invoke-' || cast(user_id AS string) || ' ' || coalesce(<<json props k>>, '0') AS script_text,
           CASE event_id % 8 WHEN 0 THEN NULL ELSE 'WS' || cast(event_id % 3 AS string) END AS workstation,
+          CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'C:' || chr(92) || 'tools' || chr(92) || 'r' || cast(user_id AS string) || '.exe "' || cast(event_id AS string) || '"' WHEN 2 THEN 'ping ' || cast(user_id AS string) ELSE 'u' || cast(user_id AS string) || chr(92) || 'run' END AS command_line,
           'consumer' || cast(user_id % 3 AS string) AS consumer, 'filter' || cast(user_id % 2 AS string) AS wmi_filter
         FROM events""",
     "v_pslist": """
@@ -87,6 +88,7 @@ VIEWS = {
         SELECT n_name AS hostname, 'email' AS feature, 'User' || cast(c_custkey AS string) || '@Ex' || cast(c_custkey % 30 AS string) || '.com' AS value, c_name AS context FROM customer JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT 'H' || cast(page_id % 5 AS string), 'url', url, substring(html, 1, 700) FROM pages
         UNION ALL SELECT 'H' || cast(user_id % 7 AS string), 'domain', 'www.ex' || cast(user_id % 20 AS string) || '.com/p' || cast(user_id AS string), event_type FROM events
+        UNION ALL SELECT n_name, 'domain', 'www.ex' || cast(c_custkey % 20 AS string) || '.com/c' || cast(c_custkey AS string), c_name FROM customer JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT n_name, 'other', 'C:/dump/' || s_name, '' FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "v_finding": """
         SELECT 'case:S' || cast(doc_id % 18 AS string) || ':' || cast(doc_id AS string) AS id, 'Hyp' || cast(quality AS string) AS hypothesis, CASE toxic WHEN 1 THEN 'supported' ELSE 'inconclusive' END AS verdict,
