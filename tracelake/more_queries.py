@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tracelake.functions import normalize as n
 from tracelake.operators import graph as g
 from tracelake.operators import scoring as k
+from tracelake.operators import seeds as seeding
 from tracelake.operators import statistics as v
 from tracelake.plans.oracle import BASE, GUID, with_tables
 from tracelake.plans.projection import view
-from tracelake.plans.store import loaded
+from tracelake.plans.store import CASE, loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -227,9 +228,7 @@ def l08_prefetch(spark, sf_dir):
 
 @_query("SELECT id FROM file WHERE contains(lower(path), 'blog') OR contains(lower(path), 'www.cheap')")
 def l10_seeded_files(spark, sf_dir):
-    from tracelake.sources.files import matching_seeds
-
-    return matching_seeds(loaded(spark, sf_dir)["file"], "path", ["blog", "WWW.cheap", "ab"]).select("id")
+    return seeding.matching_seeds(loaded(spark, sf_dir)["file"], "path", ["blog", "WWW.cheap", "ab"]).select("id")
 
 
 @_query("SELECT DISTINCT lower(seed) AS seed FROM (SELECT name AS seed FROM file UNION ALL SELECT name FROM executed UNION ALL SELECT 'config' AS seed) WHERE length(seed) >= 3")
@@ -239,6 +238,56 @@ def l16_seeds(spark, sf_dir):
     return seeds.where(F.length("seed") >= 3).select(F.lower("seed").alias("seed")).distinct()
 
 
+_EVENT_SEEDS = "SELECT DISTINCT hostname, split_part(v, '\"', 1) AS seed FROM (SELECT hostname, unnest([command_line, image]) AS v FROM event WHERE event_id IN (1, 11, 23)) WHERE contains(v, chr(92)) AND split_part(v, '\"', 1) <> ''"
+
+
+@_query(_EVENT_SEEDS)
+def l16_event_seeds(spark, sf_dir):
+    return seeding.event_seeds(loaded(spark, sf_dir)["event"])
+
+
+_DISCOVERY_SEEDS = f"""SELECT hostname, unnest(['www.*', 'research', 'blog', 'pills', 'cheap-pills', 'en/9', '7']) AS seed FROM host
+ UNION SELECT hostname, replace(path, '/', chr(92)) FROM file WHERE path <> '' UNION SELECT hostname, seed FROM ({_EVENT_SEEDS})"""
+
+
+@_query(_DISCOVERY_SEEDS)
+def l16_discovery_seeds(spark, sf_dir):
+    s = loaded(spark, sf_dir)
+    return seeding.discovery_seeds(s["host"], s["event"], s["file"], _case_seeds())
+
+
+def _case_seeds() -> list[str]:
+    """Of the example case, with one sensitive pattern more, of a single character."""
+    return seeding.case_seeds(CASE["roots"], CASE["keywords"], CASE["aliases"], [*CASE["sensitive"], "*/7/*"])
+
+
+def _matches(path: str, seed: str) -> str:
+    """A path matches a seed, in SQL."""
+    norm, low = f"replace(lower({path}), '/', chr(92))", f"lower({seed})"
+    last = f"split_part({low}, chr(92), -1)"
+    return f"length({seed}) >= 3 AND (contains({norm}, {low}) OR (contains({low}, chr(92)) AND {last} <> '' AND ends_with({norm}, {last})))"
+
+
+@_query(f"SELECT r.hostname, r.path FROM (SELECT DISTINCT hostname, path FROM v_exec) r WHERE EXISTS (SELECT 1 FROM ({_DISCOVERY_SEEDS}) s WHERE s.hostname = r.hostname AND {_matches('r.path', 's.seed')})")
+def l10_host_seeded_runs(spark, sf_dir):
+    """Executed paths that a seed of their own host asks for."""
+    s = loaded(spark, sf_dir)
+    seeds = seeding.discovery_seeds(s["host"], s["event"], s["file"], _case_seeds())
+    return seeding.matching(s["executed"].select("hostname", "path").distinct(), "path", seeds, ("hostname",))
+
+
+#: Tens of thousands of seeds: numbers, customers that no path names, part names, folders, fragments that are too short.
+_MANY_SEEDS = """SELECT cast(o_orderkey AS string) AS seed FROM orders UNION ALL SELECT 'q' || chr(92) || cast(o_orderkey AS string) || '#top' FROM orders UNION ALL SELECT c_name FROM customer
+ UNION ALL SELECT replace(p_name, ' ', '_') FROM part UNION ALL SELECT 'd' || chr(92) || p_brand || chr(92) FROM part UNION ALL SELECT n_regionkey || chr(92) || 'x' FROM nation UNION ALL SELECT 'ab' FROM region"""
+
+
+@_query(f"SELECT path FROM (SELECT DISTINCT path FROM (SELECT path FROM v_catalog UNION ALL SELECT path FROM v_exec)) p WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT seed FROM ({_MANY_SEEDS})) s WHERE {_matches('p.path', 's.seed')})")
+def l10_many_seeds(spark, sf_dir):
+    paths = view(spark, sf_dir, "v_catalog").select("path").unionByName(view(spark, sf_dir, "v_exec").select("path")).distinct()
+    many = spark.sql(_MANY_SEEDS.replace("FROM orders", "FROM {orders}").replace("FROM customer", "FROM {customer}").replace("FROM part", "FROM {part}").replace("FROM nation", "FROM {nation}").replace("FROM region", "FROM {region}"), **{t: _read(spark, sf_dir, t) for t in ("orders", "customer", "part", "nation", "region")})
+    return seeding.matching(paths, "path", many)
+
+
 @_query(f"SELECT src_id, dst_id, timestamp, parent, child FROM (SELECT *, row_number() OVER (PARTITION BY src_id, dst_id, timestamp ORDER BY seq) AS rn FROM (SELECT seq, hostname || ':guid:' || parent_process_guid AS src_id, {GUID} AS dst_id, timestamp, parent_image AS parent, image AS child FROM v_event WHERE event_id = 1 AND process_guid <> '' AND parent_process_guid <> '')) WHERE rn = 1")
 def c01_spawned(spark, sf_dir):
     return g.spawned_at(view(spark, sf_dir, "v_event"))

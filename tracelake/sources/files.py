@@ -92,12 +92,6 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def matching_seeds(files: DataFrame, column: str, seeds: list[str]) -> DataFrame:
-    """Files whose path contains a seed of three characters or more, in any case."""
-    low = F.lower(column)
-    return files.where(reduce(lambda a, b: a | b, (low.contains(s.lower()) for s in seeds if len(s) >= 3), F.lit(False)))
-
-
 def write_table(df: DataFrame, path: str, *partitions: str) -> None:
     """Overwrites the partitions that df has rows of, and no others."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
