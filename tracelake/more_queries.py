@@ -14,7 +14,7 @@ from tracelake.operators import seeds as seeding
 from tracelake.operators import statistics as v
 from tracelake.plans.oracle import BASE, GUID, with_tables
 from tracelake.plans.projection import view
-from tracelake.plans.store import CASE, loaded
+from tracelake.plans.store import CASE, METRICS, NAMES, ledger_of, loaded
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -359,6 +359,31 @@ def c17_counts(spark, sf_dir):
     return v.edge_counts(created=s["created"], describes=s["describes"], same_domain=s["same_domain"], spawned=s["sysmon_spawned"])
 
 
+_LOAD_COUNTS = """SELECT 'spawned_sysmon' AS metric, count(*) AS n FROM sysmon_spawned UNION ALL SELECT 'connected_sysmon', count(*) FROM connected UNION ALL SELECT 'corroborated_created', count(*) FROM executed WHERE confidence = 'corroborated_sysmon'
+ UNION ALL SELECT 'describes_events', count(DISTINCT file_id) FROM describes UNION ALL SELECT 'bulk_domain_links', count(*) FROM same_domain UNION ALL SELECT 'executed_shimcache', count(*) FROM executed WHERE source = 'shimcache'
+ UNION ALL SELECT 'executed_prefetch', count(*) FROM executed WHERE source = 'prefetch' UNION ALL SELECT 'bulk_referenced', count(*) FROM feature"""
+
+
+@_query(_LOAD_COUNTS)
+def c17_load_counts(spark, sf_dir):
+    """The eight counts of correlation, as they were observed while the tables were written."""
+    _all_loaded(spark, sf_dir, METRICS)
+    return ledger_of(spark, sf_dir).metrics()
+
+
+def _all_loaded(spark, sf_dir, names) -> None:
+    store = loaded(spark, sf_dir)
+    for name in names:
+        store[name]
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS artifact, 'loaded' AS status, count(*) AS rows FROM {t}" for t in NAMES))
+def s13_load_status(spark, sf_dir):
+    """Each table's last commit and the rows that were counted while it was written."""
+    _all_loaded(spark, sf_dir, NAMES)
+    return ledger_of(spark, sf_dir).status().select(F.col("table").alias("artifact"), "status", "rows")
+
+
 # -- statistics, serving, scoring --------------------------------------------------------------------------------------
 
 
@@ -388,7 +413,7 @@ def l12_place_nodes(spark, sf_dir):
 
 @_query("SELECT 'evtx' AS artifact WHERE EXISTS (SELECT 1 FROM event WHERE hostname = 'H1') UNION ALL SELECT 'pslist' WHERE EXISTS (SELECT 1 FROM process WHERE hostname = 'H1') UNION ALL SELECT 'netscan' WHERE EXISTS (SELECT 1 FROM connected WHERE hostname = 'H1') UNION ALL SELECT 'dlllist' WHERE EXISTS (SELECT 1 FROM module WHERE hostname = 'H1') UNION ALL SELECT 'shimcache' WHERE EXISTS (SELECT 1 FROM executed WHERE hostname = 'H1' AND source = 'shimcache') UNION ALL SELECT 'prefetch' WHERE EXISTS (SELECT 1 FROM executed WHERE hostname = 'H1' AND source = 'prefetch') UNION ALL SELECT 'path_catalog' WHERE EXISTS (SELECT 1 FROM file WHERE hostname = 'H1' AND source = 'filestat') UNION ALL SELECT 'mft' WHERE EXISTS (SELECT 1 FROM file WHERE hostname = 'H1' AND source = 'mft') UNION ALL SELECT 'media_exif' WHERE EXISTS (SELECT 1 FROM media WHERE hostname = 'H1') UNION ALL SELECT 'usb' WHERE EXISTS (SELECT 1 FROM usb WHERE hostname = 'H1') UNION ALL SELECT 'bulk' WHERE EXISTS (SELECT 1 FROM feature WHERE hostname = 'H1')")
 def v10_artifacts(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a in sorted(v.artifacts_loaded(loaded(spark, sf_dir), "H1"))], "artifact string")
+    return v.artifacts_loaded(loaded(spark, sf_dir), "H1")
 
 
 @_query("SELECT count(*) AS total, sum(CASE WHEN source IN ('filestat', 'mft') THEN 1 ELSE 0 END) :: bigint AS cataloged, sum(CASE WHEN sensitive THEN 1 ELSE 0 END) :: bigint AS sensitive, floor(sum(CASE WHEN sensitive THEN 1 ELSE 0 END) * 1000.0 / count(*) + 0.5) / 10 :: double AS sensitive_pct FROM file")
@@ -435,13 +460,15 @@ def t03_host_summary(spark, sf_dir):
 @_query("SELECT id, hostname AS host, event_id, timestamp, image FROM event WHERE id IN (SELECT min(id) FROM v_event WHERE event_id = 4625)")
 def t04_get_event(spark, sf_dir):
     """The point lookup of the server: a host is a folder, so that one is read, and the id is pushed to its scan."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    store = loaded(spark, sf_dir)
+    events = store["event"]
+    key = (spark.sparkContext.applicationId, ledger_of(spark, sf_dir).current("event").folder)
     if key not in _SOME_EVENT:
-        _SOME_EVENT[key] = loaded(spark, sf_dir)["event"].where("event_id = 4625").agg(F.min("id")).first()[0]
-    return v.event_of(loaded(spark, sf_dir), _SOME_EVENT[key])
+        _SOME_EVENT[key] = events.where("event_id = 4625").agg(F.min("id")).first()[0]
+    return v.event_of(store, _SOME_EVENT[key])
 
 
-#: An id to look up, by application and input: which one there is follows from the tables.
+#: An id to look up, by application and load: which one there is follows from the tables as they were loaded.
 _SOME_EVENT: dict[tuple[str, str], str] = {}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,9 +66,10 @@ SHOWN_BY = {
 }
 
 
-def artifacts_loaded(store, host: str) -> set[str]:
+def artifacts_loaded(store, host: str) -> DataFrame:
     """Artifacts of which the graph holds a row of the host; each probe ends at its first row."""
-    return {a for a, (table, condition) in SHOWN_BY.items() if not store[table].where(F.col("hostname") == host).where(condition).limit(1).isEmpty()}
+    probes = [store[table].where(F.col("hostname") == host).where(condition).limit(1).select(F.lit(artifact).alias("artifact")) for artifact, (table, condition) in SHOWN_BY.items()]
+    return reduce(DataFrame.unionByName, probes)
 
 
 def event_of(store, event_id: str) -> DataFrame:

@@ -58,6 +58,7 @@ CTES = {
     + _FIRST.format(keys="id", order="seq", rows="SELECT hostname || ':' || path AS id, hostname, path, size, source, seq FROM v_catalog WHERE length(path) >= 2") + "))",
     "executed": f"SELECT r.*, CASE WHEN file_id IN (SELECT file_id FROM created) THEN 'corroborated_sysmon' ELSE source END AS confidence FROM (SELECT *, CASE WHEN ({_RUN_SENSITIVE}) OR score >= 0.4 THEN true END AS sensitive, CASE WHEN score >= 0.4 THEN true END AS interesting FROM (SELECT hostname, hostname || ':' || path AS file_id, source, path, {BASE.format('path')} AS name, timestamp, CASE WHEN source = 'shimcache' THEN cast(shim_order AS int) END AS shim_order, CASE WHEN source = 'prefetch' THEN run_count END AS run_count, {_RUN_SCORE} AS score FROM (" + _FIRST.format(keys="hostname, path, source", order="seq", rows="SELECT * FROM v_exec WHERE path <> ''") + "))) r",
     "describes": f"SELECT e.id, f.file_id FROM (SELECT id, upper(hostname) AS host, lower({BASE.format('image')}) AS low FROM v_event WHERE event_id IN (1, 4688)) e JOIN (SELECT DISTINCT upper(hostname) AS host, lower({BASE.format('path')}) AS low, hostname || ':' || path AS file_id FROM v_exec) f USING (host, low) WHERE low <> ''",
+    "described": "SELECT file_id, count(*) AS events FROM describes GROUP BY file_id",
     "media": "SELECT hostname || ':media:' || path AS id, hostname, path, taken_at, latitude, longitude, floor(latitude * 1000 + 0.5) / 1000 AS cell_lat, floor(longitude * 1000 + 0.5) / 1000 AS cell_lon FROM v_media",
     "usb": "SELECT hostname || ':usb:' || device_id AS id, hostname, device_id, friendly_name, vendor, first_seen, last_seen FROM v_usb WHERE device_id <> ''",
     "feature": """

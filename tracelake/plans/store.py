@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import inspect
 import re
-import uuid
+import sys
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
+from tracelake.functions import normalize as n
 from tracelake.operators import graph as g
+from tracelake.plans import projection
 from tracelake.plans.catalog import HUNTS, PARAMETERS
 from tracelake.plans.projection import dialect, view
 from tracelake.sources.files import shared_folder, write_table
+from tracelake.sources.ledger import Ledger, fingerprint
 
 #: What the example case looks for in paths.
 CASE = {"sensitive": ["*/en/*9*"], "extensions": ["7"], "keywords": ["research", "blog"], "aliases": {"pills": ["cheap-pills"]}, "roots": ["www.*"], "excluded": ["adult"]}
@@ -54,7 +59,11 @@ class GraphStore:
 
 
 #: Tables of the graph.
-NAMES = ("event", "host", "process", "module", "connected", "spawned", "sysmon_spawned", "modified", "file_event", "logged_in", "dns", "registry", "service", "script", "wmi", "created", "file", "executed", "describes", "media", "usb", "feature", "same_domain", "finding")
+NAMES = ("event", "host", "process", "module", "connected", "spawned", "sysmon_spawned", "modified", "file_event", "logged_in", "dns", "registry", "service", "script", "wmi", "created", "file", "executed", "describes", "described", "media", "usb", "feature", "same_domain", "finding")
+
+
+#: Tables that have a host and more than it: they are stored by host.
+BY_HOST = frozenset(NAMES) - {"host", "spawned", "sysmon_spawned", "modified", "created", "describes", "described", "same_domain", "finding"}
 
 
 class Projected:
@@ -113,6 +122,8 @@ class Projected:
                 return self.runs
             case "describes":
                 return g.describes(e, g.executed(self.view("v_exec")))
+            case "described":
+                return (self.written or self.table)("describes").groupBy("file_id").agg(F.count("*").alias("events"))
             case "media":
                 return g.media(self.view("v_media"))
             case "usb":
@@ -131,23 +142,43 @@ def projected(spark: SparkSession, sf_dir: str) -> GraphStore:
     return GraphStore(spark, Projected(spark, sf_dir).table)
 
 
-#: Folders of tables that are loaded, by application, input and table.
-_LOADED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+#: Counts that are taken while a table is written (C17), by table: what a load says of itself.
+METRICS: dict[str, dict[str, str]] = {
+    "sysmon_spawned": {"spawned_sysmon": "count(1)"},
+    "connected": {"connected_sysmon": "count(1)"},
+    "executed": {"corroborated_created": "count_if(confidence = 'corroborated_sysmon')", "executed_shimcache": "count_if(source = 'shimcache')", "executed_prefetch": "count_if(source = 'prefetch')"},
+    "described": {"describes_events": "count(1)"},
+    "same_domain": {"bulk_domain_links": "count(1)"},
+    "feature": {"bulk_referenced": "count(1)"},
+}
+
+
+@functools.cache
+def graph_code() -> str:
+    """A digest of the code that makes tables of the graph: other code, other tables."""
+    modules = (g, n, sys.modules[__name__], projection)
+    return hashlib.sha256("".join(inspect.getsource(m) for m in modules).encode()).hexdigest()
+
+
+def ledger_of(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The ledger of the graph of one folder of tables."""
+    return Ledger(spark, f"{shared_folder(spark)}/graph/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}")
 
 
 def loaded(spark: SparkSession, sf_dir: str) -> GraphStore:
-    """The graph of the driver's tables, each table loaded once a session: written to the shared folder, by host where it has
+    """The graph of the driver's tables, each table loaded on its first use: written to the shared folder, by host where it has
     one, and read from there by all queries that follow, which prune hosts and columns. Loading is a step of its own in the
-    life of a graph; queries that are asked of it again and again do not pay for it."""
+    life of a graph; queries that are asked of it again and again do not pay for it. The ledger says whether a table is loaded of
+    the files as they are now; if they have changed, it is loaded anew."""
+    ledger = ledger_of(spark, sf_dir)
+
+    @functools.cache
+    def stamp() -> str:
+        return fingerprint(spark, f"{sf_dir}/*.parquet", code=graph_code())
 
     def table(name: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf_dir, name)
-        if key not in _LOADED:
-            folder = f"{shared_folder(spark)}/graph/{uuid.uuid4().hex}/{name}"
-            built = GraphStore(spark, Projected(spark, sf_dir, table).table)
-            built.save_one(name, folder)
-            _LOADED[key] = folder, built[name].schema
-        folder, schema = _LOADED[key]
-        return spark.read.schema(schema).parquet(folder)
+        projected_tables = Projected(spark, sf_dir, table)
+        by = ("hostname",) if name in BY_HOST else ()
+        return ledger.read(ledger.load(name, stamp(), lambda: projected_tables.table(name), by, METRICS.get(name)))
 
     return GraphStore(spark, table)
