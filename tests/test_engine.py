@@ -45,7 +45,6 @@ def test_legacy_timestamps(spark):
 
 
 def test_event_xml(spark):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     xml = "<Event><System/><EventData><Data Name='A'>1</Data><Data Name='A'> 2 </Data><Data Name='B'></Data></EventData></Event>"
     assert value(spark, n.event_fields(F.lit(xml))) == {"A": "2"} and value(spark, n.event_fields(F.lit("<Event"))) == {}
 

@@ -124,11 +124,12 @@ def step_id(name: Column) -> Column:
 def event_fields(xml: Column) -> Column:
     """name/value map of EventData; the last of equal names wins, empty values drop, malformed XML is an empty map.
 
-    Needs spark.sql.mapKeyDedupPolicy=LAST_WIN.
+    Earlier ones of equal names go before the map is made, whatever the session's policy for them.
     """
     parsed = F.from_xml(xml, "EventData struct<Data array<struct<_Name string, _VALUE string>>>", {"mode": "PERMISSIVE"})
     pairs = F.filter(F.coalesce(parsed["EventData"]["Data"], F.array().cast("array<struct<_Name:string,_VALUE:string>>")), lambda d: d["_Name"].isNotNull() & (F.trim(d["_VALUE"]) != ""))
-    return F.map_from_entries(F.transform(pairs, lambda d: F.struct(d["_Name"], F.trim(d["_VALUE"]))))
+    last = F.filter(pairs, lambda d, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["_Name"] == d["_Name"]))
+    return F.map_from_entries(F.transform(last, lambda d: F.struct(d["_Name"], F.trim(d["_VALUE"]))))
 
 
 def _quoted(text: str) -> str:

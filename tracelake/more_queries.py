@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -384,6 +385,54 @@ def s13_load_status(spark, sf_dir):
     return ledger_of(spark, sf_dir).status().select(F.col("table").alias("artifact"), "status", "rows")
 
 
+# -- raw artifacts ----------------------------------------------------------------------------------------------------
+
+#: An event's XML, as its writer would make it, and every 97th event followed by a line that is cut off.
+_RAW_FIELDS = {"Image": "image", "ParentImage": "parent_image", "ProcessGuid": "process_guid", "ParentProcessGuid": "parent_process_guid", "ProcessId": "process_id", "TargetFilename": "target_filename", "TargetUserName": "target_user", "LogonType": "logon_type", "DestinationIp": "ip", "DestinationPort": "port", "TargetObject": "registry_key", "QueryName": "query_name", "ServiceName": "service_name", "ImagePath": "service_path"}
+
+
+def _raw_hosts(spark, sf_dir):
+    """Events of the driver's tables as line JSON in folders of hosts, many files each, lines in order of their ids; and the hosts' manifests."""
+    from tracelake.sources import raw
+    from tracelake.sources.files import shared_folder
+
+    folder = f"{shared_folder(spark)}/raw/{uuid.uuid4().hex}"
+    events = view(spark, sf_dir, "v_event")
+    data = F.concat(*(F.concat(F.lit(f"<Data Name='{name}'>"), F.coalesce(F.col(c), F.lit("")), F.lit("</Data>")) for name, c in _RAW_FIELDS.items()))
+    xml = F.concat(F.lit("<Event><System><EventID>"), F.col("event_id").cast("string"), F.lit("</EventID></System><EventData>"), data, F.lit("</EventData></Event>"))
+    whole = F.to_json(F.struct(F.col("seq").alias("record_number"), F.col("timestamp").alias("datetime"), F.col("channel").alias("source"), xml.alias("xml_string")))
+    cut_off = F.when(F.col("seq") % 97 == 0, F.array(whole, F.concat(F.lit('{"record_number": '), F.col("seq").cast("string")))).otherwise(F.array(whole))
+    lines = events.select("hostname", "seq", F.posexplode(cut_off).alias("nth", "value")).repartitionByRange("hostname", "seq").sortWithinPartitions("hostname", "seq", "nth")
+    lines.select("hostname", "value").write.partitionBy("hostname").text(folder)
+    return [raw.Manifest(h, folder, artifacts={"evtx": "hostname={hostname}"}) for h in sorted(r["hostname"] for r in events.select("hostname").distinct().collect())]
+
+
+_PACKS = "(1, 3, 5, 7, 8, 10, 11, 22, 23, 12, 13, 14, 4624, 4625, 4688, 4720, 4732, 7045, 104, 4104, 5861)"
+
+
+@_query(f"SELECT hostname, id, event_id, strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:%M:%SZ') AS timestamp, image, target_user, ip, port, registry_key, row_number() OVER (ORDER BY hostname, seq) + sum(CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY hostname, seq) :: bigint - CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END AS seq FROM v_event WHERE event_id IN {_PACKS}")
+def x01_raw_events(spark, sf_dir):
+    """Raw events of all hosts, read from their files; the number of a line is that of all lines before it, those that are cut off included."""
+    from tracelake.sources import raw
+
+    return raw.RawTables(spark, _raw_hosts(spark, sf_dir), frozenset({"evtx"})).view("v_event").select("hostname", "id", "event_id", "timestamp", "image", "target_user", "ip", "port", "registry_key", "seq")
+
+
+@_query("SELECT src_id, dst_id, parent, child, pid, strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM sysmon_spawned")
+def x01_raw_spawned(spark, sf_dir):
+    """From manifests to an edge of the graph: the last line of a pair of processes counts."""
+    from tracelake.sources import raw
+
+    return g.sysmon_spawned(raw.RawTables(spark, _raw_hosts(spark, sf_dir), frozenset({"evtx"})).view("v_event"))
+
+
+@_query("SELECT 'evtx' AS artifact, hostname, '{\"record_number\": ' || seq AS text FROM v_event WHERE seq % 97 = 0")
+def x02_rescued_lines(spark, sf_dir):
+    from tracelake.sources import raw
+
+    return raw.RawTables(spark, _raw_hosts(spark, sf_dir), frozenset({"evtx"})).rescued().select("artifact", "hostname", "text")
+
+
 # -- statistics, serving, scoring --------------------------------------------------------------------------------------
 
 

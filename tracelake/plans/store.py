@@ -67,11 +67,11 @@ BY_HOST = frozenset(NAMES) - {"host", "spawned", "sysmon_spawned", "modified", "
 
 
 class Projected:
-    """Tables of a graph over the driver's tables."""
+    """Tables of a graph over the driver's tables, or over records of hosts."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, written: Callable[[str], DataFrame] | None = None):
-        """written: tables that are already loaded, for those that are made of them."""
-        self.view, self.written = lambda name: view(spark, sf_dir, name), written
+    def __init__(self, spark: SparkSession, sf_dir: str, written: Callable[[str], DataFrame] | None = None, records: Callable[[str], DataFrame] | None = None):
+        """written: tables that are already loaded, for those that are made of them; records: where records come from, if not from the driver's tables."""
+        self.view, self.written = records or (lambda name: view(spark, sf_dir, name)), written
 
     @cached_property
     def events(self) -> DataFrame:
