@@ -1,18 +1,19 @@
 from tracelake import cli
 from tracelake.plans.store import GraphStore
+from tracelake.sources.findings import Findings
 
 
 def command(store, *argv):
     return cli.run(cli._parser().parse_args(argv), store)
 
 
-def test_commands_without_a_graph(tmp_path):
+def test_commands_without_a_graph(spark, tmp_path):
     assert len(command(None, "list-playbook", "bulk_exfil")) == 2 and command(None, "init-case", str(tmp_path), "c1")
     plan = command(None, "plan", "--loaded", "pslist", "evtx")
     assert "summary" in plan["host"]["runnable"] and "usb_insertions" in plan["host"]["blocked"] and plan["notes"]
     for verdict in ("inconclusive", "supported"):
-        command(None, "finding-record", "--case", "c", "--hypothesis", "H", "--verdict", verdict, "--step", "s", "--out", str(tmp_path / "f.json"))
-    assert (tmp_path / "f.json").read_text().count('"id"') == 1 and "supported" in (tmp_path / "f.json").read_text()
+        command(None, "finding-record", "--case", "c", "--hypothesis", "H", "--verdict", verdict, "--step", "s", "--out", f"file://{tmp_path}/f")
+    assert [(r["id"], r["case_id"], r["verdict"]) for r in Findings(spark, f"file://{tmp_path}/f").read().collect()] == [("c:s:H", "c", "supported")]
 
 
 def test_commands_over_a_graph(spark, tmp_path):

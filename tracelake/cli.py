@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
+
+from pyspark.sql import SparkSession
 
 from tracelake.operators import statistics
 from tracelake.plans import planning, workflow
 from tracelake.plans.catalog import HUNTS
 from tracelake.plans.store import NAMES, GraphStore, projected
 from tracelake.serving import Server
+from tracelake.sources import raw
+from tracelake.sources.findings import Findings
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -30,13 +33,13 @@ def _parser() -> argparse.ArgumentParser:
     command("path-discover", ("--least", {"type": float, "default": 0.4}))
     command("probe", ("table", {}), ("--limit", {"type": int, "default": 5}))
     command("hunt", ("name", {}), ("--limit", {"type": int, "default": 100}))
-    command("finding-record", ("--case", {"required": True}), ("--hypothesis", {"required": True}), ("--verdict", {"required": True}), ("--confidence", {"default": "medium"}), ("--step", {"required": True}), ("--summary", {"default": ""}), ("--out", {"required": True}))
+    command("finding-record", ("--out", {"required": True}), ("--case", {"required": True}), ("--hypothesis", {"required": True}), ("--verdict", {"required": True}), ("--confidence", {"default": "medium"}), ("--step", {"required": True}), ("--summary", {"default": ""}))
     command("run-playbook", ("name", {}), case_type, ("--only", {"nargs": "*"}), ("--triage", {"action": "store_true"}), ("--tier", {"default": None}), ("--loaded", {"nargs": "*"}), ("--out", {}))
     command("list-playbook", ("name", {}))
     command("graph-export", ("table", {}), ("--limit", {"type": int, "default": 1000}))
     command("init-case", ("folder", {}), ("case_id", {}))
     command("plan", case_type, tier, ("--host", {"default": "HOST"}), ("--loaded", {"nargs": "*", "default": []}))
-    command("load-tier", ("tier", {}), ("--host", {"default": None}), ("--out", {"required": True}))
+    command("load-tier", ("tier", {}), ("--host", {"default": None}), ("--out", {"required": True}), case_type, ("--profile", {"default": ""}), ("--manifests", {"default": None}), ("--force", {"action": "store_true"}))
     command("rebuild-case", ("--out", {"required": True}), ("--hunts", {"nargs": "*"}), ("--dry-run", {"action": "store_true"}), ("--playbook", {"default": "intrusion"}))
     return p
 
@@ -45,6 +48,12 @@ def _parser() -> argparse.ArgumentParser:
 FILLS = {"pslist": ["process", "spawned"], "netscan": ["connected"], "evtx": ["event", "sysmon_spawned", "modified", "file_event", "logged_in", "dns", "registry", "service", "script", "wmi", "created", "module"], "dlllist": ["module"], "shimcache": ["executed"], "prefetch": ["executed", "describes"], "mft": ["file"], "path_catalog": ["file"], "usb": ["usb"], "media_exif": ["media"], "bulk": ["feature", "same_domain"]}
 
 
+def _spark(store: GraphStore | None) -> SparkSession:
+    from tracelake.session import session
+
+    return store.spark if store else session("tracelake-cli")
+
+
 def tables_of(artifacts: frozenset[str]) -> tuple[str, ...]:
     wanted = {"host", "finding"} | {t for a in artifacts for t in FILLS[a]}
     return tuple(n for n in NAMES if n in wanted)
@@ -61,10 +70,14 @@ def run(args: argparse.Namespace, store: GraphStore | None) -> dict | list:
         return {"tier": plan.tier, "artifacts": sorted(plan.artifacts), "packs": sorted(plan.packs or []), "steps": planning.steps_for(args.case_type, args.tier), "host": planning.host_plan(sorted(HUNTS), set(args.loaded), args.host), "notes": planning.coverage_notes(args.case_type, set(args.loaded), args.tier)}
     if name == "finding-record":
         row = {"id": f"{args.case}:{args.step}:{args.hypothesis}", "hypothesis": args.hypothesis, "verdict": args.verdict, "confidence": args.confidence, "step_id": args.step, "summary": args.summary}
-        path = Path(args.out)
-        known = {r["id"]: r for r in json.loads(path.read_text())} if path.exists() else {}
-        path.write_text(json.dumps(list((known | {row["id"]: row}).values()), indent=1))
+        spark = _spark(store)
+        Findings(spark, args.out).merge(spark.createDataFrame([row | {"case_id": args.case}]))
         return row
+    if name == "load-tier" and args.manifests:
+        spark = _spark(store)
+        hosts = [m for m in raw.manifests(spark, args.manifests) if args.host in (None, m.hostname)]
+        ledger, status = raw.load_hosts(spark, hosts, args.out, args.tier, args.case_type, force=args.force)
+        return {"tier": args.tier, "artifacts": status, "tables": dict(ledger.report), "correlation": {r["metric"]: r["n"] for r in ledger.metrics().collect()}, "notes": {h.hostname: planning.coverage_notes(args.case_type, {a for host, a, s in status if host == h.hostname and s == "ready"}, args.tier) for h in hosts}}
     assert store is not None, "--tables or --store is needed"
     server = Server(store, list(NAMES))
     if name == "discover":
@@ -89,9 +102,10 @@ def run(args: argparse.Namespace, store: GraphStore | None) -> dict | list:
             workflow.write_investigation(args.out, payloads, findings)
         return {"steps": payloads, "findings": findings}
     if name in ("run", "load-tier"):
-        plan = planning.tier_plan(args.tier, "intrusion", full=getattr(args, "full", False))
-        store.save(args.out, tables_of(plan.artifacts))
-        return {"tier": plan.tier, "tables": tables_of(plan.artifacts)}
+        plan = planning.tier_plan(args.tier, getattr(args, "case_type", "intrusion"), full=getattr(args, "full", False), override=getattr(args, "profile", ""))
+        host = getattr(args, "host", None)
+        store.only(host, plan.packs).save(args.out, tables_of(plan.artifacts))
+        return {"tier": plan.tier, "host": host, "packs": sorted(plan.packs) if plan.packs is not None else None, "tables": tables_of(plan.artifacts)}
     hunts = planning.select_queries([s.query for s in workflow.playbook(args.playbook)], set(HUNTS), override=args.hunts)
     if args.dry_run:
         return {"plan": planning.rebuild_text(["all"], planning.tier_plan("full", "intrusion", full=True), hunts)}

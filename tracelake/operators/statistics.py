@@ -27,9 +27,8 @@ def edge_counts(**edges: DataFrame) -> DataFrame:
 
 def host_edges(store, host: str) -> DataFrame:
     """The five kinds of edges of one host, each counted from that host's rows alone."""
-    own = F.col("src_id").startswith(host + ":")
     at = lambda name: store[name].where(F.col("hostname") == host)
-    return edge_counts(spawned_sysmon=store["sysmon_spawned"].where(own), connected_sysmon=at("connected").where(own), created_files=at("file_event").where("NOT deleted"), dns_resolved=at("dns"), registry_modified=store["modified"].where(own))
+    return edge_counts(spawned_sysmon=at("sysmon_spawned"), connected_sysmon=at("connected"), created_files=at("file_event").where("NOT deleted"), dns_resolved=at("dns"), registry_modified=at("modified"))
 
 
 def guarded(metrics: dict[str, Callable[[], DataFrame]], timeout_s: float = 30.0) -> dict:
@@ -127,17 +126,20 @@ def verdict(blocked: Column, rows: Column, strong: Column) -> Column:
     )
 
 
+#: Hosts that the answer to an unknown one names; "truncated" says whether there are more.
+KNOWN_HOSTS = 1000
+
+
 def host_summary(store, host: str) -> dict:
     """Totals, the 25 most frequent event ids and edge counts of one host; an unknown host gets the known ones."""
-    hosts = sorted(r.hostname for r in store["host"].collect())
-    if host not in hosts:
-        return {"error": "unknown_host", "hostname": host, "available": hosts}
+    if store["host"].where(F.col("hostname") == host).isEmpty():
+        known = [r.hostname for r in store["host"].orderBy("hostname").limit(KNOWN_HOSTS + 1).collect()]
+        return {"error": "unknown_host", "hostname": host, "available": known[:KNOWN_HOSTS], "truncated": len(known) > KNOWN_HOSTS}
     count = lambda name, column="hostname": store[name].where(F.col(column) == host).count()
     top = store["event"].where(F.col("hostname") == host).groupBy("event_id", "channel").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "event_id", "channel").limit(25)
-    by_prefix = lambda name: store[name].where(F.col("src_id").startswith(host + ":")).count()
     return {
         "hostname": host,
         "totals": {"processes": count("process"), "events": count("event")},
         "top_events": [r.asDict() for r in top.collect()],
-        "edges": {"spawned": by_prefix("sysmon_spawned"), "connected": by_prefix("connected"), "created": by_prefix("created"), "dns": count("dns"), "registry": count("registry")},
+        "edges": {"spawned": count("sysmon_spawned"), "connected": count("connected"), "created": count("created"), "dns": count("dns"), "registry": count("registry")},
     }

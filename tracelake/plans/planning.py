@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # Artifacts that each tier adds, in order; "full" is all of them.
 TIER_ADDS = {"triage": ["pslist", "netscan", "evtx"], "execution": ["dlllist", "shimcache", "prefetch"], "filesystem": ["mft", "path_catalog"], "exfil": ["usb", "media_exif", "bulk"], "full": []}
 TIERS = tuple(TIER_ADDS)
@@ -125,6 +128,14 @@ def event_ids(packs: frozenset[str] | None = None, extra: list[tuple[str, str, i
     return list(dict.fromkeys((source, event) for pack, source, event in (*EVENTS, *extra) if packs is None or pack in packs))
 
 
+def pack_of(event: Column) -> Column:
+    """PL02: the pack of an event id; events of no pack are "other"."""
+    packs: dict[str, list[int]] = {}
+    for pack, _, number in EVENTS:
+        packs.setdefault(pack, []).append(number)
+    return F.coalesce(*(F.when(event.isin(numbers), pack) for pack, numbers in packs.items()), F.lit("other"))
+
+
 def select_queries(wanted: list[str], available: set[str], exclude: frozenset[str] = EXCLUDED_QUERIES, override: list[str] | None = None) -> list[str]:
     """PL09: in order, without repeats."""
     return [q for q in dict.fromkeys(wanted if override is None else override) if q in available and q not in exclude]

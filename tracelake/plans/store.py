@@ -10,13 +10,14 @@ import sys
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions import normalize as n
 from tracelake.operators import graph as g
 from tracelake.plans import projection
 from tracelake.plans.catalog import HUNTS, PARAMETERS
+from tracelake.plans.planning import pack_of
 from tracelake.plans.projection import dialect, view
 from tracelake.sources.files import shared_folder, write_table
 from tracelake.sources.ledger import Ledger, fingerprint
@@ -51,7 +52,20 @@ class GraphStore:
 
     def save_one(self, name: str, folder: str) -> None:
         df = self[name]
-        write_table(df, folder, *(["hostname"] if "hostname" in df.columns and len(df.columns) > 1 else []))
+        write_table(df, folder, *(c for c in FOLDERS.get(name, ("hostname",)) if c in df.columns and len(df.columns) > 1))
+
+    def only(self, host: str | None = None, packs: frozenset[str] | None = None) -> GraphStore:
+        """The same graph of one host, and of the events of some packs: filters on folders, so that files of others are not read."""
+
+        def table(name: str) -> DataFrame:
+            df = self[name]
+            if host and "hostname" in df.columns:
+                df = df.where(F.col("hostname") == host)
+            if packs is not None and "pack" in df.columns:
+                df = df.where(F.col("pack").isin(sorted(packs)))
+            return df if packs is None or PACK_OF_TABLE.get(name) in (None, *packs) else df.where(F.lit(False))
+
+        return GraphStore(self.spark, table)
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> GraphStore:
@@ -62,8 +76,15 @@ class GraphStore:
 NAMES = ("event", "host", "process", "module", "connected", "spawned", "sysmon_spawned", "modified", "file_event", "logged_in", "dns", "registry", "service", "script", "wmi", "created", "file", "executed", "describes", "described", "media", "usb", "feature", "same_domain", "finding")
 
 
-#: Tables that have a host and more than it: they are stored by host.
-BY_HOST = frozenset(NAMES) - {"host", "spawned", "sysmon_spawned", "modified", "created", "describes", "described", "same_domain", "finding"}
+#: Columns whose values are folders: the host where rows have one (edges have that of their first node), and packs of events.
+FOLDERS: dict[str, tuple[str, ...]] = {name: ("hostname",) for name in NAMES if name not in ("host", "describes", "described", "same_domain", "finding")} | {"event": ("hostname", "pack")}
+#: The pack whose events a table is made of, where it is one pack's.
+PACK_OF_TABLE = {"registry": "sysmon_core", "modified": "sysmon_core", "file_event": "sysmon_core", "dns": "sysmon_core", "created": "sysmon_core", "connected": "sysmon_core", "sysmon_spawned": "sysmon_core", "module": "sysmon_core", "logged_in": "security_auth", "service": "system_services", "script": "powershell", "wmi": "wmi"}
+
+
+def host_of(node: str) -> Column:
+    """The host that a node's id starts with."""
+    return F.split_part(node, F.lit(":"), F.lit(1))
 
 
 class Projected:
@@ -91,7 +112,7 @@ class Projected:
         e = self.view("v_event")
         match name:
             case "event":
-                return g.first_seen(self.view("v_event"))
+                return g.first_seen(self.view("v_event")).withColumn("pack", pack_of(F.col("event_id")))
             case "host":
                 return self.view("v_event").select("hostname").unionByName(self.view("v_catalog").select("hostname")).distinct()
             case "process":
@@ -99,13 +120,13 @@ class Projected:
             case "module":
                 return g._of(e, 7).where("process_guid <> ''").select("hostname", "process_guid", "target_filename").distinct()
             case "connected":
-                return g.sysmon_connected(self.events).withColumn("hostname", F.split_part("src_id", F.lit(":"), F.lit(1)))
+                return g.sysmon_connected(self.events).withColumn("hostname", host_of("src_id"))
             case "spawned":
-                return g.spawned_by_pid(self.processes)
+                return g.spawned_by_pid(self.processes).withColumn("hostname", host_of("src_id"))
             case "sysmon_spawned":
-                return g.sysmon_spawned(e)
+                return g.sysmon_spawned(e).withColumn("hostname", host_of("src_id"))
             case "modified":
-                return g.sysmon_modified(e)
+                return g.sysmon_modified(e).withColumn("hostname", host_of("src_id"))
             case "file_event":
                 return g.file_events(e)
             case "logged_in":
@@ -115,7 +136,7 @@ class Projected:
             case "registry" | "service" | "script" | "wmi":
                 return g.event_edges(e, name)
             case "created":
-                return g.created(e)
+                return g.created(e).withColumn("hostname", host_of("src_id"))
             case "file":
                 return g.tagged(g.catalog_files(self.view("v_catalog")).withColumn("name", F.regexp_extract("path", r"[^\\/]*$", 0)), **CASE)
             case "executed":
@@ -178,7 +199,6 @@ def loaded(spark: SparkSession, sf_dir: str) -> GraphStore:
 
     def table(name: str) -> DataFrame:
         projected_tables = Projected(spark, sf_dir, table)
-        by = ("hostname",) if name in BY_HOST else ()
-        return ledger.read(ledger.load(name, stamp(), lambda: projected_tables.table(name), by, METRICS.get(name)))
+        return ledger.read(ledger.load(name, stamp(), lambda: projected_tables.table(name), FOLDERS.get(name, ()), METRICS.get(name)))
 
     return GraphStore(spark, table)

@@ -177,6 +177,18 @@ class Ledger:
                 self.report.append((table, Status.LOADED.value))
                 return commit
 
+    def update(self, table: str, change: Callable[[DataFrame | None], DataFrame], by: tuple[str, ...] = ()) -> Commit:
+        """Publish what ``change`` makes of the table as it is; if somebody publishes first, make it anew of that."""
+        while True:
+            base = self.current(table)
+            folder, rows, counted, schema = self._written(table, lambda: change(self.read(base) if base else None), by, {})
+            last = self.last(table)
+            commit = Commit(table, (last.version if last else 0) + 1, Status.LOADED.value, uuid.uuid4().hex, folder, rows, counted, schema=schema)
+            if self.current(table) == base and self.publish(commit):
+                self.report.append((table, Status.LOADED.value))
+                return commit
+            self.store.delete(folder)
+
     def _written(self, table: str, build: Callable[[], DataFrame], by: tuple[str, ...], metrics: dict[str, str]) -> tuple[str, int, dict[str, int], str]:
         """Rows in a folder of one attempt; an error that passes is met by another attempt, after twice the wait of the one before."""
         from tracelake.serving import retried

@@ -211,7 +211,7 @@ def load_hosts(spark: SparkSession, hosts: list[Manifest], root: str, tier: str
     A host without a required artifact ends the load before anything is written.
     """
     from tracelake.plans.planning import tier_plan
-    from tracelake.plans.store import METRICS, Projected, graph_code
+    from tracelake.plans.store import FOLDERS, METRICS, Projected, graph_code
 
     plan = tier_plan(tier, case_type, only=only, override=hosts[0].event_profile if len({h.event_profile for h in hosts}) == 1 else "")
     raw = RawTables(spark, hosts, plan.artifacts if only is None else frozenset(only) & artifacts_of("full"), plan.packs, strict)
@@ -233,8 +233,7 @@ def load_hosts(spark: SparkSession, hosts: list[Manifest], root: str, tier: str
 
     def table(name: str) -> DataFrame:
         graph = Projected(spark, "", table, view)
-        by = ("hostname",) if name in {"event", "process", "executed", "file"} else ()
-        return once(name, lambda: graph.table(name), by)
+        return once(name, lambda: graph.table(name), FOLDERS.get(name, ()))
 
     for name in dict.fromkeys(wanted):
         if name not in dict(ledger.report):
