@@ -102,3 +102,25 @@ def test_clashing_columns_and_long_pages(spark):
     page = "<body><article>" + "<p>long line of a page</p>" * 30_000 + "</article></body>"
     df = spark.createDataFrame([(1, "http://h.example/", page, "x", 3)], "page_id long, url string, html string, host string, key long")
     assert [r.n_chars for r in pages.main_text(df).collect()] == [30_000 * len("long line of a page") + 29_999]
+
+
+def words(i, n):
+    return " ".join(f"w{i}x{k}" for k in range(n))
+
+
+def test_titles_leads_and_recurring_headings_stay(spark):
+    inside = lambda i: f"<article><h1>Title {i}</h1><p class=lead>Lead of {i}</p><div class=body><h2>Introduction</h2><p>{words(i, 60 + i)}</p><h2>Conclusion</h2><p>end {i}</p></div></article>"
+    outside = lambda i: f"<div class=page><h1>Title {i}</h1><p class=lead>Lead of {i}</p><div class=body><h2>Introduction</h2><p>{words(i, 60 + i)}</p><h2>Conclusion</h2><p>end {i}</p></div></div><div>Hand made, number {i}</div>"
+    want = [(i, f"Title {i}\nLead of {i}\nIntroduction\n{words(i, 60 + i)}\nConclusion\nend {i}") for i in range(6)]
+    for body in (inside, outside):
+        assert extracted(spark, [(i, f"http://h.example/{i}", f"<html><body>{body(i)}</body></html>") for i in range(6)]) == want
+
+
+def test_places_of_plain_containers_make_the_template(spark):
+    """No tag or name tells menu, advert, article and footer apart, and each differs on every page: the method alone decides."""
+    body = lambda i: f"<div><ul><li><a href=/a>{words(i, 1)}</a></li><li><a href=/b>more {i}</a></li></ul></div><div>Buy {words(100 + i, 4)}</div><div><h1>Story {i}</h1>" + "".join(f"<p>{words(200 + i + 50 * k, 20 + k)}</p>" for k in range(3 + i % 3)) + f"</div><div>&copy; by {words(900 + i, 3)}</div>"
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{body(i)}</body></html>") for i in range(8)]
+    want = [(i, "\n".join([f"Story {i}", *(words(200 + i + 50 * k, 20 + k) for k in range(3 + i % 3))])) for i in range(8)]
+    assert extracted(spark, rows) == want
+    emptied = [(i, pages.article(html, set())) for i, _, html in rows]
+    assert all(len(text) > len(w) for (_, text), (_, w) in zip(emptied, want))  # without classes nothing parts the article from the rest

@@ -1,6 +1,7 @@
 """Operator 6: main text of HTML pages by equivalence classes of template tokens.
 
-1. tokens: every page is cut into the starts and ends of its elements (with the path of open elements, and their class) and
+1. tokens: every page is cut into the starts and ends of its elements (with the path of open elements, their class, and for
+   containers which one of their kind they are in their parent: a menu, an article and a footer may all be plain divs) and
    whole text blocks with their path. For each host, a token's occurrence vector (how often it is on each page) is folded into
    a signature, a sum of hash(page, count), and a support, for which equal pages of a host count once. Both are aggregated
    map-side, so a host with a third of all pages is no hot spot.
@@ -9,11 +10,12 @@
    is the root. A second look at the pages keeps a class only if it is ordered (on every page its tokens come round in one
    order, as often as they occur) and nests (each round lies in one gap of the root's tokens, the same on every page).
    Valid classes, the root with the others in its gaps, are the host's template.
-3. slots: a text block that is in the template is boilerplate, inside articles as well. What is left are slots between template
-   tokens. The host's main element is the deepest one of the root that holds ``MAIN`` of the words in all slots of all pages
-   (links and what is declared to be apart not counted); a page's article is the slots inside of it. Slots outside articles
-   that are mostly links, over all pages, go. Where a host has too few pages for a template, or no such element, the
-   article is what <article> or <main> holds, else all slots.
+3. slots: a text block that is in the template is boilerplate, inside articles as well, but a heading never is. What is left are
+   slots between template tokens. The host's main element is the deepest one of the root that holds ``MAIN`` of the words in all
+   slots of all pages (links and what is declared to be apart not counted). A page's article is the slots in that element, in
+   the <article> it is in or holds, and in its parents below the body up to the farthest that has a heading of its own: titles
+   and leads stand beside the body of an article as often as inside. Slots outside articles that are mostly links, over all
+   pages, go. Where a host has too few pages for a template, or no such element, the article is what <article> or <main> holds, else all slots.
 4. declared: never in the text are what tags, roles or whole class names declare to be menu, header, footer, sidebar, notice,
    advert, form or comments (never a heading or paragraph by its name).
 
@@ -56,6 +58,9 @@ CLASSES = set("ad ads adv advert adverts advertisement advertising adsense banne
 SITE_CLASSES = set("header masthead topbar".split())
 #: Words that may stand beside those of CLASSES in one class name (main-nav, comment-list); with any other it means something else (has-sidebar).
 PLACES = set("site page main global top bottom left right primary secondary user list box block section area wrapper wrap container inner outer item bar link links text form".split())
+#: Elements that stand side by side in different roles, so that their places tell them apart.
+CONTAINERS = set("div section article main aside nav header footer form ul ol dl table fieldset".split())
+HEADINGS = ("/h1", "/h2", "/h3", "/h4", "/h5", "/h6")
 #: Elements that no name drops.
 TEXTUAL = set("html body main p h1 h2 h3 h4 h5 h6".split())
 #: An open element of the key is closed by the start of one of the value.
@@ -88,23 +93,24 @@ def _named(token: str, known: set[str]) -> bool:
     return bool(words & known) and (len(words) == 1 or words <= known | PLACES)
 
 
-Block = tuple[str, str, bool, bool, int, int, tuple[str, ...]]
+Block = tuple[str, str, bool, int, int, int, tuple[str, ...]]
 
 
 def parse(html: str) -> list[str | Block]:
-    """In page order: starts and ends of elements as tokens, and blocks: (path, text, set apart, inside an article, words in
-    links, words, tokens of the open elements)."""
+    """In page order: starts and ends of elements as tokens, and blocks: (path, text, set apart, number of the article that it
+    is in or 0, words in links, words, tokens of the open elements). A container's token says which one of its kind it is in its parent."""
     events: list[str | Block] = []
-    stack: list[tuple[str, bool, bool, str, str]] = []  # name, apart, inside, path, token
+    stack: list[tuple[str, bool, int, str, str, Counter[str]]] = []  # name, apart, inside, path, token, containers in it
     text: list[str] = []
-    linked = total = links = at = 0
+    linked = total = links = at = articles = 0
+    outermost: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked, total
         if text:
             line = " ".join(unescape("".join(text)).split())
             if line:
-                _, apart, inside, path, _ = stack[-1] if stack else ("", False, False, "", "")
+                _, apart, inside, path, _, _ = stack[-1] if stack else ("", False, 0, "", "", outermost)
                 events.append((path, line, apart, inside, linked, total, tuple(x[4] for x in stack)))
             text.clear()
         linked = total = 0
@@ -150,16 +156,22 @@ def parse(html: str) -> list[str | Block]:
             flush()
         elif tag in ("br", "td", "th", "option"):
             text.append(" ")
-        _, above, inside, path, _ = stack[-1] if stack else ("", False, False, "", "")
-        apart = above or _apart(tag, m[3], inside)
+        _, above, inside, path, within, siblings = stack[-1] if stack else ("", False, 0, "", "", outermost)
+        apart = above or _apart(tag, m[3], bool(inside))
         path += "/" + tag
         named = CLASS.search(m[3]) if m[3] else None
-        token = f"{path}.{named[2].lower()}" if named else path
+        token = f"{within}/{tag}.{named[2].lower()}" if named else f"{within}/{tag}"
+        if tag in CONTAINERS:
+            siblings[token] += 1
+            token = f"{token}[{siblings[token]}]"
         events.append(token)
         if tag in RAW and (end := RAW_END[tag].search(html, at) or (tag in ("script", "style") and re.compile(r"\Z").search(html, at))):
             at = end.end()
         elif tag not in VOID and tag not in RAW:
-            stack.append((tag, apart, inside or tag in ("article", "main") or 'role="main"' in m[3], path, token))
+            if not inside and (tag in ("article", "main") or 'role="main"' in m[3]):
+                articles += 1
+                inside = articles
+            stack.append((tag, apart, inside, path, token, Counter()))
             links += tag == "a"
     flush()
     return events
@@ -235,8 +247,9 @@ def host_of(url: Column) -> Column:
 
 def _classes(rows: DataFrame) -> DataFrame:
     """(host, classes array<struct<token, class>>, root): frequent and large classes, and the largest that is once on a page."""
-    copies = rows.groupBy("host", "key").agg(F.count("*").alias("copies")).where("copies > 1")
-    rows = rows.join(copies, ["host", "key"], "left").select("host", "html", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"))
+    copies = materialize(rows.groupBy("host", "key").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    few = copies.count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(copies) if few else copies, ["host", "key"], "left").select("host", "html", (F.lit(1.0) / F.coalesce("copies", F.lit(1))).alias("w"))
     seen = rows.mapInArrow(_tokens, "host string, page long, w double, token long, n long")
     vectors = seen.groupBy("host", "token").agg(F.round(F.sum("w"), 6).alias("support"), F.sum(F.shiftright(F.xxhash64("page", "n"), 31)).alias("class"), F.max("n").alias("most"))
     vectors = materialize(vectors.where(F.col("support") >= LEAST_PAGES), "vectors")
@@ -247,7 +260,7 @@ def _classes(rows: DataFrame) -> DataFrame:
     roots = large.groupBy("host").agg(F.max(once).getField("class").alias("root"))
     found = frequent.join(large.select("host", "class", "support"), ["host", "class", "support"], "left_semi").groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("classes"))
     found = materialize(found.join(roots, "host"), "classes")
-    discard(vectors)
+    discard(vectors, copies)
     return found
 
 
@@ -303,25 +316,26 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def article(html: str, template: set[int], marks: set[int] = frozenset(), links: set[int] = frozenset(), inner: set[int] = frozenset()) -> str:
     """marks: tokens that part slots; links: those before slots of links; inner: tokens of the elements that hold most of the
-    host's words; the deepest one on the page bounds the article."""
-    events = parse(html)
-    kept, before, deepest = [], 0, 0
-    for e in events:
-        if isinstance(e, str):
-            t = _hash(e)
-            before = t if t in marks else before
-            continue
-        t = _hash(e[0], e[1])
-        if t in marks:
-            before = t
-        if t not in template and not e[2]:
-            depth = max((k for k, x in enumerate(e[6], 1) if _hash(x) in inner), default=0) if inner else 0
-            deepest = max(deepest, depth)
-            kept.append((e, depth, before in links))
-    tagged = any(e[3] for e, _, _ in kept)
-    if deepest:
-        return "\n".join(e[1] for e, depth, of_links in kept if depth == deepest and (e[3] or not of_links))
-    return "\n".join(e[1] for e, _, of_links in kept if e[3] or not tagged and not of_links)
+    host's words. The deepest of them on the page is the article, with the whole <article> that it is in or holds, and with
+    what leads up to it: its parents up to the farthest one, below the body, that has a heading of its own."""
+    kept: list[tuple[Block, bool]] = []
+    before = 0
+    for e in parse(html):
+        t = _hash(e) if isinstance(e, str) else _hash(e[0], e[1])
+        before = t if t in marks else before
+        if not isinstance(e, str) and not e[2] and (t not in template or e[0].endswith(HEADINGS)):
+            kept.append((e, before in links))
+    main = max(((k, e[6][:k]) for e, _ in kept for k, x in enumerate(e[6], 1) if _hash(x) in inner), default=(0, ()))[1] if inner else ()
+    if not main:
+        tagged = any(e[3] for e, _ in kept)
+        return "\n".join(e[1] for e, of_links in kept if e[3] or not tagged and not of_links)
+    whole = {e[3] for e, _ in kept if e[6][: len(main)] == main} - {0}
+    for e, _ in kept:
+        if e[0].endswith(HEADINGS) and e[6][: len(main)] != main:
+            shared = next((k for k, (x, y) in enumerate(zip(e[6], main)) if x != y), min(len(e[6]), len(main)))
+            if shared >= len(e[6]) - 1 and shared > 2:  # its own parent is one of the article's, below html and body
+                main = main[:shared]
+    return "\n".join(e[1] for e, of_links in kept if e[3] in whole or e[6][: len(main)] == main and not (of_links and not e[3]))
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
