@@ -433,6 +433,22 @@ def x02_rescued_lines(spark, sf_dir):
     return raw.RawTables(spark, _raw_hosts(spark, sf_dir), frozenset({"evtx"})).rescued().select("artifact", "hostname", "text")
 
 
+@_query("""SELECT * FROM (SELECT hostname, id, event_id, strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM v_event WHERE channel = 'Sysmon' AND event_id IN (1, 3)
+ AND strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:%M:%SZ') >= (SELECT strftime(min(ts) + (max(ts) - min(ts)) / 4, '%Y-%m-%dT%H:%M:%SZ') FROM events) AND strftime(cast(timestamp AS timestamp), '%Y-%m-%dT%H:%M:%SZ') < (SELECT strftime(min(ts) + (max(ts) - min(ts)) / 2, '%Y-%m-%dT%H:%M:%SZ') FROM events))""")
+def s02_timeline_scan(spark, sf_dir):
+    """The second quarter of the time that events take, of one channel and two ids, scanned from a recorded export."""
+    from tracelake.sources.raw import get
+    from tracelake.sources.timeline import Timeline
+
+    ends = _read(spark, sf_dir, "events").agg(F.unix_micros(F.min(F.col("ts").cast("timestamp"))).alias("a"), F.unix_micros(F.max(F.col("ts").cast("timestamp"))).alias("z"))
+    quarter = ends.select(*(F.date_format(F.timestamp_micros((F.col("a") + (F.col("z") - F.col("a")) / k).cast("long")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name) for k, name in ((4, "since"), (2, "until")))).first()
+    hosts = _raw_hosts(spark, sf_dir)
+    timeline = Timeline(spark, f"{hosts[0].data_dir}-timeline")
+    timeline.record([h.path("evtx") for h in hosts], {h.path("evtx"): h.hostname for h in hosts})
+    found = timeline.scan(["sysmon"], quarter["since"], quarter["until"], [1, 3]).withColumn("record", F.parse_json("text"))
+    return found.select("hostname", F.concat_ws(":", "hostname", get("record_number")).alias("id"), "event_id", "timestamp")
+
+
 # -- statistics, serving, scoring --------------------------------------------------------------------------------------
 
 

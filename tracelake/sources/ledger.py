@@ -152,14 +152,14 @@ class Ledger:
     def publish(self, commit: Commit) -> bool:
         return self.store.publish(f"{self._commits(commit.table)}/{commit.version:08d}.json", json.dumps(asdict(commit)))
 
-    def load(self, table: str, stamp: str, build: Callable[[], DataFrame], by: tuple[str, ...] = (), metrics: dict[str, str] | None = None, force: bool = False) -> Commit:
-        """The current commit if it is of this fingerprint, else a new load. ``by``: columns whose values are folders; ``metrics``: SQL aggregates."""
+    def load(self, table: str, stamp: str, build: Callable[[], DataFrame], by: tuple[str, ...] = (), metrics: dict[str, str] | None = None, force: bool = False, ordered: bool = False) -> Commit:
+        """The current commit if it is of this fingerprint, else a new load. ``by``: columns whose values are folders; ``metrics``: SQL aggregates; ``ordered``: rows are written as they are dealt."""
         held = self.current(table)
         if held and held.fingerprint == stamp and not force:
             self.report.append((table, Status.SKIPPED.value))
             return held
         try:
-            folder, rows, counted, schema = self._written(table, build, by, metrics or {})
+            folder, rows, counted, schema = self._written(table, build, by, metrics or {}, ordered)
         except Exception as error:
             last = self.last(table)
             self.publish(Commit(table, (last.version if last else 0) + 1, Status.FAILED.value, stamp, reason=f"{type(error).__name__}: {error}"[:2000]))
@@ -189,7 +189,7 @@ class Ledger:
                 return commit
             self.store.delete(folder)
 
-    def _written(self, table: str, build: Callable[[], DataFrame], by: tuple[str, ...], metrics: dict[str, str]) -> tuple[str, int, dict[str, int], str]:
+    def _written(self, table: str, build: Callable[[], DataFrame], by: tuple[str, ...], metrics: dict[str, str], ordered: bool = False) -> tuple[str, int, dict[str, int], str]:
         """Rows in a folder of one attempt; an error that passes is met by another attempt, after twice the wait of the one before."""
         from tracelake.serving import retried
 
@@ -202,7 +202,7 @@ class Ledger:
                 df = build()
                 schema = df.schema.json()
                 counts = Observation()
-                if by:  # a folder's rows meet in one task, or in a few where they are many
+                if by and not ordered:  # a folder's rows meet in one task, or in a few where they are many
                     df = self.spark.sql(f"SELECT /*+ REBALANCE({', '.join(by)}) */ * FROM {{df}}", df=df)
                 df = df.observe(counts, F.count(F.lit(1)).alias("rows"), *(F.expr(e).cast("long").alias(k) for k, e in metrics.items()))
                 (df.write.partitionBy(*by) if by else df.write).parquet(folder)
