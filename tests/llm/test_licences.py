@@ -37,24 +37,31 @@ def truth(files, notices):
     idf = lambda t: math.log(1 + len(files) / df[t]) if df[t] else math.log(1 + len(files))
     vector = lambda text: {t: (1 + math.log(n)) * idf(t) for t, n in Counter(terms(text)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    known = [(name, vector(text)) for name, text in notices]
+    known = [(name, vector(text), i >= len(licences.NOTICES)) for i, (name, text) in enumerate(notices)]
+    says_no = lambda words: bool(set(words) & set(licences.NEGATIONS))
+
+    def stands(t, words, no):
+        return (not no or says_no(t)) and (len(t) > licences.SHORT or "copyright" in words or len(set(words)) <= len(t) + licences.OTHERS)
     own, spoken = {}, {}
     for i, path, text in files:
-        lines, found = (text or "").split("\n"), []
-        for name, t in known:
+        lines, found, is_file = (text or "").split("\n"), [], False
+        for name, t, is_text in known:
+            weight = -round(norm(t), 6)
             for k, unit in [(0, text or ""), *((1, x) for x in lines)]:
                 v = vector(unit)
                 score = sum(x * t.get(w, 0) for w, x in v.items()) / (norm(v) * norm(t)) if v else 0
-                if score >= licences.LEAST_COSINE:
-                    found.append((-round(score, 9), k, name))
-            for n in range(len(lines)):
-                here = set(terms(" ".join(lines[max(0, n - 1) : n + 3])))
+                if score >= licences.LEAST_COSINE and (stands(t, v, says_no(v)) or k == 0 and is_text):
+                    found.append((-round(score, 9), weight, k, name))
+                    is_file |= k == 0 and (is_text or round(score, 9) >= licences.NOTHING_ELSE)
+            windows = [(lines[max(0, n - 1) : n + 3], lines[max(0, n - 1) : n + 2]) for n in range(len(lines))]
+            for block, near in [*windows, (lines[: licences.HEAD], lines[: licences.HEAD])]:
+                here = set(terms(" ".join(block)))
                 score = sum(x * x for w, x in t.items() if w in here) / norm(t) ** 2
-                if score >= licences.LEAST_HELD:
-                    found.append((-round(score, 9), 2, name))
+                if score >= licences.LEAST_HELD and stands(t, here, says_no(terms(" ".join(near)))):
+                    found.append((-round(score, 9), weight, 2, name))
         if found:
-            own[i] = min(found)[2]
-            if path and (min(k for _, k, _ in found) == 0 or re.search(licences.FILE_NAME, path)):
+            own[i] = min(found)[3]
+            if path and (is_file or re.search(licences.FILE_NAME, path)):
                 at = path.rpartition("/")[0]
                 spoken[at] = min(spoken.get(at, (1,)), (min(found)[0], path, own[i]))
     out = {}
@@ -98,6 +105,24 @@ def test_wrapped_licence_files_are_recognised(spark):
     assert all(got[i] == got[10 + i] == name for i, (name, _) in enumerate(files)) and not any(got[100 + i] for i in range(40))
 
 
+LGPL = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n"
+ISC = "ISC License\n\nCopyright (c) 2019, A. Person\n\n" + textwrap.fill(licences.TEXTS[[n for n, _ in licences.TEXTS].index("ISC")][1], 72)
+
+
+def test_near_relatives_and_prose(spark):
+    header = lambda what, kind, v, n: "\n".join("# " + x for x in textwrap.fill(f"Copyright 2020 A. Person. This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version.", n).split("\n"))
+    texts = [("LGPL-2.1", LGPL), ("LGPL-2.1", LGPL + "\n" + PROSE * 30), ("ISC", ISC)]
+    texts += [(name, header(what, kind, v, n) + "\n\nimport x\n" + PROSE * 9) for n in (40, 60, 79) for name, what, kind, v in (("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3"))]
+    texts += [(name, f"// SPDX-License-Identifier: {spdx}\n{PROSE}") for name, spdx in (("MIT", "MIT"), ("GPL-2.0", "GPL-2.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("ISC", "ISC"), ("MPL-2.0", "MPL-2.0"))]
+    prose = ["All rights reserved for the band", "Of these many were not released under the MIT license.", "It was never licensed under the Apache License, Version 2.0.", "They had all rights reserved in their hearts, and the seats as well.", PROSE + "The songs were\nnot released under the MIT License."]
+    rows = [(i, f"p{i}/LICENSE" if name == "ISC" and "Copyright" in t else f"p{i}/x.py", t) for i, (name, t) in enumerate(texts)] + [(100 + i, f"q{i}/x.txt", t) for i, t in enumerate(prose)]
+    rows += [(200, "p2/src/y.py", "print()"), (201, "p1/y.py", "print()")] + [(300 + i, f"r/{i}", PROSE * 3 + f"word{i}") for i in range(60)]
+    got = {r.doc_id: (r.licence, r.how) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), licences.templates(spark)).collect()}
+    wrong = [(t[:60], got[i], name) for i, (name, t) in enumerate(texts) if got[i] != (name, "own")] + [(t, got[100 + i]) for i, t in enumerate(prose) if got[100 + i] != (None, None)]
+    assert not wrong
+    assert got[200] == ("ISC", "inherited") and got[201] == (None, None)  # a header speaks for its file only
+
+
 def test_defined_cases(spark):
     mit = "Released under the MIT License."
     rows = [(1, "a/x", mit, "c"), (1, "a/x", mit, "c"), (1, "a/y", PROSE, "c"), (2, "b/z", PROSE * 20_000 + "\n" + mit, "c"), (3, "b/w", "", "c"), (None, "b/v", mit, "c")]

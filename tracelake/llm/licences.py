@@ -3,9 +3,13 @@
 1. document frequencies: how many files hold a term, over the whole texts of all files (combined map-side);
 2. templates of notices, headers and licence texts become sparse TF-IDF vectors, unit by unit of a file:
    - every line, by cosine: a line that is a notice;
-   - every window of four lines (one before, two after), by the share of a template's squared weight that it holds: names, years,
-     other sentences of the line and wrapping take nothing from that, so that headers and inline notices are found;
-   - the whole file, by cosine: a licence file;
+   - every window of four lines (one before, two after), and the file's head of ``HEAD`` lines, by the share of a template's
+     squared weight that they hold: names, years, other sentences and wrapping take nothing from that, so that headers and
+     inline notices are found;
+   - the whole file, by cosine: a licence file, if the template is the text of a licence, or the file nothing but the notice;
+   A unit that says "not" where the template does not is prose about a licence, and three words of a notice among many others
+   are prose as well, unless a copyright stands beside them. Of templates with one score the heavier wins: a header of the lesser
+   licence holds all words of the greater one's, and its own besides;
 3. inheritance: a licence file, by its vector or its name, speaks for its directory; files below it that name no licence
    themselves take that of the nearest ancestor directory, by joining ancestors' paths.
 
@@ -19,7 +23,7 @@ that a directory with a third of all files is one row until its files meet the a
 
 Defined cases: null text is an empty text (no licence of its own); a null path has no ancestors; a null id stays null and
 neither gives nor takes a licence; repeated rows get the same answer, rows with one id and another text one each; empty
-tables give an empty result; other columns are ignored. Among licences of one file the best score wins, then the first name.
+tables give an empty result; other columns are ignored. Among licences of one file the best score wins, then the heavier template, then the first name.
 """
 
 from __future__ import annotations
@@ -35,8 +39,16 @@ LEAST_COSINE = 0.6
 LEAST_HELD = 0.9
 BROADCAST_ROWS = 100_000
 FILE_NAME = r"(?i)(^|/)(licen[cs]e|copying|copyright|unlicense|notice)[^/]*$"
+# Terms that turn a notice into its opposite, unless it has them itself.
+NEGATIONS = ["not", "never", "isn't", "wasn't", "weren't", "aren't", "cannot", "neither", "nor"]
+#: Notices of so few terms say nothing among many others, unless a copyright stands beside them; so many others are let pass.
+SHORT, OTHERS = 3, 2
+#: Cosine from which a file says nothing but a notice.
+NOTHING_ELSE = 0.99
+#: Lines of a file's head.
+HEAD = 20
 # Notices by licence.
-TEMPLATES = [
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license. See LICENSE for details."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -58,12 +70,41 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying is prohibited."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("AGPL-3.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+]
+# Texts of licences, or their heads; a file near one of them is a licence file, and speaks for its directory.
+TEXTS = [
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 Copyright (C) 1991, 1999 Free Software Foundation, Inc."),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
@@ -75,9 +116,17 @@ TEMPLATES = [
 ]
 
 
-def templates(spark: SparkSession, notices: list[tuple[str, str]] | None = None) -> DataFrame:
-    rows = [(i, a, b) for i, (a, b) in enumerate(TEMPLATES if notices is None else notices)]
-    return spark.createDataFrame(rows, "template int, licence string, notice string")
+TEMPLATES = NOTICES + TEXTS
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    """(template, licence, notice, is_text)"""
+    rows = [(i, a, b, i >= len(NOTICES)) for i, (a, b) in enumerate(TEMPLATES)]
+    return spark.createDataFrame(rows, "template int, licence string, notice string, is_text boolean")
+
+
+#: What holds of a whole template.
+OF_TEMPLATE = ["template", "licence", "tnorm", "size", "negated", "is_text"]
 
 
 def _terms(text: F.Column) -> F.Column:
@@ -96,9 +145,11 @@ def weighed(rows: DataFrame, notices: DataFrame) -> tuple[DataFrame, DataFrame]:
     of_text = materialize(of_text, "licence-terms")
     n = float(rows.count())
     idf = of_text.select("term", F.log(F.lit(1.0) + F.lit(n) / F.col("df")).alias("idf"))
-    counts = _counts(notices, ["template", "licence"], _terms(F.col("notice")))
+    terms = _terms(F.col("notice"))
+    notices = notices.select("template", "licence", "is_text", "notice", F.size(F.array_distinct(terms)).alias("size"), _negated(terms).alias("negated"))
+    counts = _counts(notices, ["template", "licence", "is_text", "size", "negated"], terms)
     counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts
-    known = idf.join(counts, "term", "right").select("template", "licence", "term", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0 + n)))).alias("tw"))
+    known = idf.join(counts, "term", "right").select("template", "licence", "is_text", "size", "negated", "term", (F.col("tf") * F.coalesce("idf", F.log(F.lit(1.0 + n)))).alias("tw"))
     whole, rarest = Window.partitionBy("template"), Window.partitionBy("template").orderBy(F.desc("tw"), "term")
     known = known.withColumn("tnorm", F.sqrt(F.sum(F.col("tw") * F.col("tw")).over(whole)))
     before = F.sum(F.col("tw") * F.col("tw")).over(rarest) - F.col("tw") * F.col("tw")
@@ -106,17 +157,27 @@ def weighed(rows: DataFrame, notices: DataFrame) -> tuple[DataFrame, DataFrame]:
     return idf, materialize(known.withColumn("sign", F.sqrt(F.greatest(left, F.lit(0.0))) >= (LEAST_COSINE - 1e-6) * F.col("tnorm")), "licence-templates")
 
 
+def _negated(terms: F.Column) -> F.Column:
+    return F.arrays_overlap(terms, F.array(*map(F.lit, NEGATIONS)))
+
+
+def _stands(size: F.Column, beside: F.Column, says_no: F.Column) -> F.Column:
+    """Whether a template can be meant: a unit with a negation that the template lacks does not mean it, nor does one of many
+    terms mean a short one, but beside a copyright."""
+    return (~says_no | F.col("negated")) & ((F.col("size") > SHORT) | beside | (size <= F.col("size") + OTHERS))
+
+
 def _cosines(units: DataFrame, keys: list[str], idf: DataFrame, known: DataFrame) -> DataFrame:
-    """(keys, licence, score) of units(keys, terms) and the templates near them."""
+    """(keys, of the template, score) of units(keys, terms) and the templates near them."""
     vector = _counts(units, keys, F.col("terms")).join(idf, "term").select(*keys, "term", (F.col("tf") * F.col("idf")).alias("w"))
     vector = materialize(vector, "licence-vectors")
     norms = vector.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = vector.join(known, "term").groupBy(*keys, "template", "licence").agg((F.sum(F.col("w") * F.col("tw")) / F.first("tnorm")).alias("dot"))
-    return dots.join(norms.hint("merge"), keys).select(*keys, "licence", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= LEAST_COSINE)
+    dots = vector.join(known, "term").groupBy(*keys, *OF_TEMPLATE).agg((F.sum(F.col("w") * F.col("tw")) / F.col("tnorm")).alias("dot"))
+    return dots.join(norms.hint("merge"), keys).select(*keys, *OF_TEMPLATE, F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= LEAST_COSINE)
 
 
 def scan(files: DataFrame, notices: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """files(id, path, text), notices(template, licence, notice) -> (doc_id, path, licence, score, how, licence_path).
+    """files(id, path, text), notices(template, licence, notice, is_text) -> (doc_id, path, licence, score, how, licence_path).
 
     how: "own", "inherited" or null; licence_path: the file that states the licence.
     """
@@ -130,18 +191,28 @@ def scan(files: DataFrame, notices: DataFrame, id_col: str = "doc_id", path_col:
     told = rows.where("doc_id is not null").where(F.lower("body").rlike(sign)).select("rid", F.split(F.lower("body"), "\n").alias("all"), _terms(F.col("body")).alias("terms"))
     told = told.withColumn("hits", F.transform("all", lambda x: x.rlike(sign)))
     wide = lambda i, of: F.slice(of, F.greatest(i, F.lit(1)), F.when(i > 0, 4).otherwise(3))
-    unit = lambda x, i: F.struct(i.alias("nth"), _terms(x).alias("terms"), F.array_distinct(_terms(F.array_join(wide(i, "all"), " "))).alias("wide"))
+    said = lambda i: F.array_join(F.slice(F.col("all"), F.greatest(i, F.lit(1)), F.when(i > 0, 3).otherwise(2)), " ")  # noqa: E731  a line and its neighbours
+    unit = lambda x, i: F.struct(i.alias("nth"), _terms(x).alias("terms"), F.array_distinct(_terms(F.array_join(wide(i, "all"), " "))).alias("wide"), _negated(_terms(said(i))).alias("says_no"))
+    head = F.array_distinct(_terms(F.array_join(F.slice("all", 1, HEAD), " ")))
     windows = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains(wide(i, "hits"), True), unit(x, i))), lambda x: x.isNotNull())
-    told = materialize(told.select("rid", "terms", windows.alias("lines")).dropDuplicates(["rid"]), "licence-files")
+    told = materialize(told.select("rid", "terms", head.alias("head"), windows.alias("lines")).dropDuplicates(["rid"]), "licence-files")
     lines = told.select("rid", F.explode("lines").alias("l")).select("rid", "l.*")
-
-    by_line = _cosines(lines.select("rid", "nth", "terms"), ["rid", "nth"], idf, known).select("rid", "licence", "score")
-    around = lines.select("rid", "nth", F.explode("wide").alias("term")).join(known, "term")
-    held = around.groupBy("rid", "nth", "template", "licence").agg(F.round(F.sum(F.col("tw") * F.col("tw")) / F.first(F.col("tnorm") * F.col("tnorm")), 9).alias("score"))
-    held = held.where(F.col("score") >= LEAST_HELD).select("rid", "licence", "score")
-    whole = _cosines(told.select("rid", "terms"), ["rid"], idf, known)
-    named = by_line.withColumn("kind", F.lit(1)).unionByName(held.withColumn("kind", F.lit(2))).unionByName(whole.withColumn("kind", F.lit(0)))
-    own = named.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("minus"), "kind", "licence")).alias("b"), (F.min("kind") == 0).alias("is_file"))
+    # what stands is judged by the unit: a line, a window or a head of lines, a file
+    about = lambda terms, says_no: (F.size(F.array_distinct(terms)).alias("n_terms"), F.array_contains(terms, "copyright").alias("beside"), says_no.alias("says_no"))
+    facts = ["n_terms", "beside", "says_no"]
+    meant = _stands(F.col("n_terms"), F.col("beside"), F.col("says_no"))
+
+    by_line = _cosines(lines.select("rid", "nth", "terms", *about(F.col("terms"), _negated(F.col("terms")))), ["rid", "nth", *facts], idf, known).where(meant)
+    units = lines.select("rid", "nth", F.col("wide").alias("of"), *about(F.col("wide"), F.col("says_no")))
+    units = units.unionByName(told.select("rid", F.lit(-1).alias("nth"), F.col("head").alias("of"), *about(F.col("head"), _negated(F.col("head")))))
+    around = units.select("rid", "nth", *facts, F.explode("of").alias("term")).join(known, "term")
+    held = around.groupBy("rid", "nth", *facts, *OF_TEMPLATE).agg(F.round(F.sum(F.col("tw") * F.col("tw")) / (F.col("tnorm") * F.col("tnorm")), 9).alias("score"))
+    held = held.where((F.col("score") >= LEAST_HELD) & meant)
+    # the text of a licence may say "not" more often than its template
+    whole = _cosines(told.select("rid", "terms", *about(F.col("terms"), _negated(F.col("terms")))), ["rid", *facts], idf, known).where(meant | F.col("is_text"))
+    by_kind = [df.select("rid", "licence", "score", F.round("tnorm", 6).alias("weight"), F.lit(kind).alias("kind"), is_file.alias("is_file")) for kind, df, is_file in ((0, whole, F.col("is_text") | (F.col("score") >= NOTHING_ELSE)), (1, by_line, F.lit(False)), (2, held, F.lit(False)))]
+    named = by_kind[0].unionByName(by_kind[1]).unionByName(by_kind[2])
+    own = named.groupBy("rid").agg(F.min(F.struct((-F.col("score")).alias("minus"), (-F.col("weight")).alias("lighter"), "kind", "licence")).alias("b"), F.max("is_file").alias("is_file"))
     own = materialize(own.select("rid", F.col("b.licence").alias("own"), (-F.col("b.minus")).alias("own_score"), "is_file"), "licences")
 
     given = rows.select("rid", "doc_id", "path").join(own.hint("merge"), "rid", "left")
