@@ -2,7 +2,7 @@
 
 Thousands of seeds are neither one predicate each nor a nested loop: every seed is looked up by the three-character gram of it that the
 fewest paths hold, an equi-join on that gram finds the candidates, and a semi-join condition verifies them. A seed with a gram
-that no path holds is gone before the join. Grams are counted once, combined map-side; only grams of seeds are counted.
+that no path holds is gone before the join. Grams of paths are counted once, combined by each task before they are dealt.
 
 A path matches a seed of three characters or more that it contains, in any case, or whose last component it ends with; back and forward
 slashes of a path are alike. A seed that ends in a separator has no last component and must be contained.
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM, LEAST = 3, 3
+GRAM, LEAST, SALTS = 3, 3, 16
 #: Stands behind a path and behind a last component, so that "ends with" is "contains"; long enough to give any component a gram.
 END = "\u0003\u0003"
 
@@ -39,9 +39,11 @@ def matching(files: DataFrame, column: str, seeds: DataFrame, by: tuple[str, ...
     path = F.concat(F.lower(F.replace(F.col(column), F.lit("/"), F.lit("\\"))), F.lit(END))
     paths = files.where(F.col(column).isNotNull()).select(*by, F.col(column).alias("_raw"), path.alias("_path"))
     wanted = seeds.select(*by, F.explode(needles(F.col("seed"))).alias("_needle")).distinct()
-    held = wanted.select(*by, "_needle", F.explode(grams(F.col("_needle"))).alias("_gram"))
-    seen = paths.select(*by, F.explode(grams(F.col("_path"))).alias("_gram")).join(held.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_n"))
-    counted = held.join(seen, keys, "left").groupBy(*by, "_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rarest"))
+    # thousands of seeds share a gram: each gram's count is dealt to ``SALTS`` places, and a seed asks one of them
+    held = wanted.select(*by, "_needle", F.pmod(F.xxhash64("_needle"), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(grams(F.col("_needle"))).alias("_gram"))
+    seen = paths.select(*by, F.explode(grams(F.col("_path"))).alias("_gram")).groupBy(*keys).agg(F.count("*").alias("_n"))
+    dealt = seen.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = held.join(dealt, [*keys, "_salt"], "left").groupBy(*by, "_needle").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_gram").alias("gram"))).alias("_rarest"))
     asked = counted.where("_rarest.n > 0").select(*(F.col(k).alias(f"_seed_{k}") for k in by), "_needle", F.col("_rarest.gram").alias("_by"))
     told = paths.select("*", F.explode(grams(F.col("_path"))).alias("_gram"))
     same = F.col("_gram") == F.col("_by")
