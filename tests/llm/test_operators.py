@@ -461,6 +461,17 @@ def test_templates_equal_brute_force_and_find_other_parameters(spark):
     assert len(got & planted) >= 0.95 * len(planted) and not {d for d, _ in got} & {100 + i for i in range(60)}
 
 
+def test_templates_in_capitals_and_titles(spark):
+    item = "A train leaves the old station of the town at 9 with 60 people and meets Anna after sixty minutes on the long bridge near the river"
+    other = item.replace("60", "75").replace("9", "4")
+    prose = "Nothing of the kind is written here but many other plain words that go on and on for a good while"
+    texts = [item.upper(), other.title(), f"BREAKING NEWS. {other.upper()} SO THEY SAY.", prose.upper(), f"ALL OF THIS IS WRITTEN IN LARGE LETTERS. {item}", item.upper()]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "SOME ITEM THAT STANDS IN LARGE LETTERS ALONE AND HOLDS NO SMALL ONE AT ALL")], "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id, r.verbatim) for r in templates.leaks(df, bench).collect())
+    assert got == Counter({(0, 1, True): 1, (1, 1, False): 1, (2, 1, False): 1, (4, 1, True): 1, (5, 1, True): 1})
+
+
 def test_templates_of_long_texts(spark):
     item = "the quick brown fox jumps over the lazy dog and runs home to the small red house"
     df = spark.createDataFrame([(1, "many other words stand here " * 40_000 + item, "x")], "doc_id long, text string, rid string")
@@ -469,10 +480,14 @@ def test_templates_of_long_texts(spark):
 
 def test_templates_without_broadcast(spark):
     item = "the quick brown fox jumps over the lazy dog and runs home to the small red house"
-    df = spark.createDataFrame([(1, f"well {item} indeed"), (2, "nothing of the kind here at all in this one text")], "doc_id long, text string")
-    bound, templates.BROADCAST_ROWS = templates.BROADCAST_ROWS, 0
+    texts = [f"well {item} indeed", "nothing of the kind here at all in this one text", item.upper(), f"{item} and then {item.replace('small', 'big')}", None, item]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(5, item), (None, item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, item + " by 12 at night"), (None, item)], "item_id long, text string")
+    found = lambda: Counter(map(tuple, templates.leaks(df, bench).collect()))
+    broadcast, bound = found(), templates.BROADCAST_ROWS
+    templates.BROADCAST_ROWS = 0
     try:
-        assert [r.doc_id for r in templates.leaks(df, df.sparkSession.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [1]
+        assert found() == broadcast and {r[0] for r in broadcast} == {0, 2, 3, 5, None}
     finally:
         templates.BROADCAST_ROWS = bound
 

@@ -9,9 +9,14 @@ enough stretch of it), and if its slots are consistent: going by places of the i
 places of the same value are, and holds the value that most places of the same filling hold; the lesser share must reach
 ``CONSISTENT``. Filling every slot with the item's own values is a verbatim copy.
 
-The benchmark's windows are broadcast only if they are fewer than ``BROADCAST_ROWS``; a larger benchmark is joined by
-shuffle. A window with few words besides its slots says little about a text: an item's windows count if they hold
-``LITERALS`` such words, or as many as the best of its windows does.
+Where a text has a run of ``window`` capitalised words (a title, or all in capitals) capitals tell no names: such a text is
+read a second time in lower case (``form`` 1), against the items in lower case. A document and an item that have alignments in
+both forms are reported by the first.
+
+The benchmark's windows are broadcast only if they are fewer than ``BROADCAST_ROWS``. A larger benchmark is joined by
+shuffle: of documents only ids, places and hashes are dealt, with ``SALTS`` salts against passages that very many share,
+and the words of a hit come from the documents that have one. A window with few words besides its slots says little about a
+text: an item's windows count if they hold ``LITERALS`` such words, or as many as the best of its windows does.
 
 Defined cases: null text is an empty text; texts and items under ``window`` words have no window and so no hit, nor have
 items of nothing but slots; null ids of documents stay null, items without an id are left out; repeated rows share their
@@ -35,6 +40,8 @@ SHARE, STRETCH = 0.5, 12
 DRIFT, CONSISTENT = 3, 0.5
 #: Windows of a benchmark that are still broadcast: rows of about 100 bytes, so 20 MB at most.
 BROADCAST_ROWS = 200_000
+#: Parts of a window's documents where the benchmark is not broadcast.
+SALTS = 16
 NAME, NUMBER, UNIT, JOINED = "\u0001", "\u0002", "\u0003", "\u0004"
 # Units and number words that become slots.
 UNITS = "mm|cm|m|km|g|kg|t|l|ml|s|sec|min|h|hr|hrs|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|mile|miles|foot|feet|inch|inches|pound|pounds|dollar|dollars|euro|euros|cent|cents|usd|eur|percent|degrees|meter|meters|metre|metres|liter|liters|litre|litres|gram|grams"
@@ -59,7 +66,7 @@ def _words(text: Column) -> Column:
 
 
 def _windows(df: DataFrame, window: int) -> DataFrame:
-    """Adds filled (marked words), shape (template words) and hashes (one for each window).
+    """Adds filled (marked words), shape (template words) and hashes (one for each window, of one form).
 
     Explode hashes with posexplode_outer only: the inner form adds a filter on its size, for which the optimizer would
     write the whole expression of ``shape`` into the lambda, once for each word.
@@ -67,27 +74,48 @@ def _windows(df: DataFrame, window: int) -> DataFrame:
     df = marked(df).withColumn("filled", _words(F.col("body")))
     df = df.withColumn("shape", _words(F.lower(F.regexp_replace("body", rf"([{NAME}{NUMBER}{UNIT}])[^\s]*", "$1"))))
     at = lambda i, k: F.get("shape", i + k)
-    hashes = F.transform(F.slice("shape", 1, F.greatest(F.size("shape") - (window - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *(at(i, k) for k in range(1, window))))
+    hashes = F.transform(F.slice("shape", 1, F.greatest(F.size("shape") - (window - 1), F.lit(0))), lambda w, i: F.xxhash64("form", w, *(at(i, k) for k in range(1, window))))
     return df.withColumn("hashes", hashes)
 
 
+def _forms(df: DataFrame, window: int, every: bool = False) -> DataFrame:
+    """Rows as they are (form 0), and again in lower case (form 1): those with a run of capitalised words, or every row."""
+    run = F.col("body").rlike(rf"(?:(?<!\S)[^\p{{Ll}}\s]\S*+\s++){{{window - 1}}}[^\p{{Ll}}\s]")
+    own, lower = F.struct(F.lit(0).alias("form"), F.col("body")), F.struct(F.lit(1).alias("form"), F.lower("body").alias("body"))
+    forms = F.array(own, lower) if every else F.when(run, F.array(own, lower)).otherwise(F.array(own))
+    return df.select(*(c for c in df.columns if c != "body"), F.explode(forms).alias("f")).select("*", "f.form", "f.body").drop("f")
+
+
 def _literal(word: Column) -> Column:
     return ~(word.startswith(NAME) | word.startswith(NUMBER) | word.startswith(UNIT))
 
 
 def bench_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(h, item_id, j, n_windows, item_words): the item's windows that hold enough literal words, for an item."""
+    """(h, item_id, form, j, n_windows, item_words): the item's windows that hold enough literal words, for an item and form."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("body")).where("item_id is not null")
-    all_of = _windows(items, window).select("item_id", "shape", "filled", F.posexplode_outer("hashes").alias("j", "h"))
+    all_of = _windows(_forms(items, window, every=True), window).select("item_id", "form", "shape", "filled", F.posexplode_outer("hashes").alias("j", "h"))
     told = all_of.where("h is not null").withColumn("said", F.size(F.filter(F.slice("shape", F.col("j") + 1, window), _literal)))
-    told = told.withColumn("most", F.max("said").over(Window.partitionBy("item_id"))).where(F.col("said") >= F.greatest(F.lit(1), F.least(F.lit(literals), F.col("most"))))
-    told = told.select("h", "item_id", "j", F.slice("filled", F.col("j") + 1, window).alias("item_words"))
-    sizes = told.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return told.join(sizes, "item_id").select("h", "item_id", "j", "n_windows", "item_words")
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    told = told.withColumn("most", F.max("said").over(Window.partitionBy("item_id", "form"))).where(F.col("said") >= F.greatest(F.lit(1), F.least(F.lit(literals), F.col("most"))))
+    told = told.select("h", "item_id", "form", "j", F.slice("filled", F.col("j") + 1, window).alias("item_words"))
+    sizes = told.groupBy("item_id", "form").agg(F.count("*").alias("n_windows"))
+    return told.join(sizes, ["item_id", "form"]).select("h", "item_id", "form", "j", "n_windows", "item_words")
+
+
+def _hits(rows: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """(rid, doc_id, item_id, form, diagonal, j, n_windows, item_words, words): windows that rows and items share."""
+    probes = _windows(_forms(rows, window), window)
+    item = ["item_id", "form", "j", "n_windows", "item_words"]
+    if bench.count() <= BROADCAST_ROWS:
+        hits = probes.select("rid", "doc_id", "filled", F.posexplode_outer("hashes").alias("i", "h")).join(F.broadcast(bench), "h")
+    else:
+        dealt = probes.select("rid", F.posexplode_outer("hashes").alias("i", "h")).withColumn("salt", F.pmod("rid", F.lit(SALTS)))
+        salted = bench.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        met = materialize(dealt.join(salted, ["h", "salt"]).select("rid", "i", *item).dropDuplicates(["rid", "form", "i", "item_id", "j"]), "met")
+        wanted = materialize(met.select("rid").distinct(), "wanted")
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        hit = rows.join(wanted, "rid", "left_semi").groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("body").alias("body"))
+        hits = met.join(_windows(_forms(hit, window), window).select("rid", "form", "doc_id", "filled"), ["rid", "form"])
+    return hits.select("rid", "doc_id", *item, (F.col("i") - F.col("j")).alias("diagonal"), F.slice("filled", F.col("i") + 1, window).alias("words"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,15 +124,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: s
     place: the word of the document where the item would start; n_hits: item windows found there; share: of the item's
     windows; n_slots: slots compared; consistent: share of them that agree; verbatim: all of them the item's own.
     """
-    bench = _sized(materialize(bench_windows(benchmark, window), "bench"))
+    bench = materialize(bench_windows(benchmark, window), "bench")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"))
     rows = rows.withColumn("rid", F.xxhash64("doc_id", "body"))
-    probes = _windows(rows, window).select("rid", "doc_id", "filled", F.posexplode_outer("hashes").alias("i", "h"))
-    hits = probes.join(bench, "h").select("rid", "doc_id", "item_id", (F.col("i") - F.col("j")).alias("diagonal"), "j", "n_windows", "item_words", F.slice("filled", F.col("i") + 1, window).alias("words"))
-    hits = materialize(hits.dropDuplicates(["rid", "item_id", "diagonal", "j"]), "hits")
-    by = Window.partitionBy("rid", "item_id").orderBy("diagonal", "j")
+    hits = materialize(_hits(rows, bench, window).dropDuplicates(["rid", "item_id", "form", "diagonal", "j"]), "hits")
+    by = Window.partitionBy("rid", "item_id", "form").orderBy("diagonal", "j")
     hits = hits.withColumn("new", F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > DRIFT, F.lit(True)).cast("int")).withColumn("nth", F.sum("new").over(by))
-    key = ["rid", "item_id", "nth"]
+    key = ["rid", "item_id", "form", "nth"]
     found = hits.groupBy(*key).agg(F.first("doc_id").alias("doc_id"), F.min("diagonal").alias("place"), F.countDistinct("j").alias("n_hits"), F.max("n_windows").alias("n_windows"))
     found = found.where((F.col("n_hits") >= SHARE * F.col("n_windows")) | (F.col("n_hits") >= STRETCH))
     pairs = F.filter(F.transform(F.arrays_zip("item_words", "words"), lambda p, k: F.struct((F.col("j") + k).alias("at"), p["item_words"].alias("own"), p["words"].alias("other"))), lambda p: ~_literal(p["own"]))
@@ -115,4 +141,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: s
     told = most("own").join(most("other").drop("n_slots"), key).join(changed, key)
     told = told.withColumn("consistent", F.least("by_own", "by_other") / F.col("n_slots"))
     out = found.join(told, key, "left").withColumn("consistent", F.coalesce("consistent", F.lit(1.0))).where(F.col("consistent") >= CONSISTENT)
+    out = out.withColumn("least", F.min("form").over(Window.partitionBy("rid", "item_id"))).where("form = least")
     return out.select("doc_id", "item_id", "place", "n_hits", (F.col("n_hits") / F.col("n_windows")).alias("share"), F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"), "consistent", (~F.coalesce("changed", F.lit(False))).alias("verbatim"))
