@@ -67,6 +67,22 @@ def test_buckets_dealt_out_by_set_lose_nothing(spark, monkeypatch):
     assert sorted(((r.doc_id, r.component_id) for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == truth(rows)
 
 
+def test_large_buckets_meet_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK", 2)
+    rows = edited_rows(11)
+    assert sorted(((r.doc_id, r.component_id) for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == truth(rows)
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_cells_hold_every_pair_once(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rows = [(h, node, 20, 0, node % 4) for h in range(3) for node in range(h, 14)] + [(9, node, 20, 0, 1) for node in range(5)]
+    cells = similar._cells(spark.createDataFrame(rows, "h long, node long, n int, place int, root long"))
+    got = [tuple(r) for r in cells.repartition(3, "h", "cell").sortWithinPartitions("h", "cell", "node").mapInArrow(similar._all_pairs, similar.PAIR).collect()]
+    want = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]]
+    assert sorted(got) == sorted(want)
+
+
 def test_buckets_are_streamed_whole():
     rnd = random.Random(3)
     rows = sorted((rnd.randrange(12), rnd.randrange(2), rnd.randrange(25), 9, 1) for _ in range(160))

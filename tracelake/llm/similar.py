@@ -10,7 +10,7 @@ narrow threshold finds them all); it links the closest texts first, and a prefix
    n - ceil(0.8 n) + 1. Rows of these prefixes meet by shingle; buckets of common shingles are dealt out by set as well.
 3. Candidates are the SimHash links of ``TAU`` bits or fewer (``simhash.links``), and of each bucket its smallest set with
    the others; then, over the components that these leave, all pairs of different components in one bucket whose sizes and
-   places allow 0.8.
+   places allow 0.8. A bucket of over ``BLOCK`` sets is dealt into parts, and two parts at a time meet in a task.
 4. A candidate is dropped if the bitmaps rule it out: a bit that only one has is a shingle that only one has. What is left is
    checked on the sets, which are spelled out for those texts alone.
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import discard, materialize, mix, release_shuffles, runs, scaled_partitions, slices, texts
+from tracelake.llm.common import discard, materialize, mix, release_shuffles, scaled_partitions, slices, texts
 from tracelake.llm.components import components
 from tracelake.llm.simhash import SEED, links
 from tracelake.llm.substrings import WordHashes, window_hashes
@@ -40,6 +40,8 @@ SHINGLE, TAU = 5, 3
 CELLS, HOT = 1 << 16, 200_000
 #: Bits of a bitmap for each shingle, at least.
 LOAD = 4
+#: Sets of a bucket that meet in one cell, about.
+BLOCK = 4096
 #: Ids that are still broadcast: 8 bytes each.
 BROADCAST_IDS = 500_000
 PAIR = "a long, b long"
@@ -187,19 +189,32 @@ def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _cells(rooted: DataFrame) -> DataFrame:
+    """Rows of buckets with different roots, those of a large bucket dealt into parts of about ``BLOCK``: two parts meet in one cell.
+
+    Every pair of a bucket is in exactly one cell as a pair of its two parts, or in one cell of a part with itself (``alone``).
+    """
+    apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("parts")).where("lo <> hi").select("h", "parts")
+    rows = rooted.join(apart, "h").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cell = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    return rows.select("h", cell.alias("cell"), (F.col("part") == F.col("other")).alias("alone"), "part", "node", "n", "place", "root")
+
+
 def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of buckets, sorted by h, the pairs of different roots."""
+    """Of cells, sorted by h and cell, the pairs of different roots (and, of two parts, of different parts)."""
 
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, node, n, place, root = columns
+        h, cell, alone, part, node, n, place, root = columns
         n, place = n.astype(np.int64), place.astype(np.int64)
         a, b, held = [], [], 0
-        for s, e in zip(runs(h).tolist(), np.r_[runs(h)[1:], len(h)].tolist()):
+        starts = _cell_starts(h, cell)
+        for s, e in zip(starts.tolist(), np.r_[starts[1:], len(h)].tolist()):
             if (root[s:e] == root[s]).all():
                 continue
             for x in range(s, e):
                 y = np.arange(x + 1, e)
-                y = y[root[y] != root[x]]
+                y = y[(root[y] != root[x]) & (alone[x] | (part[y] != part[x]))]
                 y = y[9 * np.minimum(n[x] - place[x], n[y] - place[y]) >= 4 * (n[x] + n[y])]
                 if len(y):
                     a.append(np.minimum(node[x], node[y]))
@@ -218,7 +233,7 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now = [np.concatenate(x) for x in zip(held, now)]
         if not len(now[0]):
             continue
-        cut = runs(now[0])[-1]
+        cut = _cell_starts(now[0], now[1])[-1]
         held = [x[cut:] for x in now]
         if cut:
             yield from found([x[:cut] for x in now])
@@ -226,6 +241,10 @@ def _all_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from found(held)
 
 
+def _cell_starts(h: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])
+
+
 def _by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = [may_be_alike(*x) for x in zip(*(b.column(c).to_pylist() for c in ("n", "left", "m", "right")))]
@@ -293,8 +312,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", tex
     roots = materialize(components(found), "roots")
     rooted = buckets.select("h", "node", "n", "place").join(roots, "node", "left").select("h", "node", "n", "place", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted")
-    apart = rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    more = rooted.join(apart, "h", "left_semi").repartition(parts, "h").sortWithinPartitions("h", "node").mapInArrow(_all_pairs, PAIR)
+    more = _cells(rooted).repartition(parts, "h", "cell").sortWithinPartitions("h", "cell", "node").mapInArrow(_all_pairs, PAIR)
     discard(pairs)
     pairs = materialize(more.distinct(), "candidates")
     discard(buckets, rooted, roots)
