@@ -213,12 +213,12 @@ def least_determinants(points: DataFrame, steps: int = STEPS) -> DataFrame:
 def _named(distinct: DataFrame, least: int) -> DataFrame:
     """(lang, source, grp, feeds): the group that judges a language and source, and the groups its vectors count in."""
     sizes = distinct.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    by_lang, every = Window.partitionBy("lang"), Window.partitionBy(F.lit(0))
+    by_lang = Window.partitionBy("lang")
     sizes = sizes.withColumn("of_lang", F.sum("n").over(by_lang))
     own, lang = F.concat(F.lit("s:"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("l:"), F.to_json(F.struct("lang")))
     sizes = sizes.withColumn("grp", F.when(F.col("n") >= least, own).when(F.col("of_lang") >= least, lang).otherwise("all"))
-    wanted = lambda name, over: F.when(F.max((F.col("grp") == name).cast("int")).over(over) == 1, name)
-    sizes = sizes.withColumn("lang_name", lang).withColumn("in_lang", wanted(F.col("lang_name"), by_lang)).withColumn("in_all", wanted(F.lit("all"), every))
+    sizes = sizes.withColumn("lang_name", lang).withColumn("in_lang", F.when(F.max((F.col("grp") == F.col("lang_name")).cast("int")).over(by_lang) == 1, F.col("lang_name")))
+    sizes = sizes.withColumn("in_all", F.lit(None if sizes.where("grp = 'all'").isEmpty() else "all").cast("string"))
     return sizes.select("lang", "source", "grp", F.filter(F.array(F.when(F.col("n") >= least, F.col("grp")), "in_lang", "in_all"), lambda g: g.isNotNull()).alias("feeds"))
 
 
