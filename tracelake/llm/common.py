@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -71,14 +72,24 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker lives on from task to task, and what its allocators keep counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 4 << 20, column: str = "body") -> Iterator[pa.RecordBatch]:
     """Batches of about ``most`` bytes of text: what a worker holds at once as objects. A longer text stands alone, whole."""
     for b in batches:
+        give_back()
         ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < b.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
             yield b.slice(start, stop - start)
+            give_back()
             start = stop
 
 

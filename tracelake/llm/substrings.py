@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import bucket_of, joined_by_id, materialize, merged, mix, pack, release_shuffles, runs, scaled_partitions, slices, texts, unpack
+from tracelake.llm.common import bucket_of, give_back, joined_by_id, materialize, merged, mix, pack, release_shuffles, runs, scaled_partitions, slices, texts, unpack
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words of reference in a shard, and bytes of documents that one task streams past it.
@@ -109,28 +109,39 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, n: int) -> Iterator
     """Kind 0: windows to look up (doc, pos, hash in ``owner``); kind 1: windows whose smaller document is in the block, and that document's."""
     known = WordHashes()
     for ids, bodies in blocks(batches):
-        split = [b.split() for b in bodies]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter((known[w] for ws in split for w in ws), np.uint64, int(sizes.sum()))
-        del split
-        h = window_hashes(words, window)
-        of = np.repeat(np.arange(len(ids)), sizes)
-        inside = np.flatnonzero(of[: len(h)] == of[window - 1 :])
-        h, of = h[inside], of[inside]
-        pos = inside - (np.cumsum(sizes) - sizes)[of]
-        doc = ids[of]
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0]) if len(h) else np.zeros(0, np.int64)
-        lead = np.repeat(order[first], np.diff(np.r_[first, len(h)]))
-        owner_at = np.empty(len(h), np.int64)
-        owner_at[order] = lead
-        here = doc > doc[owner_at]
-        ask, tell = np.flatnonzero(~here), np.flatnonzero(here)
-        if len(ask):
-            # ``owner`` carries the hash, whole; the bucket is its range
-            yield _packed([(k, 0, *v, b"", b"", b"") for k, v in by_bucket((h[ask] % np.uint64(n)).astype(np.int64), doc[ask], pos[ask], h[ask]).items()])
-        if len(tell):
-            yield _packed(_told(doc, pos, tell, owner_at[tell], n))
+        yield from _of_block(ids, bodies, known, window, n)
+        del ids, bodies
+        give_back()
+
+
+def _of_block(ids: np.ndarray, bodies: list[bytes], known: WordHashes, window: int, n: int) -> list[pa.RecordBatch]:
+    words, sizes = [], []
+    for b in bodies:
+        split = b.split()
+        sizes.append(len(split))
+        words.append(np.fromiter((known[w] for w in split), np.uint64, len(split)))
+    sizes, words = np.array(sizes, np.int64), np.concatenate(words)
+    h = window_hashes(words, window)
+    of = np.repeat(np.arange(len(ids)), sizes)
+    inside = np.flatnonzero(of[: len(h)] == of[window - 1 :])
+    h, of = h[inside], of[inside]
+    pos = inside - (np.cumsum(sizes) - sizes)[of]
+    doc = ids[of]
+    del words, of, inside
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0]) if len(h) else np.zeros(0, np.int64)
+    owner_at = np.empty(len(h), np.int64)
+    owner_at[order] = np.repeat(order[first], np.diff(np.r_[first, len(h)]))
+    del order, first
+    here = doc > doc[owner_at]
+    ask, tell = np.flatnonzero(~here), np.flatnonzero(here)
+    out = []
+    if len(ask):
+        # ``owner`` carries the hash, whole; the bucket is its range
+        out.append(_packed([(k, 0, *v, b"", b"", b"") for k, v in by_bucket((h[ask] % np.uint64(n)).astype(np.int64), doc[ask], pos[ask], h[ask]).items()]))
+    if len(tell):
+        out.append(_packed(_told(doc, pos, tell, owner_at[tell], n)))
+    return out
 
 
 def _told(doc: np.ndarray, pos: np.ndarray, at: np.ndarray, lead: np.ndarray, n: int) -> list[tuple]:
@@ -143,6 +154,7 @@ def _told(doc: np.ndarray, pos: np.ndarray, at: np.ndarray, lead: np.ndarray, n:
 
 def _owners(table: pa.Table, n: int) -> pa.Table:
     """Of one range of hashes: kind 1 of all windows that a smaller document holds too."""
+    give_back()
     out = [tuple(row.values()) for row in table.filter(pc.not_equal(table["kind"], 0)).to_pylist()]
     asked = table.filter(pc.equal(table["kind"], 0))
     if asked.num_rows:
@@ -173,6 +185,7 @@ NEED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("words", pa.int64()), *((x, pa
 def _needs(table: pa.Table, window: int) -> pa.Table:
     """One row a document: runs of its windows that it must show as owner (shown, lengths; words in all), and runs that
     others own (starts, sizes, owner)."""
+    give_back()
     read = lambda c: np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in table[c].to_pylist())])
     doc, pos, owner, at = (read(c) for c in ENTRY)
     order = np.lexsort((pos, doc))
@@ -289,6 +302,7 @@ COVER_SCHEMA = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary()), ("end
 
 def _covered(table: pa.Table, window: int) -> pa.Table:
     """Of one shard and its part of the documents: spans found by matching statistics."""
+    give_back()
     automaton, rows = SuffixAutomaton(), []
     for body in table.filter(pc.equal(table["role"], 0))["body"].to_pylist():
         for line in body.split(b"\n"):
