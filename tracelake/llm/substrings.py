@@ -39,6 +39,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SHARD_WORDS, TASK_BYTES = 50_000, 8 << 20
 #: Text of one block of window hashes.
 BLOCK_BYTES = 5 << 20
+#: MB of documents' files for each range of window hashes: about 20 MB of packed windows meet in a task.
+RANGE_MB = 2
 #: Shards whose sizes (two numbers each) are still broadcast.
 BROADCAST_SHARDS = 500_000
 ENTRY = ("doc", "pos", "owner", "at")
@@ -156,20 +158,26 @@ def _owners(table: pa.Table, n: int) -> pa.Table:
     """Of one range of hashes: kind 1 of all windows that a smaller document holds too."""
     give_back()
     out = [tuple(row.values()) for row in table.filter(pc.not_equal(table["kind"], 0)).to_pylist()]
-    asked = table.filter(pc.equal(table["kind"], 0))
+    asked = table.filter(pc.equal(table["kind"], 0)).select(["doc", "pos", "owner"])
+    del table
     if asked.num_rows:
-        doc = np.concatenate([unpack(x) for x in asked["doc"].to_pylist()])
-        pos = np.concatenate([unpack(x) for x in asked["pos"].to_pylist()])
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in asked["owner"].to_pylist()])
+        # hashes first: ids and places are spelled out after the windows that one document alone holds have gone
+        h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in asked["owner"]])
         order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
-        many = np.diff(np.r_[first, len(h)]) > 1
-        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(h)]))
-        order, group = order[many[group]], group[many[group]]
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        size = np.diff(np.r_[first, len(h)])
+        del h, first
+        group = np.repeat(np.arange(len(size)), size)
+        many = (size > 1)[group]
+        order, group = order[many], group[many]
+        del size, many
         if len(order):
-            d, p = doc[order], pos[order]
+            d, p = (np.concatenate([unpack(x.as_buffer()) for x in asked[c]])[order] for c in ("doc", "pos"))
+            del asked, order
             by = np.lexsort((p, d, group))
             d, p, group = d[by], p[by], group[by]
+            del by
             lead = np.flatnonzero(np.r_[True, np.diff(group) != 0])
             lead = np.repeat(lead, np.diff(np.r_[lead, len(group)]))
             at = np.flatnonzero(d > d[lead])
@@ -325,7 +333,7 @@ def covered_spans(docs: DataFrame, window: int = 13, id_col: str = "doc_id", tex
     """(doc_id, starts, ends): packed spans of words to remove; a document may have several rows."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col)
-    n = scaled_partitions(docs.select(text_col), 4)
+    n = scaled_partitions(docs.select(text_col), RANGE_MB)
     packed = rows.mapInArrow(lambda batches: _windows(batches, window, n), PACKED)
     owners = packed.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _owners(t, n), PACKED)
     needs = materialize(owners.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _needs(t, window), NEED), "needs")
