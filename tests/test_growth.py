@@ -1,8 +1,11 @@
 """Work that grows with the input, not with its square or the number of times that a value is named; rare values."""
 
 import duckdb
+import pytest
 
 from tracelake import more_queries
+from tracelake.plans.catalog import BOUNDED, HUNTS
+from tracelake.plans.store import GraphStore
 
 
 def test_a_balance_of_zero_stays_zero(spark, tmp_path):
@@ -11,3 +14,17 @@ def test_a_balance_of_zero_stays_zero(spark, tmp_path):
     customer = duckdb.read_parquet(f"{tmp_path}/customer.parquet/*.parquet")  # noqa: F841
     want = duckdb.sql(more_queries.oracle_sql()["n20_coordinate"]).fetchall()
     assert sorted(map(str, map(tuple, more_queries.queries()["n20_coordinate"](spark, str(tmp_path)).collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("least", [0, 25])
+def test_resolutions_of_a_domain_are_not_multiplied(spark, least):
+    """A domain that many URLs have and that was resolved often: the first rows, of few rows of the join."""
+    feature = spark.range(300).selectExpr("'H' || id % 3 AS hostname", "CASE id % 10 WHEN 9 THEN 'File' ELSE 'URL' END AS type", "'u' || id % 150 AS id", "'U' || id % 150 AS value")
+    same = spark.range(150).where(f"id >= {least}").selectExpr("'u' || id AS url_id", "'d' || id % 2 AS domain")
+    dns = spark.range(500).selectExpr("'H1:' || id AS id", "'d' || id % 3 AS domain", "'i' || id AS image", "cast(id % 7 AS string) AS timestamp")
+    store = GraphStore(spark, {"feature": feature, "same_domain": same, "dns": dns})
+    want = spark.sql(HUNTS["bulk_dns_corroboration"], feature=feature, same_domain=same, dns=dns)
+    got = store.hunt("bulk_dns_corroboration")
+    assert got.collect() == want.collect() and got.count() == 30
+    joined = spark.sql(BOUNDED["bulk_dns_corroboration"].rsplit("ORDER BY", 1)[0], feature=feature, same_domain=same, dns=dns)
+    assert joined.count() <= 30 * feature.count()

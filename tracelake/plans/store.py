@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tracelake.functions import normalize as n
 from tracelake.operators import graph as g
 from tracelake.plans import projection
-from tracelake.plans.catalog import HUNTS, PARAMETERS
+from tracelake.plans.catalog import BOUNDED, HUNTS, PARAMETERS
 from tracelake.plans.planning import pack_of
 from tracelake.plans.projection import dialect, view
 from tracelake.sources.files import shared_folder, write_table
@@ -39,7 +39,7 @@ class GraphStore:
 
     def hunt(self, name: str, **params: object) -> DataFrame:
         """A query of the catalog, with its parameters bound; an unknown name or parameter is a KeyError."""
-        sql, values = dialect(HUNTS[name], spark=True), dict(PARAMETERS.get(name, {}))
+        sql, values = dialect(BOUNDED.get(name, HUNTS[name]), spark=True), dict(PARAMETERS.get(name, {}))
         if unknown := params.keys() - values.keys():
             raise KeyError(f"{name} has no parameter {', '.join(sorted(unknown))}")
         values |= {k: v for k, v in params.items() if v is not None}
