@@ -6,6 +6,7 @@ import pytest
 from tracelake import more_queries
 from tracelake.plans.catalog import BOUNDED, HUNTS
 from tracelake.plans.store import GraphStore
+from tracelake.sources import raw
 
 
 def test_a_balance_of_zero_stays_zero(spark, tmp_path):
@@ -16,6 +17,14 @@ def test_a_balance_of_zero_stays_zero(spark, tmp_path):
     assert sorted(map(str, map(tuple, more_queries.queries()["n20_coordinate"](spark, str(tmp_path)).collect()))) == sorted(map(str, want))
 
 
+def test_lines_and_their_xml_are_read_once(spark, tmp_path):
+    """However many conditions name a field."""
+    (tmp_path / "a.json").write_text('{"event_id": 1}\n')
+    found = raw.events(raw.records(raw.numbered(spark, [f"file://{tmp_path}"])))
+    plan = found.where("event_id = 1 AND image <> '' AND process_guid <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 == plan.count("from_xml(")
+
+
 @pytest.mark.parametrize("least", [0, 25])
 def test_resolutions_of_a_domain_are_not_multiplied(spark, least):
     """A domain that many URLs have and that was resolved often: the first rows, of few rows of the join."""

@@ -86,9 +86,12 @@ def numbered(spark: SparkSession, paths: list[str], hosts: dict[str, str] | None
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """lines with ``record``, a variant; null where the line is no JSON object. Blank lines go."""
-    record = F.try_parse_json("text")
-    return lines.where(F.trim("text") != "").withColumn("record", F.when(F.schema_of_variant(record).startswith("OBJECT"), record))
+    """lines with ``record``, a variant; null where the line is no JSON object. Blank lines go.
+
+    The record is generated: a condition on a column that is only computed is pushed below it, and parses the line again wherever it names it.
+    """
+    record = F.transform(F.array(F.try_parse_json("text")), lambda r: F.when(F.schema_of_variant(r).startswith("OBJECT"), r))
+    return lines.where(F.trim("text") != "").select("*", F.explode_outer(record).alias("record"))
 
 
 def rescued(lines: DataFrame) -> DataFrame:
@@ -121,14 +124,18 @@ EVENT_FIELDS = {
 
 
 def events(found: DataFrame, packs: frozenset[str] | None = None) -> DataFrame:
-    """Events of the packs (None: of all), their XML read into columns; those without a known id go."""
+    """Events of the packs (None: of all), their XML read into columns; those without a known id go.
+
+    What conditions and columns name again and again is generated, as records are, so that it is read once.
+    """
     xml = get("xml_string", "message")
-    rows = found.withColumn("event_id", n.event_id(get("event_identifier", "event_id"), xml)).where(F.col("event_id").isin(sorted({e for _, e in event_ids(packs)})))
-    rows = rows.withColumn("data", F.to_variant_object(n.event_fields(xml)))
-    at, number = get("datetime", "date_time"), get("uuid", "record_number")
-    ident = n.stable_event_id(F.col("hostname"), number, F.col("hostname"), F.coalesce(get("datetime", "timestamp"), F.lit("")), get("event_identifier", "event_id"))
-    columns = [F.coalesce(get(*names, of="data"), F.lit("")).alias(c) for c, names in EVENT_FIELDS.items()]
-    return rows.select("hostname", "seq", "event_id", ident.alias("id"), n.timestamp(at).alias("timestamp"), F.coalesce(get("source", "display_name"), F.lit("")).alias("channel"), *columns)
+    read = {"event_id": n.event_id(get("event_identifier", "event_id"), xml), "xml": xml, "at": get("datetime", "date_time"), "number": get("uuid", "record_number")}
+    hashed = {"stamp": F.coalesce(get("datetime", "timestamp"), F.lit("")), "kind": get("event_identifier", "event_id"), "channel": F.coalesce(get("source", "display_name"), F.lit(""))}
+    rows = found.select("hostname", "seq", F.explode_outer(F.array(F.struct(*(c.alias(k) for k, c in (read | hashed).items())))).alias("e")).select("hostname", "seq", "e.*")
+    rows = rows.where(F.col("event_id").isin(sorted({e for _, e in event_ids(packs)}))).select("*", F.explode_outer(F.array(n.event_fields(F.col("xml")))).alias("data"))
+    ident = n.stable_event_id(F.col("hostname"), F.col("number"), F.col("hostname"), F.col("stamp"), F.col("kind"))
+    columns = [F.coalesce(*(F.try_element_at("data", F.lit(name)) for name in names), F.lit("")).alias(c) for c, names in EVENT_FIELDS.items()]  # no value of the map is empty
+    return rows.select("hostname", "seq", "event_id", ident.alias("id"), n.timestamp(F.col("at")).alias("timestamp"), "channel", *columns)
 
 
 def process_list(found: DataFrame) -> DataFrame:
