@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake import more_queries
+from tracelake.functions import normalize as n
 from tracelake.plans.catalog import BOUNDED, HUNTS
 from tracelake.plans.store import GraphStore
 from tracelake.sources import raw
@@ -25,6 +27,12 @@ def test_lines_and_their_xml_are_read_once(spark, tmp_path):
     assert plan.count("parseJson") == 1 == plan.count("from_xml(")
 
 
+def test_fields_of_an_event_are_parsed_once(spark):
+    """And not once for each of them, in the lambda that looks for equal names."""
+    plan = spark.range(1).select(n.event_fields(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_xml(") == 1
+
+
 @pytest.mark.parametrize("least", [0, 25])
 def test_resolutions_of_a_domain_are_not_multiplied(spark, least):
     """A domain that many URLs have and that was resolved often: the first rows, of few rows of the join."""

@@ -6,6 +6,7 @@ Timestamps stay ISO-8601 strings ('' when unknown), so that comparisons sort as
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -121,6 +122,11 @@ def step_id(name: Column) -> Column:
     return F.when(joined.rlike("^[0-9]{3}_"), joined).otherwise(F.format_string("%03d_%s", place, F.when(label == "", "step").otherwise(label)))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often use names it, within its lambdas too: there Spark evaluates a repeated expression anew, for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def event_fields(xml: Column) -> Column:
     """name/value map of EventData; the last of equal names wins, empty values drop, malformed XML is an empty map.
 
@@ -128,8 +134,8 @@ def event_fields(xml: Column) -> Column:
     """
     parsed = F.from_xml(xml, "EventData struct<Data array<struct<_Name string, _VALUE string>>>", {"mode": "PERMISSIVE"})
     pairs = F.filter(F.coalesce(parsed["EventData"]["Data"], F.array().cast("array<struct<_Name:string,_VALUE:string>>")), lambda d: d["_Name"].isNotNull() & (F.trim(d["_VALUE"]) != ""))
-    last = F.filter(pairs, lambda d, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["_Name"] == d["_Name"]))
-    return F.map_from_entries(F.transform(last, lambda d: F.struct(d["_Name"], F.trim(d["_VALUE"]))))
+    last = lambda pairs: F.filter(pairs, lambda d, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["_Name"] == d["_Name"]))
+    return F.map_from_entries(F.transform(once(pairs, last), lambda d: F.struct(d["_Name"], F.trim(d["_VALUE"]))))
 
 
 def _quoted(text: str) -> str:
