@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from tracelake.llm import similar
@@ -83,6 +84,78 @@ def test_cells_hold_every_pair_once(spark, monkeypatch, block):
     assert sorted(got) == sorted(want)
 
 
+def near_copies(copies, seed=3):
+    """Copies of one text with none to six words replaced or left out, beside texts that share a passage of it."""
+    rnd = random.Random(seed)
+    words = lambda n: [f"w{rnd.randrange(1 << 40)}" for _ in range(n)]
+    base, texts = words(150), []
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(min(6, int(rnd.expovariate(0.4)))):
+            at = rnd.randrange(len(copy))
+            copy[at : at + 1] = words(1) if rnd.random() < 0.7 else []
+        texts.append(copy)
+    texts += [words(60) + base[:40] for _ in range(copies // 4)]
+    rnd.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_candidates_of_a_group_of_near_copies_grow_with_it(spark, monkeypatch):
+    made, write = [], similar.materialize
+
+    def counting(df, name):
+        table = write(df, name)
+        if name == "candidates":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(similar, "materialize", counting)
+    for copies in (100, 400):
+        rows = near_copies(copies)
+        made.clear()
+        assert sorted((tuple(r) for r in similar.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str) == truth(rows)
+        assert len(made) == 2 and sum(made) < 4 * copies, made
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 1000])
+def test_shingles_are_counted_by_different_sets(ranges):
+    rnd = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    bodies = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 60))).encode() for _ in range(60)] + [b"", b"", b"w1 w2"]
+    bodies += bodies[:20]
+    table = [(None, x) for x in bodies]
+    batches = pa.Table.from_arrays([pa.nulls(len(table), pa.int64()), pa.array([x for _, x in table], pa.binary())], names=["doc_id", "body"]).to_batches(17)
+    packed = pa.Table.from_batches(list(similar._packed(iter(batches), 2, ranges)))
+    got = []
+    for bucket in set(packed["bucket"].to_pylist()):
+        got += [(r["node"], r["n"], r["df"]) for r in similar._counted(packed.filter(pa.compute.equal(packed["bucket"], bucket))).to_pylist()]
+    sets = {similar._node(s): s for s in similar.shingle_sets(bodies, 2, similar.WordHashes())}
+    held = [x for s in sets.values() for x in s.tolist()]
+    want = [(node, len(s), held.count(x)) for node, s in sets.items() for x in s.tolist() if held.count(x) > 1]
+    assert sorted(got) == sorted(want)
+
+
+def test_shingles_of_one_name_are_numbered():
+    row = lambda node, low: (0, np.array([node]).tobytes(), similar.pack(np.array([9])), similar.pack(np.array([len(low)])), np.array(low, np.uint32).tobytes())
+    rows = [row(1, [5, 5, 7, 8, 8]), row(2, [5, 7]), row(1, [5, 5, 7, 8, 8])]
+    table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), similar.PACKED_SCHEMA)], schema=similar.PACKED_SCHEMA)
+    got = sorted((r["node"], r["h"], r["df"]) for r in similar._counted(table).to_pylist())
+    assert got == [(1, 5, 2), (1, 7, 2), (1, 5 + (1 << 52), 2), (2, 5, 2), (2, 7, 2)]
+
+
+def test_places_do_not_depend_on_batches():
+    rnd = random.Random(4)
+    rows = sorted((node, rnd.randint(2, 5), h, 12) for node in range(9) for h in rnd.sample(range(50), rnd.randint(1, 12)))
+    want = []
+    for node in range(9):
+        mine = [r for r in rows if r[0] == node]
+        want += [(h, node, 12 - len(mine) + i) for i, (_, _, h, _) in enumerate(mine) if 12 - len(mine) + i < 3]
+    table = pa.Table.from_arrays([pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([12] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int32())], names=["h", "node", "n", "df"])
+    for size in (1, 2, 7, 200):
+        got = [(r["h"], r["node"], r["place"]) for b in similar._places(iter(table.to_batches(size)), 100) for r in b.to_pylist()]
+        assert got == want
+
+
 def test_buckets_are_streamed_whole():
     rnd = random.Random(3)
     rows = sorted((rnd.randrange(12), rnd.randrange(2), rnd.randrange(25), 9, 1) for _ in range(160))

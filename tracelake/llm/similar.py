@@ -4,13 +4,15 @@
 narrow threshold finds them all); it links the closest texts first, and a prefix filter finds the rest:
 
 1. one pass names every text's set (a hash), with its SimHash, its size, and a bitmap of ``LOAD`` bits a shingle or more;
-   equal sets are folded. The same pass sketches how common shingles are.
-2. Every set is put in one order of shingles, the rare ones first by the sketch (any order that is the same for all sets is
-   right; the sketch only keeps common passages out of the prefixes). Sets of similarity 0.8 share a shingle of their first
-   n - ceil(0.8 n) + 1. Rows of these prefixes meet by shingle; buckets of common shingles are dealt out by set as well.
-3. Candidates are the SimHash links of ``TAU`` bits or fewer (``simhash.links``), and of each bucket its smallest set with
-   the others; then, over the components that these leave, all pairs of different components in one bucket whose sizes and
-   places allow 0.8. A bucket of over ``BLOCK`` sets is dealt into parts, and two parts at a time meet in a task.
+   equal sets are folded.
+2. Shingles, packed in blocks by range of hashes, meet once and are counted: in how many different sets each of them is. What
+   one set alone holds goes no further. Every set is put in one order of shingles, the rare ones first. Sets of similarity 0.8
+   share a shingle of their first n - ceil(0.8 n) + 1, so a set whose own shingles fill these has no such partner. Rows of
+   these prefixes meet by shingle; buckets of common shingles are dealt out by set as well.
+3. Candidates are the SimHash links of ``TAU`` bits or fewer (``simhash.links``), and of each bucket its most central set (the
+   one with the fewest rarer shingles: of edited copies the least edited) with the others; then, over the components that these
+   leave, all pairs of different components in one bucket whose sizes and places allow 0.8. A bucket of over ``BLOCK`` sets is
+   dealt into parts, and two parts at a time meet in a task.
 4. A candidate is dropped if the bitmaps rule it out: a bit that only one has is a shingle that only one has. What is left is
    checked on the sets, which are spelled out for those texts alone.
 
@@ -30,14 +32,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import discard, materialize, mix, release_shuffles, scaled_partitions, slices, texts
+from tracelake.llm.common import discard, give_back, materialize, mix, pack, release_shuffles, runs, scaled_partitions, slices, texts, unpack
 from tracelake.llm.components import components
 from tracelake.llm.simhash import SEED, links
 from tracelake.llm.substrings import WordHashes, window_hashes
 
 SHINGLE, TAU = 5, 3
-#: Counters of the sketch of shingles, and the count from which a cell's buckets are dealt out by set.
-CELLS, HOT = 1 << 16, 200_000
+#: Sets that hold a shingle, from which its bucket is dealt out by set.
+HOT = 200_000
+#: MB of documents' files for each range of shingle hashes.
+RANGE_MB = 8
 #: Bits of a bitmap for each shingle, at least.
 LOAD = 4
 #: Sets of a bucket that meet in one cell, about.
@@ -87,10 +91,6 @@ def may_be_alike(n: int, x: bytes, m: int, y: bytes) -> bool:
     return 9 * both >= 4 * (n + m)
 
 
-def _cell(s: np.ndarray) -> np.ndarray:
-    return (mix(s) % np.uint64(CELLS)).astype(np.int64)
-
-
 def _simhashes(sets: list[np.ndarray]) -> np.ndarray:
     """A bit is set if it is set in over half of a set's hashes."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -100,49 +100,123 @@ def _simhashes(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _names(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, node, fp, n, bits) of each text; rows of n = -1 are the sketch: its cell in node, its count in fp."""
-    known, table = WordHashes(), np.zeros(CELLS, np.int64)
+    """(doc_id, node, fp, n, bits) of each text."""
+    known = WordHashes()
     names = ["doc_id", "node", "fp", "n", "bits"]
     for b in slices(batches, 2 << 20):
         sets = shingle_sets(b.column("body").to_pylist(), shingle, known)
-        table += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array(list(map(_node, sets)), pa.int64()), pa.array(_simhashes(sets).view(np.int64)), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(bitmap, sets)), pa.binary())], names=names
         )
-    at = np.flatnonzero(table)
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.array(at), pa.array(table[at]), pa.array(np.full(len(at), -1, np.int32)), pa.array([b""] * len(at), pa.binary())], names=names)
 
 
-def _prefixes(rows: DataFrame, counts: np.ndarray, shingle: int) -> DataFrame:
-    """(h, salt, salts, node, n, place): the first shingles of each set, n of its size; salts: parts of the bucket."""
-    held = rows.sparkSession.sparkContext.broadcast(counts)
-    hot = HOT
+PACKED = "bucket long, node binary, n binary, held binary, low binary"
+PACKED_SCHEMA = pa.schema([("bucket", pa.int64()), *((x, pa.binary()) for x in ("node", "n", "held", "low"))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in slices(batches, 2 << 20):
-            found = {_node(s): s for s in shingle_sets(b.column("body").to_pylist(), shingle, known)}
-            h, node, n, place = [], [], [], []
-            for name, s in found.items():
-                k = len(s) - (4 * len(s) + 4) // 5 + 1
-                h.append(s[np.lexsort((s, held.value[_cell(s)]))[:k]])
-                node.append(np.full(k, name, np.int64))
-                n.append(np.full(k, len(s), np.int32))
-                place.append(np.arange(k, dtype=np.int32))
-            h, node = np.concatenate(h), np.concatenate(node)
-            salts = held.value[_cell(h)] // hot + 1
-            salt = (mix(node.view(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
-            columns = [h.view(np.int64), salt, salts.astype(np.int32), node, np.concatenate(n), np.concatenate(place)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "salt", "salts", "node", "n", "place"])
-
-    return rows.mapInArrow(run, "h long, salt int, salts int, node long, n int, place int")
+
+def _packed(batches: Iterator[pa.RecordBatch], shingle: int, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Of each block of texts, for each range of hashes: the sets with shingles there (node, n), how many (held), and the low
+    halves of their hashes, set by set. Equal sets of a block are one."""
+    known = WordHashes()
+    for b in slices(batches):
+        found = {_node(s): s for s in shingle_sets(b.column("body").to_pylist(), shingle, known)}
+        node, n = np.fromiter(found, np.int64, len(found)), np.fromiter(map(len, found.values()), np.int64, len(found))
+        h = np.concatenate(list(found.values()))
+        del found
+        bucket = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.uint16 if ranges <= 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, low, of = bucket[order], h.astype(np.uint32)[order], np.repeat(np.arange(len(n)), n)[order]
+        del h, order
+        rows, cut = [], np.r_[runs(bucket), len(bucket)]
+        for s, e in zip(cut.tolist(), cut[1:].tolist()):
+            first = runs(of[s:e])
+            here = of[s:e][first]
+            rows.append((int(bucket[s]), node[here].tobytes(), pack(n[here]), pack(np.diff(np.r_[first, e - s])), low[s:e].tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), PACKED_SCHEMA)], schema=PACKED_SCHEMA)
+
+
+COUNTED = "h long, node long, n int, df int"
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Of one range: (h, node, n, df) of the shingles that df sets hold, two or more; h names a shingle by range and low half.
+
+    Two shingles of one name are taken as one: both look more common than they are, which costs rows and loses nothing. If one
+    set holds both they are numbered, so that no set has fewer names than shingles.
+    """
+    give_back()
+    read = lambda c: np.concatenate([unpack(x.as_buffer()) for x in table[c]])
+    node, n, held = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["node"]]), read("n"), read("held")
+    low = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table["low"]])
+    once = np.zeros(len(node), bool)
+    once[np.unique(node, return_index=True)[1]] = True  # equal sets of other blocks
+    low, of = low[np.repeat(once, held)], np.repeat(np.flatnonzero(once), held[once])
+    order = np.argsort(low, kind="stable")
+    low, of = low[order], of[order]
+    del order
+    size = np.diff(np.r_[runs(low), len(low)])
+    many = np.repeat(size > 1, size)
+    low, of = low[many], of[many]
+    del many, size
+    order = np.lexsort((of, low))
+    low, of = low[order], of[order]
+    start = runs(low)
+    new = np.r_[True, (low[1:] != low[:-1]) | (of[1:] != of[:-1])][: len(low)]
+    df = np.repeat(np.add.reduceat(new, start, dtype=np.int64) if len(start) else start, np.diff(np.r_[start, len(low)]))
+    alike_at = np.flatnonzero(new)
+    number = np.arange(len(low)) - np.repeat(alike_at, np.diff(np.r_[alike_at, len(low)]))
+    keep = df > 1
+    h = (table["bucket"][0].as_py() << 32) + low.astype(np.int64) + (number << 52)
+    columns = [h[keep], node[of[keep]], n[of[keep]].astype(np.int32), df[keep].astype(np.int32)]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], names=["h", "node", "n", "df"])
+
+
+PREFIXES = "h long, salt int, salts int, node long, n int, place int"
+
+
+def _places(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """(h, salt, salts, node, n, place) of rows sorted by (node, df, h): the first shingles of each set, n of its size; those
+    that it alone holds come before them and count as places. salts: parts of the bucket."""
+
+    def found(columns: list[np.ndarray]) -> pa.RecordBatch:
+        h, node, n, df = columns
+        start = runs(node)
+        size = np.diff(np.r_[start, len(node)])
+        place = np.arange(len(node)) + np.repeat(n[start] - size - start, size)
+        keep = place < n - (4 * n + 4) // 5 + 1
+        h, node, n, df, place = (x[keep] for x in (h, node, n, df, place))
+        salts = df // hot + 1
+        salt = mix(node.view(np.uint64)) % salts.astype(np.uint64)
+        kinds = (np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(k)) for c, k in zip((h, salt, salts, node, n, place), kinds)], names=["h", "salt", "salts", "node", "n", "place"])
+
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        if not len(now[0]):
+            continue
+        cut = runs(now[1])[-1]
+        held = [x[cut:] for x in now]
+        if cut:
+            yield found([x[:cut] for x in now])
+    if held is not None:
+        yield found(held)
+
+
+def _prefixes(rows: DataFrame, shingle: int, ranges: int, parts: int) -> DataFrame:
+    """(h, salt, salts, node, n, place): the shingles of each set's prefix that other sets hold too."""
+    hot = HOT
+    counted = rows.mapInArrow(lambda b: _packed(b, shingle, ranges), PACKED).repartition(ranges, "bucket").groupBy("bucket").applyInArrow(_counted, COUNTED)
+    return counted.repartition(parts, "node").sortWithinPartitions("node", "df", "h").mapInArrow(lambda b: _places(b, hot), PREFIXES)
 
 
 BUCKETS = "h long, salts int, node long, n int, place int, leader long, leader_n int, leader_place int"
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by (h, salt, node), of buckets with two sets or more, each set once, beside the bucket's first one.
+    """Rows, sorted by (h, salt, place, node), of buckets with two sets or more, each set once, beside the bucket's first one.
 
     Streams: of a bucket only its first row is held."""
     names = [c.split()[0] for c in BUCKETS.split(", ")]
@@ -289,14 +363,11 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", tex
     """(doc_id, component_id): component_id is the smallest id of all rows reachable over pairs of similarity 0.8 or more."""
     spark, rows = docs.sparkSession, texts(docs, id_col, text_col)
     parts = scaled_partitions(docs.select(text_col), 4)
-    named = materialize(rows.mapInArrow(lambda b: _names(b, shingle), "doc_id long, node long, fp long, n int, bits binary"), "names")
-    counts = np.zeros(CELLS, np.int64)
-    for cell, count in named.where("n < 0").groupBy("node").agg(F.sum("fp")).collect():
-        counts[cell] = count
-    names = named.where("n >= 0")
+    names = materialize(rows.mapInArrow(lambda b: _names(b, shingle), "doc_id long, node long, fp long, n int, bits binary"), "names")
     nodes = materialize(names.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bits").alias("bits")), "nodes")
     release_shuffles(spark)
-    buckets = _prefixes(rows, counts, shingle).repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "node").mapInArrow(_shared, BUCKETS)
+    prefixes = _prefixes(rows, shingle, scaled_partitions(docs.select(text_col), RANGE_MB), parts)
+    buckets = prefixes.repartition(parts, "h", "salt").sortWithinPartitions("h", "salt", "place", "node").mapInArrow(_shared, BUCKETS)
     buckets = materialize(buckets, "buckets")
     release_shuffles(spark)
 
